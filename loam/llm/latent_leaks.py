@@ -34,8 +34,8 @@ WINDOW, RANK, COSINE = 32, 64, 0.3
 OF_ITEM, OF_LESS = 0.25, 0.5
 #: Shares of an item, in words, that a paraphrase keeps in order: without and with its answer; share of the answer.
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
-#: Share of passages from which a term tells nothing of a subject.
-COMMON = 0.03
+#: Share of half-windows from which a term tells nothing of a subject.
+COMMON = 0.02
 MAX_ITEMS, MAX_TERMS, SEED = 50_000, 1_000_000, 7
 _KEPT = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 0x7F else 0x20 for c in range(256))
 
@@ -117,7 +117,10 @@ class Batch:
         out = np.zeros((self.n_rows, matrix.shape[1]), matrix.dtype)
         if len(self.half):
             starts = np.flatnonzero(np.concatenate([[True], self.half[1:] != self.half[:-1]]))
-            out[self.half[starts]] = np.add.reduceat(matrix[self.terms], starts, axis=0)
+            sizes = np.diff(np.concatenate([starts, [len(self.half)]]))
+            for k in range(sizes.max()):  # the k-th term of each half-window that has one
+                at = starts[sizes > k] + k
+                out[self.half[at]] += matrix[self.terms[at]]
         return out
 
 
@@ -154,7 +157,7 @@ def _summed(df: DataFrame, run, rows: int, width: int) -> np.ndarray:
 
 
 def fit(found: DataFrame, space: Space, rank: int, common: float) -> int:
-    """Set the terms' weights from all passages, then the directions from the whole TF-IDF matrix; returns the passages."""
+    """Set the terms' weights from all half-windows, then the directions from the whole TF-IDF matrix; returns the half-windows."""
     context, n_terms = found.sparkSession.sparkContext, len(space.term)
     share = context.broadcast(space)
 
@@ -162,20 +165,17 @@ def fit(found: DataFrame, space: Space, rank: int, common: float) -> int:
         total = np.zeros((n_terms + 1, 1))
         for b in batches:
             x = Batch(b, share.value)
-            total[n_terms, 0] += len(x.first)
-            there = np.zeros(x.n_rows, np.int64) - 1
-            there[x.first] = np.arange(len(x.first))  # passages that begin at a half-window, and those that end in it
-            ends = np.concatenate([[-1], there[:-1]])
-            both = [(p[x.half] * n_terms + x.terms)[p[x.half] >= 0] for p in (there, ends)]
-            total[:n_terms, 0] += np.bincount(np.unique(np.concatenate(both)) % n_terms, minlength=n_terms)
+            total[n_terms, 0] += x.n_rows
+            code = np.sort(x.half * n_terms + x.terms)
+            total[:n_terms, 0] += np.bincount(code[np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]] % n_terms, minlength=n_terms)
         yield _emit(total)
 
     seen = _summed(found, count, n_terms + 1, 1)[:, 0]
-    passages, seen = int(seen[-1]), seen[:-1]
-    weight = np.log((1 + passages) / (1 + seen)) * (seen <= common * passages)
+    halves, seen = int(seen[-1]), seen[:-1]
+    weight = np.log((1 + halves) / (1 + seen)) * (seen <= common * halves)
     for item in space.items:  # an item of common terms alone keeps them
         if not weight[item].any():
-            weight[item] = np.maximum(np.log((2 + passages) / (1 + seen[item])), 1e-3)
+            weight[item] = np.maximum(np.log((2 + halves) / (1 + seen[item])), 1e-3)
     space.weight = weight.astype(np.float32)
     width = min(rank, n_terms)
     start = np.random.default_rng(SEED).standard_normal((n_terms, width)).astype(np.float32)
@@ -204,7 +204,7 @@ def fit(found: DataFrame, space: Space, rank: int, common: float) -> int:
     space.basis = (basis * space.weight[:, None]).astype(np.float32)
     q = np.stack([space.basis[i].sum(0) for i in space.items])
     space.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    return passages
+    return halves
 
 
 def candidates(x: Batch, s: Space, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
