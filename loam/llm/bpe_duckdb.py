@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loam.llm._shared import slices, small_batches
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 100_000
+LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 300_000
 
 CONTRACT = """
 with recursive step(n, word, pos, token) as (
@@ -71,8 +71,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.long_word = long_word
         self.ids_of: dict[str, str] = {}
-        self.hex_of: dict[str, str] = {}
-        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.bytes_for: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         pair, merged = [], []
         for token, rank in self.ranks.items():
@@ -144,31 +144,31 @@ class Codec:
         long = [i for i, b in enumerate(raw) if len(b) > self.long_word and b not in self.ranks]
         ids += [self.by_heap(raw[i]) for i in long]
         for i, n, b in zip(whole + long, ids, self.decode_many(ids), strict=True):
-            self.ids_of[words[i]], self.hex_of[words[i]] = ",".join(map(str, n)), b.hex()
+            self.ids_of[words[i]], self.bytes_for[words[i]] = ",".join(map(str, n)), b
         rest = [i for i, b in enumerate(raw) if len(b) <= self.long_word and b not in self.ranks]
         for k in range(0, len(rest), WORDS_AT_ONCE):
             part = rest[k : k + WORDS_AT_ONCE]
             got, hexes = self.by_query([raw[i] for i in part])
             names = [words[i] for i in part]
             self.ids_of.update(zip(names, got, strict=True))
-            self.hex_of.update(zip(names, hexes, strict=True))
+            self.bytes_for.update(zip(names, map(bytes.fromhex, hexes), strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids joined by commas, and the bytes that they decode to."""
         split = [self.split(t) for t in texts]
         if len(self.ids_of) > CACHED:  # the words of the last texts stay a while; those that recur move on
-            self.older = self.ids_of, self.hex_of
-            self.ids_of, self.hex_of = {}, {}
+            self.older = self.ids_of, self.bytes_for
+            self.ids_of, self.bytes_for = {}, {}
         new = [w for w in set().union(*split) if w not in self.ids_of]
         if again := [w for w in new if w in self.older[0]]:
-            for now, before in zip((self.ids_of, self.hex_of), self.older, strict=True):
+            for now, before in zip((self.ids_of, self.bytes_for), self.older, strict=True):
                 now.update((w, before[w]) for w in again)
             new = [w for w in new if w not in self.older[0]]
         self.learn(new)
-        ids, hexes = self.ids_of.__getitem__, self.hex_of.__getitem__
-        out = [(",".join(map(ids, words)), bytes.fromhex("".join(map(hexes, words)))) for words in split]
+        ids, decoded = self.ids_of.__getitem__, self.bytes_for.__getitem__
+        out = [(",".join(map(ids, words)), b"".join(map(decoded, words))) for words in split]
         for w in [w for w in self.ids_of if len(w) > self.long_word]:
-            del self.ids_of[w], self.hex_of[w]
+            del self.ids_of[w], self.bytes_for[w]
         return out
 
 
@@ -192,7 +192,7 @@ def _mapped(df: DataFrame, text: str, make, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text, 4 << 20):
+            for b in slices(whole, text, 6 << 20):
                 names, arrays = make(b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("id"), *arrays], names=["id", *names])
 
