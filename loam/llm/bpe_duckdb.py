@@ -72,6 +72,7 @@ class Codec:
         self.long_word = long_word
         self.ids_of: dict[str, str] = {}
         self.bytes_for: dict[str, bytes] = {}
+        self.long: list[str] = []  # words that aren't kept
         self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         pair, merged = [], []
@@ -143,6 +144,7 @@ class Codec:
         ids = [[self.ranks[raw[i]]] for i in whole]
         long = [i for i, b in enumerate(raw) if len(b) > self.long_word and b not in self.ranks]
         ids += [self.by_heap(raw[i]) for i in long]
+        self.long += [words[i] for i in long]
         for i, n, b in zip(whole + long, ids, self.decode_many(ids), strict=True):
             self.ids_of[words[i]], self.bytes_for[words[i]] = ",".join(map(str, n)), b
         rest = [i for i, b in enumerate(raw) if len(b) <= self.long_word and b not in self.ranks]
@@ -167,8 +169,9 @@ class Codec:
         self.learn(new)
         ids, decoded = self.ids_of.__getitem__, self.bytes_for.__getitem__
         out = [(",".join(map(ids, words)), b"".join(map(decoded, words))) for words in split]
-        for w in [w for w in self.ids_of if len(w) > self.long_word]:
+        for w in self.long:
             del self.ids_of[w], self.bytes_for[w]
+        self.long = []
         return out
 
 
