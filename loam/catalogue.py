@@ -2,11 +2,338 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.functions import quality
+from loam.functions import text as X
+from loam.operators import exact, minhash, ngrams, prefix, statistics, tree
+from loam.plans import curation
+from loam.sources import views
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+AVOID = ("src0", "src7")
+ROLES = ("AXStaticText", "AXButton", "AXMessage", "AXLink", "AXTextField")
 
 
 def curated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return curation.curated_counts(views.lines(spark, sf_dir), AVOID)
+
+
+def _clean_lines(s: SparkSession, d: str) -> DataFrame:
+    return views.lines(s, d).withColumn("text", X.one_line("text")).where(X.length_within("text", 3, 1000))
+
+
+def _split_fragments(s: SparkSession, d: str) -> DataFrame:
+    return views.documents(s, d).select("seq", "app_name", F.posexplode(X.fragments("text")).alias("pos", "fragment"))
+
+
+def _filter_symbol_only(s: SparkSession, d: str) -> DataFrame:
+    return views.lines(s, d).where(~X.is_symbol_or_number("text"))
+
+
+def _quality_filter(s: SparkSession, d: str) -> DataFrame:
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("seq") % len(ROLES) + 1).cast("int"))
+    return views.lines(s, d).withColumn("role", role).where(quality.quality_content("text", "role")).select("seq", "role", "text")
+
+
+def _exclude_apps(s: SparkSession, d: str) -> DataFrame:
+    return exact.without_apps(views.documents(s, d), AVOID).groupBy("app_name").agg(F.count("*").alias("n"), F.sum(X.n_bytes("text")).cast("bigint").alias("bytes"))
+
+
+def _pair_dedup(s: SparkSession, d: str) -> DataFrame:
+    return exact.pair_dedup(views.lines(s, d))
+
+
+def _consecutive_dedup(s: SparkSession, d: str) -> DataFrame:
+    return exact.consecutive_dedup(exact.accepted(views.lines(s, d), 3, 1000, AVOID))
+
+
+def _ingest(s: SparkSession, d: str) -> DataFrame:
+    return curation.ingest(views.documents(s, d))
+
+
+def _longest_prefix(s: SparkSession, d: str) -> DataFrame:
+    words = views.documents(s, d).select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").distinct()
+    known = words.where(F.length("word") <= 6)
+    return prefix.longest_prefix(words.where(F.length("word") > 6), known)
+
+
+def _shingles(s: SparkSession, d: str) -> DataFrame:
+    return views.lines(s, d).where("text <> ''").select("seq", F.explode(X.char_ngrams(X.collapsed("text"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("times"), F.countDistinct("seq").alias("texts"))
+
+
+def _minhash_signature(s: SparkSession, d: str) -> DataFrame:
+    return minhash.signatures(views.documents(s, d), portable=True).select("seq", *(F.col("signature")[k].alias(f"m{k}") for k in range(minhash.SIZE)))
+
+
+def _similar_pairs(s: SparkSession, d: str) -> DataFrame:
+    rows = exact.exact_dedup(views.documents(s, d))
+    return minhash.similar_pairs(rows, portable=True)
+
+
+def _similar_98(s: SparkSession, d: str) -> DataFrame:
+    return minhash.same_signature_dedup(views.documents(s, d), portable=True).select("seq", "app_name")
+
+
+def _similar_70(s: SparkSession, d: str) -> DataFrame:
+    return minhash.similar_dedup(views.documents(s, d), AVOID, 20, portable=True).select("seq", "app_name")
+
+
+def _potential(s: SparkSession, d: str) -> DataFrame:
+    return minhash.potential_duplicates(views.documents(s, d), portable=True)
+
+
+def _find_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return minhash.find_duplicates(views.lines(s, d), AVOID, 3, portable=True)
+
+
+def _separated(s: SparkSession, d: str) -> DataFrame:
+    return statistics.separated_statistics(views.lines(s, d), views.conversations(s, d), AVOID)
+
+
+def _top5(s: SparkSession, d: str) -> DataFrame:
+    return statistics.top_and_others(statistics.app_statistics(views.lines(s, d), AVOID), "app_name", "entries")
+
+
+def _import_new(s: SparkSession, d: str) -> DataFrame:
+    talk = views.conversations(s, d)
+    each = talk.select("seq", "app_name", F.posexplode(X.lines("text")).alias("pos", "line"))
+    new = each.select((F.col("seq") * 1000 + F.col("pos")).alias("seq"), "app_name", X.trimmed("line").alias("text")).where((F.col("text") != "") & (X.clusters("text") >= 5))
+    return exact.new_entries(new, views.lines(s, d).withColumn("app_name", F.lit("user")))
+
+
+def _union(s: SparkSession, d: str) -> DataFrame:
+    return exact.union_entries(views.documents(s, d), views.conversations(s, d)).groupBy("source_rank", "app_name").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+def _tree_texts(s: SparkSession, d: str) -> DataFrame:
+    return tree.extract(tree.html_nodes(s.read.parquet(f"{d}/pages.parquet"))).select("tree_id", "node_id", "role", "text")
+
+
+def _html_nodes(s: SparkSession, d: str) -> DataFrame:
+    return tree.html_nodes(s.read.parquet(f"{d}/pages.parquet")).groupBy("tree_id", "role").agg(F.count("*").alias("nodes"), F.coalesce(F.sum(F.length(F.array_join("value", ""))), F.lit(0)).cast("bigint").alias("chars"))
+
+
+def _ngrams(s: SparkSession, d: str) -> DataFrame:
+    return ngrams.counts(ngrams.corpus(views.documents(s, d), views.conversations(s, d)), 3)
+
+
+def _continuations(s: SparkSession, d: str) -> DataFrame:
+    return ngrams.continuations(_ngrams(s, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "curated_sources": curated_sources,
+    "clean_lines": _clean_lines,
+    "split_fragments": _split_fragments,
+    "filter_symbol_only": _filter_symbol_only,
+    "quality_filter": _quality_filter,
+    "exclude_apps": _exclude_apps,
+    "exact_dedup": lambda s, d: exact.exact_dedup(views.documents(s, d), AVOID, 3),
+    "exact_dedup_stats": lambda s, d: exact.exact_dedup_stats(views.documents(s, d), AVOID, 3),
+    "pair_dedup": _pair_dedup,
+    "consecutive_dedup": _consecutive_dedup,
+    "ingest": _ingest,
+    "prefix_dedup_lines": lambda s, d: prefix.prefix_dedup(views.lines(s, d)),
+    "adjacent_prefix": lambda s, d: prefix.simple_purge(views.lines(s, d), AVOID, 3),
+    "longest_prefix": _longest_prefix,
+    "shingles": _shingles,
+    "minhash_signature": _minhash_signature,
+    "similar_pairs": _similar_pairs,
+    "similar_dedup_98": _similar_98,
+    "similar_dedup_70": _similar_70,
+    "potential_duplicates": _potential,
+    "find_duplicates": _find_duplicates,
+    "app_counts": lambda s, d: statistics.app_counts(views.documents(s, d)),
+    "app_statistics": lambda s, d: statistics.app_statistics(views.lines(s, d), AVOID),
+    "totals": lambda s, d: statistics.totals(views.lines(s, d), AVOID),
+    "language_mix": lambda s, d: statistics.language_mix(views.lines(s, d), AVOID),
+    "separated_statistics": _separated,
+    "summary": lambda s, d: statistics.summary(statistics.totals(views.lines(s, d), AVOID)),
+    "top5_others": _top5,
+    "last_n": lambda s, d: exact.last_rows(views.lines(s, d), 1000),
+    "import_new_lines": _import_new,
+    "combined_union": _union,
+    "html_nodes": _html_nodes,
+    "tree_texts": _tree_texts,
+    "ngram_counts": _ngrams,
+    "ngram_continuations": _continuations,
+}
+
+
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_BREAK = r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]"
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x0B\x{{85}}]+|[\s\p{{Z}}\x0B\x{{85}}]+$', '', 'g')"
+_GLUE = r"regexp_replace({}, '[\s\p{{Z}}\x0B\x{{85}}]+', ' ', 'g')"
+
+
+def _trim(x: str) -> str:
+    return _TRIM.format(x)
+
+
+def _one_line(x: str) -> str:
+    return _trim(_GLUE.format(f"replace({x}, chr(13), '')"))
+
+
+def _collapsed(x: str) -> str:
+    return _trim(_GLUE.format(x))
+
+
+_DOCS = "docs as (select doc_id as seq, source as app_name, text from documents)"
+_CONV = "conv as (select conv_id * 1000000 + turn as seq, role as app_name, text from conversations)"
+_LINES = f"""lines as materialized (
+    select doc_id * 1000000 + pos - 1 as seq, app_name, {_trim("line")} as text
+    from (select doc_id, source as app_name, unnest(regexp_split_to_array(text, '{_BREAK}')) as line, generate_subscripts(regexp_split_to_array(text, '{_BREAK}'), 1) as pos from documents)
+)"""
+_SYMBOL = r"regexp_full_match(text, '[!-@\[-`{-~]*')"
+_AVOID = f"(app_name is null or app_name not in ({_list(AVOID)}))"
+_ACCEPTED = f"length_grapheme(text) between 3 and 1000 and not {_SYMBOL}"
+_FRAGMENTS = f"list_filter(list_transform(regexp_split_to_array(text, '[\\n\\r\\t]|  '), lambda x: {_trim('x')}), lambda x: x <> '')"
+_ROLE = f"[{_list(ROLES)}][seq % {len(ROLES)} + 1]"
+_GRAMS = "case when length({0}) = 0 then [] when length({0}) < {1} then [{0}] else list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1})) end"
+_COUNTS = "length_grapheme(text) as chars, length(regexp_replace(text, '[^ぁ-ゖァ-ヺ一-龯]', '', 'g')) as ja, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as en, length(regexp_replace(text, '[^0-9]', '', 'g')) as num"
+
+
+def _quality_sql() -> str:
+    cjk = quality.CJK
+    checks = [
+        "t <> ''",
+        "not (length_grapheme(t) > 2 and len(list_distinct(string_split(t, ''))) = 1)",
+        f"not (role not in ('AXMessage', 'AXText', 'AXGroup') and t in ({_list(quality.UI_STRINGS)}))",
+        "not (role <> 'AXLink' and (starts_with(t, 'http') or starts_with(t, 'www.') or contains(t, '://')))",
+        r"not (starts_with(t, '/') or contains(t, '\') or ends_with(t, '.app') or ends_with(t, '.exe'))",
+        r"""not regexp_full_match(t, '[\p{Nd}!@#$%^&*()_+\-=\[\]{}|;'':",./<>?]*')""",
+        f"len(list_filter(regexp_split_to_array(t, '[\\s\\p{{Z}}]+'), lambda w: length_grapheme(w) > 50 and not regexp_matches(w, '{cjk}'))) = 0",
+        f"not (role in ('AXTextField', 'AXTextArea') and t in ({_list(quality.PLACEHOLDERS)}))",
+        "not (role = 'AXButton' and length_grapheme(t) < 2)",
+    ]
+    return " and ".join(checks)
+
+
+def _signature_sql(source: str) -> str:
+    mins = ", ".join(f"min((h * {a} + {b}) % {minhash.PRIME}) as m{k}" for k, (a, b) in enumerate(map(minhash.factors, range(minhash.SIZE))))
+    return f"""
+grams as (select distinct seq, unnest({_GRAMS.format("t", 3)}) as gram from (select seq, {_collapsed("text")} as t from {source})),
+hashes as (select gram, ('0x' || left(md5(gram), 7))::bigint as h from (select distinct gram from grams)),
+found as (select seq, {mins} from grams join hashes using (gram) group by seq),
+signed as materialized (
+    select seq, app_name, text, {", ".join(f"coalesce(m{k}, 0)::bigint as m{k}" for k in range(minhash.SIZE))},
+           [{", ".join(f"coalesce(m{k}, 0)::bigint" for k in range(minhash.SIZE))}] as sig
+    from {source} left join found using (seq)
+)"""
+
+
+_SAME = f"({' + '.join(f'(a.m{k} = b.m{k})::int' for k in range(minhash.SIZE))}) / {minhash.SIZE}.0"
+_NEAR = "abs(length(a.text) - length(b.text)) * 2 <= greatest(length(a.text), length(b.text))"
+_FIRST_TEXT = "select seq, app_name, text from {0} qualify row_number() over (partition by text order by seq) = 1"
+
+
+def _totals_sql(source: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    group = f"group by {by}" if by else ""
+    return f"""
+pairs as (select {key}app_name, text, count(*) as copies from {source} group by {key}app_name, text),
+counted as (select {key}copies, {_AVOID} as ok, {_COUNTS} from pairs),
+summed as (
+    select {key}coalesce(sum(ok::int), 0)::bigint as entries, {", ".join(f"coalesce(sum({c}) filter (ok), 0)::bigint as {c}" for c in ("chars", "ja", "en", "num"))},
+           coalesce(sum(copies - 1), 0)::bigint as duplicates
+    from counted {group}
+),
+mixed as (select *, chars - ja - en - num as other from summed),
+totals as (
+    select {key}entries, chars, (case when entries > 0 then chars // entries else 0 end)::bigint as mean_chars, duplicates, ja, en, num, other,
+           {", ".join(f"(case when chars > 0 then floor({c} / chars * 100) else 0 end)::bigint as {c}_percent" for c in ("ja", "en", "num", "other"))}
+    from mixed
+)"""
+
+
+def _fold_sql(source: str, key: str, order: str, covered: str) -> str:
+    """Rows of ``source`` kept by a fold in each group: a row goes if ``covered`` holds for it, ``x``, and a kept row, ``k``."""
+    return f"""
+select app_name, seq, text from (
+    select app_name, unnest(list_reduce(list([struct_pack(seq := seq, text := text, n := length(text))] order by {order}),
+        lambda kept, more: case when len(list_filter(kept, lambda k: {covered.replace("x.", "more[1].")})) > 0 then kept else list_concat(kept, more) end), recursive := false) as r
+    from {source} group by app_name, {key}
+) t, lateral (select t.r.seq as seq, t.r.text as text)
+"""
+
+
+_COVERS = "k.n > x.n and x.n * 10 >= k.n * 7 and x.n >= 2 and left(k.text, greatest(2, (x.n * 3 + 4) // 5)::int) = left(x.text, greatest(2, (x.n * 3 + 4) // 5)::int)"
+_PREFIX_IN = "select app_name, min(seq) as seq, text from {0} where text <> '' group by app_name, text"
+_HTML = r"regexp_replace(html, '(?s)<(script|style|nav)\b.*?</(script|style|nav)>|<!--.*?-->', '', 'g')"
+_TAGS = r"<(p|h1|td|title|span|b|a|button|li|div)(?: [^>]*)?>([^<]+)"
+_NODES = f"""nodes as (
+    select page_id as tree_id, i as node_id, case {" ".join(f"when tag = '{t}' then '{r}'" for t, r in tree.TAG_ROLES.items())} end as role, text
+    from (select page_id, unnest(regexp_extract_all(h, '{_TAGS}', 1)) as tag, unnest(regexp_extract_all(h, '{_TAGS}', 2)) as text, generate_subscripts(regexp_extract_all(h, '{_TAGS}', 1), 1) as i
+          from (select page_id, {_HTML} as h from pages))
+)"""
+_NGRAMS = f"""{_DOCS}, {_CONV},
+corpus as (select text from (select 0 as r, seq, text from docs union all select 1, seq, text from conv) order by r desc, seq desc limit 100000),
+grams as (
+    select n, gram, count(*) as times
+    from (select n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) as gram from corpus, (select unnest([1, 2, 3]) as n) where length(text) >= n)
+    group by n, gram
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "curated_sources": f"with {_LINES}, clean as (select distinct app_name, t as text from (select app_name, {_one_line('text')} as t from lines) where {_ACCEPTED.replace('text', 't')} and {_AVOID}) select app_name, count(*) as entries, sum(length_grapheme(text))::bigint as chars from clean group by app_name",
+    "clean_lines": f"with {_LINES} select seq, app_name, t as text from (select seq, app_name, {_one_line('text')} as t from lines) where length_grapheme(t) between 3 and 1000",
+    "split_fragments": f"with {_DOCS} select seq, app_name, (generate_subscripts({_FRAGMENTS}, 1) - 1)::int as pos, unnest({_FRAGMENTS}) as fragment from docs",
+    "filter_symbol_only": f"with {_LINES} select * from lines where not {_SYMBOL}",
+    "quality_filter": f"with {_LINES} select seq, role, text from (select seq, {_ROLE} as role, text, text as t from lines) where {_quality_sql()}",
+    "exclude_apps": f"with {_DOCS} select app_name, count(*) as n, sum(strlen(text))::bigint as bytes from docs where {_AVOID} group by app_name",
+    "exact_dedup": f"with {_DOCS}, ok as (select * from docs where {_AVOID} and length_grapheme(text) >= 3) {_FIRST_TEXT.format('ok')}",
+    "exact_dedup_stats": f"with {_DOCS}, ok as (select * from docs where {_AVOID} and length_grapheme(text) >= 3), n as (select count(*) as processed, count(distinct text) as kept from ok) select processed, kept, processed - kept as removed, case when processed > 0 then (processed - kept) / processed * 100 else 0.0 end as reduction_rate from n",
+    "pair_dedup": f"with {_LINES} select seq, app_name, text from lines qualify row_number() over (partition by app_name, text order by seq) = 1",
+    "consecutive_dedup": f"with {_LINES} select seq, app_name, text from lines where {_ACCEPTED} and {_AVOID} qualify text is distinct from lag(text) over (order by seq)",
+    "ingest": f"with {_DOCS}, parts as (select seq * 1000 + generate_subscripts({_FRAGMENTS}, 1) - 1 as seq, app_name, unnest({_FRAGMENTS}) as part from docs where length_grapheme(text) between 3 and 1000), clean as (select seq, app_name, {_one_line('part')} as text from parts) select * from clean where {_ACCEPTED} and app_name <> 'Finder' qualify text is distinct from lag(text) over (order by seq)",
+    "prefix_dedup_lines": f"with {_LINES}, one as ({_PREFIX_IN.format('lines')}) {_fold_sql('one', 'left(text, 2)', '-length(text), seq', _COVERS)}",
+    "adjacent_prefix": f"""with {_LINES}, ok as (select seq, app_name, text from lines where {_AVOID} and not {_SYMBOL} and strlen(text) >= 3 qualify row_number() over (partition by app_name, text order by seq) = 1),
+marked as (select *, case when lag(app_name) over w is not distinct from app_name and left(lag(text) over w, 1) = left(text, 1) then 0 else 1 end as new from ok window w as (order by seq)),
+runs as (select *, sum(new) over (order by seq) as run from marked)
+{_fold_sql("runs", "run", "seq", "k.seq = kept[-1].seq and (starts_with(k.text, x.text) or starts_with(x.text, k.text))")}""",
+    "longest_prefix": "with words as (select distinct w from (select unnest(regexp_split_to_array(text, '\\s+')) as w from documents) where w <> '') select a.w as word, max_by(b.w, length(b.w)) as prefix from words a left join words b on length(b.w) <= 6 and left(a.w, length(b.w)) = b.w where length(a.w) > 6 group by a.w",
+    "shingles": f"with {_LINES}, g as (select seq, unnest({_GRAMS.format('t', 3)}) as gram from (select seq, {_collapsed('text')} as t from lines where text <> '')) select gram, count(*) as times, count(distinct seq) as texts from g group by gram",
+    "minhash_signature": f"with {_DOCS}, {_signature_sql('docs')} select seq, {', '.join(f'm{k}' for k in range(minhash.SIZE))} from signed",
+    "similar_pairs": f"with {_DOCS}, one as ({_FIRST_TEXT.format('docs')}), {_signature_sql('one')} select a.seq as before, b.seq as node, ({_SAME})::double as similarity from signed a join signed b on a.seq < b.seq where {_NEAR} and {_SAME} >= 0.7",
+    "similar_dedup_98": f"with {_DOCS}, {_signature_sql('docs')} select seq, app_name from signed qualify row_number() over (partition by sig order by seq) = 1",
+    "potential_duplicates": f"with {_DOCS}, {_signature_sql('docs')}, kept as (select * from signed qualify row_number() over (partition by sig order by seq) = 1) select a.seq as before, b.seq as node, ({_SAME})::double as similarity from kept a join kept b on a.seq < b.seq where {_SAME} >= 0.95",
+    "app_counts": f"with {_DOCS} select app_name, count(*) as n from docs group by app_name",
+    "app_statistics": f"with {_LINES} select app_name, count(*) as entries, sum(length_grapheme(text))::bigint as chars from (select distinct app_name, text from lines) where {_AVOID} group by app_name",
+    "totals": f"with {_LINES}, {_totals_sql('lines')} select * from totals",
+    "language_mix": f"with {_LINES}, {_totals_sql('lines')} select unnest(['JA', 'EN', 'Num', 'Other']) as key, unnest([ja, en, num, other]) as value from totals",
+    "summary": f"with {_LINES}, {_totals_sql('lines')} select concat_ws(chr(10), 'Source: combined', 'Entries: ' || entries, 'Characters: ' || chars, 'Mean characters: ' || mean_chars, case when chars > 0 then concat_ws(chr(10), 'Japanese: ' || ja || ' (' || ja_percent || '%)', 'English: ' || en || ' (' || en_percent || '%)', 'Numbers: ' || num || ' (' || num_percent || '%)', 'Other: ' || other || ' (' || other_percent || '%)') end, 'Duplicates removed: ' || duplicates) as summary from totals",
+    "top5_others": f"with {_LINES}, n as (select app_name as key, count(*) as value from (select distinct app_name, text from lines) where {_AVOID} group by app_name), r as (select *, row_number() over (order by value desc, key) as rank from n) select case when rank <= 5 then key else 'Others' end as key, sum(value)::bigint as value from r group by 1",
+    "last_n": f"with {_LINES} select seq, app_name, text from lines order by seq desc limit 1000",
+    "import_new_lines": f"""with {_LINES}, {_CONV},
+parts as (select seq * 1000 + generate_subscripts(regexp_split_to_array(text, '{_BREAK}'), 1) - 1 as seq, app_name, {_trim(f"unnest(regexp_split_to_array(text, '{_BREAK}'))")} as text from conv)
+select p.seq, p.app_name, p.text from parts p where p.text <> '' and length_grapheme(p.text) >= 5 and not (p.app_name = 'user' and p.text in (select text from lines)) qualify row_number() over (partition by p.app_name, p.text order by p.seq) = 1""",
+    "combined_union": f"with {_DOCS}, {_CONV}, u as (select 0::int as source_rank, * from docs union all select 1, * from conv) select source_rank, app_name, count(*) as n, max(seq) as last_seq from u group by source_rank, app_name",
+    "html_nodes": f"with {_NODES} select tree_id, role, count(*) as nodes, sum(length(text))::bigint as chars from nodes group by tree_id, role union all select page_id, 'AXWebArea', count(*), 0 from pages group by page_id",
+    "tree_texts": f"with {_NODES} select tree_id, node_id, role, text from (select *, {_trim('text')} as t from nodes) where {_quality_sql()}",
+    "ngram_counts": f"with {_NGRAMS} select n, gram, times from grams",
+    "ngram_continuations": f"""with {_NGRAMS},
+r as (select n - 1 as n, left(gram, length(gram) - 1) as gram, count(*) as right_kinds from grams where n > 1 group by all),
+l as (select n - 1 as n, substring(gram, 2) as gram, count(*) as left_kinds from grams where n > 1 group by all)
+select n, gram, coalesce(left_kinds, 0) as left_kinds, coalesce(right_kinds, 0) as right_kinds from l full join r using (n, gram)""",
+}
+ORACLE_SQL["separated_statistics"] = (
+    f"with {_LINES}, {_CONV}, tagged as (select 'saved' as scope, app_name, text from lines union all select 'import', app_name, text from conv), "
+    f"every as (select * from tagged union all select 'combined', app_name, text from tagged), {_totals_sql('every', 'scope')} select * from totals"
+)
+ORACLE_SQL["similar_dedup_70"] = f"""with {_DOCS}, ok as (select * from docs where {_AVOID} and strlen(text) >= 20), one as ({_FIRST_TEXT.format("ok")}), {_signature_sql("one")},
+kept as (
+    select list_reduce(list([struct_pack(seq := seq, app_name := app_name, n := length(text), sig := sig)] order by seq),
+        lambda kept, more: case when len(list_filter(kept, lambda k: abs(k.n - more[1].n) * 2 <= greatest(k.n, more[1].n)
+            and len(list_filter(list_zip(k.sig, more[1].sig), lambda z: z[1] = z[2])) >= 14)) > 0 then kept else list_concat(kept, more) end) as rows
+    from signed
+)
+select r.seq as seq, r.app_name as app_name from (select unnest(rows) as r from kept)"""
+ORACLE_SQL["find_duplicates"] = f"""with {_LINES}, ok as (select * from lines where {_AVOID} and length_grapheme(text) >= 3), one as ({_FIRST_TEXT.format("ok")}),
+kept as ({_fold_sql("(" + _PREFIX_IN.format("one") + ")", "left(text, 2)", "-length(text), seq", _COVERS)}), {_signature_sql("kept")}
+select seq, app_name, text from signed qualify row_number() over (partition by sig order by seq) = 1"""
