@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -17,7 +17,12 @@ def corpus(saved: DataFrame, imported: DataFrame, last: int = 100_000) -> DataFr
 
 def counts(texts: DataFrame, most: int = 5) -> DataFrame:
     """``n, gram, times`` for n from 1 to ``most``; texts shorter than n add nothing to n."""
-    each = [F.when(F.length("text") >= n, F.transform(X.char_ngrams("text", n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>")) for n in range(1, most + 1)]
+    none = F.array().cast("array<struct<n:int,gram:string>>")
+
+    def of(n: int) -> Column:
+        return F.when(F.length("text") >= n, F.transform(X.char_ngrams("text", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))).otherwise(none)
+
+    each = [of(n) for n in range(1, most + 1)]
     return texts.select(F.explode(F.concat(*each)).alias("x")).groupBy("x.n", "x.gram").agg(F.count("*").alias("times"))
 
 
