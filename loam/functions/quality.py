@@ -26,7 +26,7 @@ SKIPPED_TITLES = (
     "Reload", "再読み込み", "Bookmarks", "ブックマーク", "History", "履歴", "Downloads", "ダウンロード", "Preferences", "環境設定",
 )
 CJK = "[぀-ゟ゠-ヿ一-龯가-힯]"
-NUMBERS_AND_SYMBOLS = r"""^[\p{Nd}!@#$%^&*()_+\-=\[\]{}|;':",./<>?]*$"""
+NUMBERS_AND_SYMBOLS = r"""\A[\p{Nd}!@#$%^&*()_+\-=\[\]{}|;':",./<>?]*\z"""
 
 
 def quality_content(text: Column | str, role: Column | str) -> Column:

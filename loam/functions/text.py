@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 JAPANESE = "[ぁ-ゖァ-ヺ一-龯]"
 ENGLISH = "[A-Za-z]"
 NUMBER = "[0-9]"
-SYMBOL_OR_NUMBER = r"^[!-@\[-`{-~]*$"
-NAME = r"^[\p{L}\p{M}\p{N}\p{Zs}\t\n\r./-]*$"
+SYMBOL_OR_NUMBER = r"\A[!-@\[-`{-~]*\z"
+NAME = r"\A[\p{L}\p{M}\p{N}\p{Zs}\t\n\r./-]*\z"
 SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
 

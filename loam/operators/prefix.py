@@ -24,12 +24,12 @@ def prefix_conflicts(rows: DataFrame) -> DataFrame:
     n = F.length("text")
     keyed = rows.where(n >= 2).select("app_name", "text", F.struct("app_name", "text").alias("id"))
     share = F.greatest(F.lit(2), F.ceil(n * 3 / 5).cast("int"))
-    short = keyed.select("app_name", F.left("text", share).alias("key"), F.col("id").alias("node"), F.col("text").alias("a"))
+    short = keyed.select(F.col("app_name").alias("app"), F.left("text", share).alias("start"), F.col("id").alias("node"), F.col("text").alias("a"))
     first = F.greatest(F.lit(2), F.ceil(F.ceil(n * 7 / 10) * 3 / 5).cast("int"))
     long = keyed.select("app_name", F.explode(F.sequence(first, share)).alias("k"), F.col("id").alias("before"), F.col("text").alias("b"))
     long = long.select("app_name", F.left("b", F.col("k")).alias("key"), "before", "b")
     covers = (F.length("b") > F.length("a")) & X.close_in_length(F.col("a"), F.col("b"))
-    return short.join(long, ["app_name", "key"]).where(covers).select("node", "before")
+    return short.join(long, F.col("app").eqNullSafe(F.col("app_name")) & (F.col("start") == F.col("key"))).where(covers).select("node", "before")
 
 
 def prefix_dedup(entries: DataFrame) -> DataFrame:

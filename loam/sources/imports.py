@@ -19,7 +19,7 @@ Extractor = Callable[[bytes], "list[str] | None"]
 
 
 def files(spark: SparkSession, folder: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """Files directly in a folder with a supported extension, in any case; PDF files not beyond their limit."""
+    """Files directly in a folder with a supported extension, in any case; PDF files not beyond their limit. Empty files aren't listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.*").load(folder)
     named = found.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("modificationTime").alias("last_modified"), "length", "content")
     kind = X.extension_of("file_name")
