@@ -45,8 +45,9 @@ def lines(text: Column | str) -> Column:
 
 
 def clusters(text: Column | str) -> Column:
-    """Length in grapheme clusters."""
-    return F.regexp_count(col(text), F.lit(r"\X"))
+    """Length in grapheme clusters. Below U+0300 each code point is one, but for a carriage return before a line feed."""
+    t = col(text)
+    return F.when(~t.rlike(r"[^\x00-\x0C\x0E-\x{2FF}]"), F.length(t)).otherwise(F.regexp_count(t, F.lit(r"\X")))
 
 
 def n_bytes(text: Column | str) -> Column:

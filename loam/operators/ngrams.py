@@ -17,13 +17,14 @@ def corpus(saved: DataFrame, imported: DataFrame, last: int = 100_000) -> DataFr
 
 def counts(texts: DataFrame, most: int = 5) -> DataFrame:
     """``n, gram, times`` for n from 1 to ``most``; texts shorter than n add nothing to n."""
-    none = F.array().cast("array<struct<n:int,gram:string>>")
-
-    def of(n: int) -> Column:
-        return F.when(F.length("text") >= n, F.transform(X.char_ngrams("text", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))).otherwise(none)
-
-    each = [of(n) for n in range(1, most + 1)]
-    return texts.select(F.explode(F.concat(*each)).alias("x")).groupBy("x.n", "x.gram").agg(F.count("*").alias("times"))
+    def ahead(chars: Column) -> Column:
+        return F.transform(chars, lambda _, i: F.concat_ws("", *(F.get(chars, i + k) for k in range(most))))
+
+    # one row for each place: the text from there, of ``most`` characters or what is left; shorter grams are its starts
+    places = texts.where(F.length("text") > 0).select(F.explode(X.let(F.split("text", ""), ahead)).alias("gram"))
+    counted = places.groupBy("gram").agg(F.count("*").alias("times"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.struct(n.alias("n"), F.left("gram", n).alias("gram")))
+    return counted.select(F.explode(starts).alias("x"), "times").groupBy("x.n", "x.gram").agg(F.sum("times").alias("times"))
 
 
 def continuations(grams: DataFrame) -> DataFrame:
