@@ -86,6 +86,7 @@ def overlaps(lines: DataFrame, rare: int = RARE) -> DataFrame:
     two = F.transform(F.filter(F.array_distinct(two), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key")))
     keys = lines.select("o", F.explode(F.concat(single, two)).alias("k")).select("o", "k.*")
     first = keys.groupBy("kind", "key").agg(F.min("o").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("kind") == 1) | (F.col("n") <= rare))).drop("n")
+    first = stored(first, "owners")  # so that the join below has its own exchanges, which adaptive execution can split at a common line
     return keys.join(first, ["kind", "key"]).where("o > first").select(F.col("o").alias("later"), "first").distinct()
 
 
