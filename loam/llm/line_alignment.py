@@ -104,7 +104,7 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"))
     lines = documents.where(F.col(text_col).isNotNull()).select(order.alias("o"), line_hashes(text_col, min_words).alias("h"))
-    lines = stored(lines.where(F.exists("h", lambda x: x != 0)), "lines").dropDuplicates(["o"])
+    lines = stored(lines.where(F.exists("h", lambda x: x != 0)).dropDuplicates(["o"]), "lines")
     pairs = stored(overlaps(lines, rare), "overlaps")
     both = pairs.join(lines.select(F.col("o").alias("first"), F.col("h").alias("a")), "first").join(lines.select(F.col("o").alias("later"), F.col("h").alias("b")), "later")
 
