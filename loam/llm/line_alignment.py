@@ -72,8 +72,9 @@ def line_hashes(text: str | F.Column, min_words: int = MIN_WORDS) -> F.Column:
     """A hash for each line of a text, white space at its ends ignored; 0 for lines of fewer words."""
 
     def one(line: F.Column) -> F.Column:
-        bare = F.regexp_replace(line, r"^\s+|\s+$", "")
-        return F.when(F.size(F.split(bare, r"\s+")) >= min_words, F.xxhash64(bare)).otherwise(F.lit(0).cast("long"))
+        bare = F.btrim(line, F.lit(" \t\x0b\f\r"))
+        enough = bare.rlike(r"^\S+(?:\s+\S+){%d}" % (min_words - 1))
+        return F.when(enough, F.xxhash64(bare)).otherwise(F.lit(0).cast("long"))
 
     return F.transform(F.split(text, "\n"), one)
 
