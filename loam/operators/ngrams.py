@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators.exact import union_entries
+from loam.sources import jsonl
 
 
 def corpus(saved: DataFrame, imported: DataFrame, last: int = 100_000) -> DataFrame:
@@ -38,3 +39,17 @@ def continuations(grams: DataFrame) -> DataFrame:
 def merged(old: DataFrame, delta: DataFrame) -> DataFrame:
     """Counts of an incremental run added to those held."""
     return old.unionByName(delta).groupBy("n", "gram").agg(F.sum("times").alias("times"))
+
+
+def rebuild(texts: DataFrame, path: str, most: int = 5) -> None:
+    """Count anew: the base table and, as its copy, the table that incremental runs add to."""
+    counts(texts, most).write.mode("overwrite").parquet(f"{path}/original")
+    texts.sparkSession.read.parquet(f"{path}/original").write.mode("overwrite").parquet(f"{path}/current")
+
+
+def extend(texts: DataFrame, path: str, most: int = 5) -> bool:
+    """Add the counts of new texts to the current table; False if there is none."""
+    spark = texts.sparkSession
+    if not jsonl.exists(spark, f"{path}/current"):
+        return False
+    return jsonl.replace(merged(spark.read.parquet(f"{path}/current"), counts(texts, most)), f"{path}/current", "parquet")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loam.operators import exact, greedy, minhash, ngrams, prefix, statistics, tree
+from loam.operators import apps, exact, greedy, minhash, ngrams, prefix, statistics, tree
 
 ENTRY = "seq long, app_name string, text string"
 
@@ -183,3 +183,21 @@ def test_tree(spark):
     assert [g[3] for g in got if g[0] == 2] == [f"level {i}" for i in range(10)]
     tops = {(r.tree_id, r.node_id): (r.root_id, r.title) for r in tree.root_titles(df).collect()}
     assert tops[1, 4] == (0, "Window") and tops[2, 12] == (0, None)
+
+
+def test_apps(spark):
+    df = spark.createDataFrame([("Mail", "regular"), ("Agent", "accessory"), (None, "regular"), ("Editor", "regular"), ("Mail", "regular")], "app_name string, policy string")
+    names = apps.running(df)
+    assert [r.app_name for r in names.collect()] == ["Editor", "Mail"]
+    assert [r.app_name for r in apps.search(names, "MAI").collect()] == ["Mail"] and apps.search(names, "").count() == 2
+    assert [(r.app_name, r.excluded) for r in apps.listed(names, ["Finder", "Mail"]).collect()] == [("Editor", False), ("Finder", True), ("Mail", True)]
+    assert [r.app_name for r in apps.excluded_present(names, ["Finder", "Mail"]).collect()] == ["Mail"]
+
+
+def test_ngram_tables(spark, tmp_path):
+    df, at = spark.createDataFrame([("aab",)], "text string"), str(tmp_path / "lm")
+    assert not ngrams.extend(df, at)
+    ngrams.rebuild(df, at, 2)
+    assert ngrams.extend(df, at, 2)
+    base, now = ({(r.n, r.gram): r.times for r in spark.read.parquet(f"{at}/{t}").collect()} for t in ("original", "current"))
+    assert now == {k: 2 * v for k, v in base.items()} and base[1, "a"] == 2
