@@ -7,6 +7,9 @@ lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -74,8 +77,24 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``most`` text bytes, or one row."""
+#: What operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Let go of what an operator kept in this worker; for the tasks of the others, as workers are used again."""
+    if any(KEPT):
+        for held in KEPT:
+            held.clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``most`` text bytes, or one row. Releases what was kept, without ``keep``."""
+    if not keep:
+        release()
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._shared import slices, small_batches
+from loam.llm._shared import KEPT, slices, small_batches
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 300_000
@@ -180,6 +180,7 @@ def as_ints(ids: str) -> list[int]:
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+KEPT.append(_CODECS)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -195,7 +196,7 @@ def _mapped(df: DataFrame, text: str, make, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text, 6 << 20):
+            for b in slices(whole, text, 6 << 20, keep=True):
                 names, arrays = make(b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("id"), *arrays], names=["id", *names])
 

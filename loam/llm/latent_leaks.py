@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm._shared import as_bytes, slices, small_batches, stored
+from loam.llm._shared import as_bytes, release, slices, small_batches, stored
 
 WINDOW, RANK, COSINE = 32, 64, 0.3
 #: Least weight that a candidate shares with an item: of the item's, and of the passage's or the item's if that is less.
@@ -95,6 +95,7 @@ class Batch:
     """Documents' terms, laid in half-windows; passage k of a document has its half-windows k and k + 1."""
 
     def __init__(self, b: pa.RecordBatch, space: Space):
+        release()
         self.ids = b.column("id")
         n_words = np.asarray(b.column("n_words")).astype(np.int64)
         sizes = np.asarray(pc.list_value_length(b.column("terms"))).astype(np.int64)
@@ -215,8 +216,8 @@ def candidates(x: Batch, s: Space, cosine: float) -> Iterator[tuple[np.ndarray,
     full = np.array([s.weight[i].sum() for i in s.items])
     key_of = [np.unique(i) for i in s.items]
     keys = np.sort(np.concatenate([k + q * len(s.weight) for q, k in enumerate(key_of)]))
-    for at in range(0, len(some), 4096):
-        p = some[at : at + 4096]
+    for at in range(0, len(some), 1024):
+        p = some[at : at + 1024]
         z = sums[x.first[p]] + sums[x.first[p] + 1]
         cos = z @ s.queries.T / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         i, q = np.nonzero(cos >= cosine)
