@@ -109,14 +109,15 @@ def held_out(id_col: str) -> F.Column:
 
 
 def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, languages: int) -> list:
-    """At most ``rows`` labelled rows of each of the most frequent languages, by a hash of the id."""
+    """Labelled rows of at most ``rows`` ids of each of the most frequent languages, by a hash of the id; one row for an id, the least text."""
     df = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     named = [r[0] for r in df.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()]
     order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where(F.col("lang").isin(named)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    picked = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where(F.col("lang").isin(named)).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= rows)
     ids = [r[0] for r in picked.select("id").distinct().collect()]  # at most rows times languages
-    rows_of = df.where(F.col(id_col).isin(ids)).select(F.col(id_col), F.col(text_col), F.col(lang_col)).collect()
-    return sorted(rows_of, key=lambda r: (str(r[0]), r[2], r[1]))[: rows * languages]
+    one = F.min(F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).alias("one")
+    rows_of = df.where(F.col(id_col).isin(ids)).groupBy(F.col(id_col).alias("id")).agg(one).select("id", "one.text", "one.lang").collect()
+    return sorted(rows_of, key=lambda r: (str(r[0]), r[2], r[1]))
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_A_LANGUAGE, languages: int = LANGUAGES, landmarks: int = LANDMARKS) -> DataFrame:

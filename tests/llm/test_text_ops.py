@@ -163,6 +163,15 @@ def test_langid_with_nothing_to_learn_from(spark):
     assert kernel_langid.identify(docs(spark, [])).count() == 0
 
 
+def test_langid_sample_takes_one_row_of_a_repeated_id(spark):
+    texts = [words(ENGLISH, 20, k) for k in range(60)] + [words(FRENCH, 20, k) for k in range(40)]
+    ids = [1] * 30 + list(range(100, 130)) + list(range(200, 240))
+    df = docs(spark, texts, ["en"] * 60 + ["fr"] * 40, ids)
+    got = kernel_langid.sample(df, "doc_id", "text", "lang", 20, 2)
+    assert len({r[0] for r in got}) == len(got) <= 40 and {r[2] for r in got} == {"en", "fr"}
+    assert [r[1] for r in got if r[0] == 1] in ([], [min(texts[:30])])
+
+
 def test_presence_kernel_against_sets():
     last = np.zeros(kernel_langid.SIZE, np.int64)
     text = b"Abc  abc, abd"
