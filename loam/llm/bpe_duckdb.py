@@ -49,7 +49,7 @@ with recursive step(n, word, pos, token) as (
         where before is distinct from l.rank % 268435456
     )
 )
-select s.word, string_agg(token::varchar, ',' order by pos) as ids, string_agg(hex, '' order by pos) as hex
+select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_string(list(hex order by pos), '') as hex
 from step s join (select word, max(n) as n from step group by word) l using (word, n) join vocabulary using (token)
 group by s.word
 """
