@@ -2,7 +2,8 @@
 
 Each Arrow batch is split by the tokenizer's pattern. Its distinct words become
 token-position rows; a recursive DuckDB query joins them to the merge table and
-contracts each word's leftmost pair of minimum rank until none is left. Ordered
+contracts each word's leftmost pair of minimum rank until none is left; rows carry
+the token and place that follow them, so that a pass takes no window. Ordered
 aggregation gives each word's ids, and decodes ids to bytes. Words recur, so a
 worker keeps the last results in a cache of fixed size; that changes no result.
 
@@ -31,22 +32,24 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 300_000
 
 CONTRACT = """
-with recursive step(n, word, pos, token) as (
-    select 0, word, pos, token from seed
+with recursive step(n, word, pos, token, following, next_pos) as (
+    select 0, word, pos, token, lead(token) over w, lead(pos) over w from seed window w as (partition by word order by pos)
     union all
     (
         with pairs as materialized (
             select s.*, m.merged::bigint * 268435456 + pos as rank
-            from (
-                select *, lead(token) over w as following, lag(pos) over w as before
-                from step window w as (partition by word order by pos)
-            ) s
-            left join merges m on m.pair = s.token::bigint * 65536 + s.following
+            from step s left join merges m on m.pair = s.token::bigint * 65536 + s.following
         ),
-        least as (select word, min(rank) as rank from pairs group by word having min(rank) is not null)
-        select n + 1, word, pos, case when pos = l.rank % 268435456 then (l.rank // 268435456)::int else token end
-        from pairs p join least l using (word)
-        where before is distinct from l.rank % 268435456
+        least as (select word, min(rank) as rank, arg_min(next_pos, rank) as gone from pairs group by word having min(rank) is not null),
+        pulled as (
+            select l.word, (l.rank % 268435456)::int as place, (l.rank // 268435456)::int as made, l.gone, p.following, p.next_pos
+            from pairs p join least l on p.pos = l.gone
+        )
+        select n + 1, word, pos, case when pos = place then made else token end,
+               case when pos = place then l.following when p.next_pos = place then made else p.following end,
+               case when pos = place then l.next_pos else p.next_pos end
+        from pairs p join pulled l using (word)
+        where pos <> gone
     )
 )
 select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_string(list(hex order by pos), '') as hex
