@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line, or two lines in succession however
-common (that finds large groups of near copies, whose lines are in thousands of
-documents). Each later document meets the first document that has such a line or
-pair of lines, so candidates grow with the lines and not with the square of a
-group. Candidates are aligned by patience diff over line hashes; lines in aligned
-common blocks are deleted from the later document.
+Documents overlap if they share a rare passage of ``MIN_WORDS`` words, or one of
+twice as many, or their whole text, however common (that finds large groups of
+near copies, whose lines are in thousands of documents). A passage is a line, or
+as many lines in succession, blank ones left out, as have the words. Each later
+document meets the first document that has such a passage, so candidates grow
+with the lines and not with the square of a group. Candidates are aligned by
+patience diff over line hashes, short and blank lines too; aligned common blocks
+of ``MIN_WORDS`` words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm._shared import as_bytes, slices, small_batches, stored
 
-#: Documents that may have a line for it to be rare; words from which a line counts.
+#: Documents that may have a passage for it to be rare; words from which a line or block counts.
 RARE, MIN_WORDS = 20, 5
 
 
@@ -68,24 +71,86 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def line_hashes(text: str | F.Column, min_words: int = MIN_WORDS) -> F.Column:
-    """A hash for each line of a text, white space at its ends ignored; 0 for lines of fewer words."""
+def aligned(a: list[int], b: list[int], words_a: list[int], words_b: list[int], least: int = MIN_WORDS) -> list[int]:
+    """Places in ``b`` of the lines of common blocks.
 
-    def one(line: F.Column) -> F.Column:
-        bare = F.btrim(line, F.lit(" \t\x0b\f\r"))
-        enough = bare.rlike(r"^\S+(?:\s+\S+){%d}" % (min_words - 1))
-        return F.when(enough, F.xxhash64(bare)).otherwise(F.lit(0).cast("long"))
-
-    return F.transform(F.split(text, "\n"), one)
-
-
-def overlaps(lines: DataFrame, rare: int = RARE) -> DataFrame:
+    Lines of ``least`` words or more are aligned first, then all lines between
+    them. Aligned lines with only blank lines between them are one block; a block
+    goes with these blank lines if it has ``least`` words, or is all that both texts say.
+    """
+    found = patience([x if n >= least else 0 for x, n in zip(a, words_a, strict=True)], [x if n >= least else 0 for x, n in zip(b, words_b, strict=True)])
+    pairs: list[tuple[int, int]] = []
+    i0 = j0 = 0
+    for i, j in [*found, (len(a), len(b))]:
+        pairs += ((i0 + x, j0 + y) for x, y in patience(a[i0:i], b[j0:j]))
+        pairs.append((i, j))
+        i0, j0 = i + 1, j + 1
+    pairs.pop()
+    blocks: list[list[int]] = []  # first place in b, last place in b, words
+    last = (-1, -1)
+    for i, j in pairs:
+        if blocks and not any(words_a[last[0] + 1 : i]) and not any(words_b[last[1] + 1 : j]):
+            blocks[-1][1], blocks[-1][2] = j, blocks[-1][2] + words_b[j]
+        else:
+            blocks.append([j, j, words_b[j]])
+        last = i, j
+    whole = max(sum(words_a), sum(words_b))
+    return [k for first, end, words in blocks if words >= min(least, whole) for k in range(first, end + 1)]
+
+
+def line_hashes(text: str | F.Column, min_words: int = MIN_WORDS) -> tuple[F.Column, F.Column]:
+    """A hash for each line of a text, white space at its ends ignored, and its words, counted up to twice ``min_words``."""
+
+    def words(line: F.Column) -> F.Column:
+        enough = line.rlike(r"^\S+(?:\s+\S+){%d}" % (2 * min_words - 1))
+        return F.when(line == "", 0).when(enough, 2 * min_words).otherwise(F.size(F.split(line, r"\s+")))
+
+    bare = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\x0b\f\r")))
+    return F.transform(bare, lambda line: F.xxhash64(line)), F.transform(bare, words)
+
+
+def passages(h: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``doc, kind, key``, without repeats: hashes of each document's shortest runs of lines, blank ones left out, that have enough words.
+
+    Kind 0 has ``least`` words, kind 1 twice as many, or is the whole of a shorter text.
+    Runs of both kinds from one line that are the same are of kind 1 only.
+    """
+    full = words > 0
+    h, words, doc = h[full].view(np.uint64), words[full], doc[full]
+    at = np.arange(len(h))
+    stop, before = np.searchsorted(doc, doc, "right"), np.concatenate([[0], np.cumsum(words)])
+    short, long = (np.searchsorted(before, before[:-1] + n) for n in (least, 2 * least))
+    start = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]
+    long = np.where(start, np.minimum(long, stop), long)
+    out = []
+    for kind, end, some in ((0, short, (short <= stop) & (short != long)), (1, long, long <= stop)):
+        i, end = at[some], end[some]
+        key = np.zeros(len(i), np.uint64)
+        for k in range(int((end - i).max(initial=0))):
+            inside = i + k < end
+            key[inside] = key[inside] * np.uint64(0x9E3779B97F4A7C15) + h[i[inside] + k]
+        out.append((doc[i], np.full(len(i), kind, np.int32), key.view(np.int64)))
+    d, kind, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((key, kind, d))
+    d, kind, key = d[order], kind[order], key[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
+    return d[new], kind[new], key[new]
+
+
+def overlaps(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """``(later, first)``: for each document the earlier documents that it is aligned with."""
-    single = F.transform(F.array_distinct("h"), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("key")))
-    single = F.filter(single, lambda x: x["key"] != 0)
-    two = F.zip_with(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), lambda x, y: F.when((x != 0) & (y != 0), F.xxhash64(x, y)))
-    two = F.transform(F.filter(F.array_distinct(two), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("key")))
-    keys = lines.select("o", F.explode(F.concat(single, two)).alias("k")).select("o", "k.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w = b.column("h"), b.column("w")
+            doc = np.repeat(np.arange(len(h)), h.value_lengths().to_numpy(zero_copy_only=False))
+            d, kind, key = passages(h.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False), doc, min_words)
+            for k in range(0, len(d), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(d[part])), pa.array(kind[part]), pa.array(key[part])], names=["o", "kind", "key"])
+
+    keys = lines.mapInArrow(run, f"o {lines.schema['o'].dataType.simpleString()}, kind int, key long")
     first = keys.groupBy("kind", "key").agg(F.min("o").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("kind") == 1) | (F.col("n") <= rare))).drop("n")
     first = stored(first, "owners")  # so that the join below has its own exchanges, which adaptive execution can split at a common line
     return keys.join(first, ["kind", "key"]).where("o > first").select(F.col("o").alias("later"), "first").distinct()
@@ -97,25 +162,27 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier means a lesser id; null ids come last, and of equal ids the text
     with the lesser hash comes first. Rows equal in id and text count as one
     document: both are treated alike, and neither is held against the other.
-    Lines of fewer than ``min_words`` words, empty ones too, are never deleted.
+    Lines of fewer than ``min_words`` words, empty ones too, are deleted only
+    within a common block that has as many.
     A null text stays null with no lines. All columns are returned; the three
     new ones take the place of columns of their names.
     """
     spark = documents.sparkSession
     small_batches(spark)
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"))
-    lines = documents.where(F.col(text_col).isNotNull()).select(order.alias("o"), line_hashes(text_col, min_words).alias("h"))
-    lines = stored(lines.where(F.exists("h", lambda x: x != 0)).dropDuplicates(["o"]), "lines")
-    pairs = stored(overlaps(lines, rare), "overlaps")
-    both = pairs.join(lines.select(F.col("o").alias("first"), F.col("h").alias("a")), "first").join(lines.select(F.col("o").alias("later"), F.col("h").alias("b")), "later")
+    lines = documents.where(F.col(text_col).isNotNull()).select(order.alias("o"), *(c.alias(n) for c, n in zip(line_hashes(text_col, min_words), "hw", strict=True)))
+    lines = stored(lines.where(F.exists("w", lambda x: x > 0)).dropDuplicates(["o"]), "lines")
+    pairs = stored(overlaps(lines, rare, min_words), "overlaps")
+    both = pairs.join(lines.select(F.col("o").alias("first"), F.col("h").alias("a"), F.col("w").alias("words_a")), "first")
+    both = both.join(lines.select(F.col("o").alias("later"), F.col("h").alias("b"), F.col("w").alias("words_b")), "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [[j for _, j in patience(x, y)] for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+            got = [aligned(*x, min_words) for x in zip(*(b.column(n).to_pylist() for n in ("a", "b", "words_a", "words_b")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("later"), pa.array(got, pa.list_(pa.int32()))], names=["later", "places"])
 
     kind = lines.schema["o"].dataType.simpleString()
-    places = both.select("later", "a", "b").mapInArrow(run, f"later {kind}, places array<int>")
+    places = both.select("later", "a", "b", "words_a", "words_b").mapInArrow(run, f"later {kind}, places array<int>")
     gone = places.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("__gone"), F.count("*").alias("__aligned"))
     gone = gone.select(F.col("later.id").alias("__id"), F.col("later.print").alias("__print"), "__gone", "__aligned")
     out = documents.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print")), "left")

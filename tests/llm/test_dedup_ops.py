@@ -178,3 +178,12 @@ def test_patience_is_a_common_subsequence(seed):
     once = list(range(1, 20))
     moved = [x for x in once if r.random() < 0.7]
     assert len(line_alignment.patience(once, moved)) == sum(m.size for m in SequenceMatcher(None, once, moved).get_matching_blocks())
+
+
+def test_short_and_blank_lines_go_with_their_block(spark):
+    page = "\n".join(["Title", "", line(1), "", "by me", "", line(2), "end", ""])
+    menu = "\n".join(["Home", "About us", "", "Contact", "Imprint", "Top"])
+    texts = {0: page, 1: page, 2: "Menu\n" + page + "\nBye", 3: menu, 4: menu, 5: "Hi there", 6: "Hi there", 7: "Title\n" + line(9)}
+    got = {r.doc_id: r for r in line_alignment.align(docs(spark, list(texts.values()), list(texts))).collect()}
+    assert [got[k].text for k in range(8)] == [page, "", "Menu\nBye", menu, "", "Hi there", "", texts[7]]
+    assert got[1].n_removed == got[1].n_lines == 9
