@@ -187,3 +187,15 @@ def test_short_and_blank_lines_go_with_their_block(spark):
     got = {r.doc_id: r for r in line_alignment.align(docs(spark, list(texts.values()), list(texts))).collect()}
     assert [got[k].text for k in range(8)] == [page, "", "Menu\nBye", menu, "", "Hi there", "", texts[7]]
     assert got[1].n_removed == got[1].n_lines == 9
+
+
+def test_common_passages_are_found_whatever_their_count(spark):
+    para = [line(1), "", line(2)]
+    long = " ".join(f"word{k}" for k in range(60))
+    texts = ["\n".join([f"own {k} of the first kind", *para, f"own {k} of the first kind again"]) for k in range(30)]
+    texts += [f"own {k} of the second kind\n{long}\nown {k} of the second kind again" for k in range(30)]
+    texts += [line(3)] * 30
+    got = {r.doc_id: r.text.split("\n") for r in line_alignment.align(docs(spark, texts), rare=5).collect()}
+    assert all(line(1) not in got[k] and line(2) not in got[k] and len(got[k]) == 2 for k in range(1, 30))
+    assert all(long not in got[k] and len(got[k]) == 2 for k in range(31, 60))
+    assert got[60] == [line(3)] and all(got[k] == [""] for k in range(61, 90))
