@@ -116,8 +116,8 @@ def _html_nodes(s: SparkSession, d: str) -> DataFrame:
     return tree.html_nodes(s.read.parquet(f"{d}/pages.parquet")).groupBy("tree_id", "role").agg(F.count("*").alias("nodes"), F.coalesce(F.sum(F.length(F.array_join("value", ""))), F.lit(0)).cast("bigint").alias("chars"))
 
 
-def _ngrams(s: SparkSession, d: str) -> DataFrame:
-    return ngrams.counts(ngrams.corpus(views.documents(s, d), views.conversations(s, d)), 3)
+def _ngrams(s: SparkSession, d: str, most: int = 3) -> DataFrame:
+    return ngrams.counts(ngrams.corpus(views.documents(s, d), views.conversations(s, d)), most)
 
 
 def _continuations(s: SparkSession, d: str) -> DataFrame:
@@ -160,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_texts": _tree_texts,
     "ngram_counts": _ngrams,
     "ngram_continuations": _continuations,
+    "ngram_counts_5": lambda s, d: _ngrams(s, d, 5),
+    "ngram_continuations_5": lambda s, d: ngrams.continuations(_ngrams(s, d, 5)),
 }
 
 

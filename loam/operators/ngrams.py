@@ -10,9 +10,11 @@ from loam.operators.exact import union_entries
 from loam.sources import jsonl
 
 
-def corpus(saved: DataFrame, imported: DataFrame, last: int = 100_000) -> DataFrame:
-    """Texts of the last rows of both sources, saved before imported."""
+def corpus(saved: DataFrame, imported: DataFrame, last: int | None = None) -> DataFrame:
+    """Texts of both sources; with ``last``, of their last rows only, saved before imported."""
     both = union_entries(saved, imported)
+    if last is None:
+        return both.select("text")
     return both.orderBy(F.desc("source_rank"), F.desc("seq")).limit(last).select("text")
 
 

@@ -201,3 +201,14 @@ def test_ngram_tables(spark, tmp_path):
     assert ngrams.extend(df, at, 2)
     base, now = ({(r.n, r.gram): r.times for r in spark.read.parquet(f"{at}/{t}").collect()} for t in ("original", "current"))
     assert now == {k: 2 * v for k, v in base.items()} and base[1, "a"] == 2
+
+
+def test_ngrams_count_every_row(spark):
+    import __spark_entry__
+
+    rows = spark.range(100_000).selectExpr("id as seq", "'app' as app_name", "'n' as text")
+    saved = spark.createDataFrame([(1, "app", "saved")], "seq long, app_name string, text string")
+    assert ngrams.corpus(saved, rows).where("text = 'saved'").count() == 1
+    assert ngrams.corpus(saved, rows).count() == 100_001
+    got = __spark_entry__.queries()["ngram_counts_5"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.n for r in got.select("n").distinct().collect()) == [1, 2, 3, 4, 5]
