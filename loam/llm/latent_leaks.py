@@ -7,7 +7,7 @@ leading right singular vectors, found by a distributed randomised SVD: each task
 multiplies its passages by a random matrix and back (one power iteration), and
 the sums, one row for each benchmark term, are made orthonormal on the driver.
 Passages near an item by cosine in that space are candidates, if they share enough
-of its weight. Each is read against the item: the longest common subsequence of words has to hold most of
+of its weight; an item of more than two windows is looked for by its windows too. Each is read against the item: the longest common subsequence of words has to hold most of
 the item, or a good part of it together with its answer, the item's last words.
 
 The driver holds matrices of the benchmark's terms times ``rank``. That the
@@ -80,6 +80,9 @@ class Space:
         self.ids, words = [i for i, _ in items], [words_of(t) for _, t in items]
         self.term = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.items = [[self.term[w] for w in ws] for ws in words]
+        # what passages are compared with: each item, and windows of those of which a passage may hold too little
+        cuts = [(k, x[min(at, len(x) - window) :][:window]) for k, x in enumerate(self.items) if len(x) > 2 * window for at in range(0, len(x), window)]
+        self.parts, self.of = [*self.items, *(x for _, x in cuts)], [*range(len(self.items)), *(k for k, _ in cuts)]
         self.weight = np.ones(len(self.term), np.float32)
         self.basis = self.queries = self.member = None
 
@@ -203,18 +206,18 @@ def fit(found: DataFrame, space: Space, rank: int, common: float) -> int:
     basis = np.linalg.qr(_summed(found, iterate, n_terms, width) + 1e-9 * start)[0]
     share.unpersist()
     space.basis = (basis * space.weight[:, None]).astype(np.float32)
-    q = np.stack([space.basis[i].sum(0) for i in space.items])
+    q = np.stack([space.basis[i].sum(0) for i in space.parts])
     space.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return halves
 
 
 def candidates(x: Batch, s: Space, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Passages, items and cosines of pairs that are near in the latent space and share enough weight."""
+    """Passages, parts of items and cosines of pairs that are near in the latent space and share enough weight."""
     sums, mass = x.sums(s.basis), np.bincount(x.half, weights=s.weight[x.terms], minlength=x.n_rows)
     left, right = np.searchsorted(x.half, x.first), np.searchsorted(x.half, x.first + 2)
     some = np.flatnonzero(right > left)
-    full = np.array([s.weight[i].sum() for i in s.items])
-    key_of = [np.unique(i) for i in s.items]
+    full = np.array([s.weight[i].sum() for i in s.parts])
+    key_of = [np.unique(i) for i in s.parts]
     keys = np.sort(np.concatenate([k + q * len(s.weight) for q, k in enumerate(key_of)]))
     for at in range(0, len(some), 1024):
         p = some[at : at + 1024]
@@ -270,7 +273,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for ps, qs, cos in candidates(x, s, cosine):
                 for p, q, c in zip(ps.tolist(), qs.tolist(), cos.tolist(), strict=True):
-                    d, item = int(x.owner[p]), s.items[q]
+                    d, q = int(x.owner[p]), s.of[q]
+                    item = s.items[q]
                     middle, reach = (int(x.nth[p]) + 1) * s.half, max(window, len(item) + s.half)
                     lo, hi = x.begin[d], x.begin[d + 1]
                     places = x.all_places[lo:hi]

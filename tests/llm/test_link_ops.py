@@ -132,3 +132,14 @@ def test_pipeline(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
     assert 0 < len(out) < len(docs) and len({r.doc_id for r in out}) == len(out) and {r.doc_id for r in out} <= docs.keys()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "bpe_tokens"]
+
+
+def test_latent_leaks_of_long_items(spark):
+    r = random.Random(11)
+    items = [sentence(r, n) for n in (40, 150, 300, 700)]
+    texts = [sentence(r, 200) for _ in range(60)]
+    for q, item in enumerate(items):
+        texts[10 * q] = texts[10 * q] + " " + item + " " + sentence(r, 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in latent_leaks.leaks(df, bench).collect()} == {(10 * q, q) for q in range(4)}
