@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import bpe_duckdb, latent_leaks, line_alignment, quality_divergence, simhash_tiles
-from loam.llm._shared import stored
+from loam.llm._shared import among, by_text, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the language references keep; of a repeated id all rows go if one is rejected."""
-    rejected = quality_divergence.judge(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that the base rules and the language references keep; rows of one id are judged by their own texts."""
+    rejected = quality_divergence.judge(by_text(docs, "doc_id", "text"), "__row").where("not kept")
+    return among(docs, rejected, "doc_id", "text", "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def by_text(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``documents`` with ``__row``, their id and a hash of the text; null ids are greater than all others."""
+    return documents.withColumn("__row", F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print")))
+
+
+def among(documents: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``documents`` joined, ``left_semi`` or ``left_anti``, to the ``__row`` of ``rows`` by id and hash of the text."""
+    rows = rows.select(F.col("__row.id").alias("__id"), F.col("__row.print").alias("__print")).distinct()
+    return documents.join(rows, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print")), how)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every table that ``stored`` has written in this session's shared folder; for use after a run."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loam")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm._shared import as_bytes, release, slices, small_batches, stored
+from loam.llm._shared import among, as_bytes, by_text, release, slices, small_batches, stored
 
 WINDOW, RANK, COSINE = 32, 64, 0.3
 #: Least weight that a candidate shares with an item: of the item's, and of the passage's or the item's if that is less.
@@ -293,6 +293,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``documents`` without the rows that restate a benchmark item."""
-    found = stored(leaks(documents, benchmark, id_col, text_col, **settings).select(F.col(id_col).alias("__leak")).distinct(), "leaks")
-    return documents.join(found, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    """``documents`` without the rows that restate a benchmark item; other texts of their ids stay."""
+    found = stored(leaks(by_text(documents, id_col, text_col), benchmark, "__row", text_col, **settings).select("__row").distinct(), "leaks")
+    return among(documents, found, id_col, text_col, "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._shared import as_bytes, components, slices, small_batches, stored
+from loam.llm._shared import among, as_bytes, by_text, components, slices, small_batches, stored
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints of one block; a task holds two blocks.
@@ -137,6 +137,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``documents`` without the rows whose component has a row of a lesser id; of repeated ids one row stays."""
-    found = near_duplicates(documents, id_col, text_col, **settings).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return documents.join(found, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """``documents`` without the rows whose component has a row of a lesser id.
+
+    Of equal ids the text with the lesser hash counts as less; of rows equal in id and text one stays.
+    """
+    found = near_duplicates(by_text(documents, id_col, text_col), "__row", text_col, **settings).where(F.col("__row") == F.col("component_id"))
+    kept = by_text(among(documents, found, id_col, text_col, "left_semi"), id_col, text_col)
+    return kept.dropDuplicates(["__row"]).drop("__row")

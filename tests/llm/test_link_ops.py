@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loam.llm import latent_leaks, queries, quote_threads, redirect_blocks
+from loam.llm import latent_leaks, queries, quote_threads, redirect_blocks, simhash_tiles
 
 
 def test_quote_threads(spark):
@@ -143,3 +143,20 @@ def test_latent_leaks_of_long_items(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in latent_leaks.leaks(df, bench).collect()} == {(10 * q, q) for q in range(4)}
+
+
+def test_stages_drop_rows_by_id_and_text(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    item, clean = sentence(r, 30), [sentence(r, 120) for _ in range(6)]
+    rows = [(1, clean[0]), (7, clean[0]), (7, clean[1]), (None, clean[2]), (None, clean[3]), (8, clean[4] + " " + item), (8, clean[5]), (None, item + " " + clean[1]), (None, "too short"), (7, "too short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'xx' as lang", "1 as id", "2 as print")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    clean_rows = [rows[k] for k in (0, 2, 3, 4, 6)]
+    left = sorted(((x.doc_id, x.text) for x in simhash_tiles.keep_one(df.where("text <> 'too short'")).collect()), key=str)
+    assert left == sorted([*clean_rows, rows[5], rows[7]], key=str)
+    left = {(x.doc_id, x.text) for x in latent_leaks.drop_leaks(df, bench).collect()}
+    assert left == set(rows) - {rows[5], rows[7]}
+    left = {(x.doc_id, x.text) for x in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    assert left == set(rows[:8])
