@@ -22,7 +22,19 @@ from loam.llm._shared import as_bytes, slices, small_batches
 
 #: The fixed phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates of license notices and of whole licenses, by the label that they add.
+#: The BSD licenses; what stands between the conditions on copies and the disclaimer is left open.
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " <<var;name=mark;match=0..1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " <<var;name=mark;match=0..1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+    " in the documentation and or other materials provided with the distribution{}"
+    " this software is provided by <<var;name=holder;match=1..12>> as is and any express or implied warranties including but not limited to"
+    " the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;name=holder;match=1..12>> be liable"
+    " for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"
+    " loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort"
+    " including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+#: Templates of license notices and of whole licenses, by the label that they add; mit-text is the grant of the MIT license alone.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license <<beginOptional>>version<<endOptional>> 2.0",
     "cc-by-4.0": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4.0",
@@ -35,13 +47,27 @@ TEMPLATES = {
         " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"
         " sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
     ),
+    "mit-whole": (
+        "permission is hereby granted free of charge to any person obtaining a copy of <<var;name=software;match=1..6>> and associated documentation files"
+        " the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute"
+        " sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"
+        " fitness for a particular purpose and noninfringement in no event shall <<var;name=holder;match=1..10>> be liable for any claim damages or other liability"
+        " whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ),
     "isc-text": (
         "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"
         " provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and <<var;name=holder;match=1..10>> all warranties with regard to this software including all implied warranties"
+        " of merchantability and fitness in no event shall <<var;name=holder;match=1..10>> be liable for any special direct indirect or consequential damages"
+        " or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"
+        " arising out of or in connection with the use or performance of this software"
     ),
-    "bsd-2-clause": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-        " <<var;name=mark;match=0..1>> redistributions of source code must retain the above copyright notice"
+    "bsd-2-clause": _BSD.format(""),
+    "bsd-3-clause": _BSD.format(
+        " <<var;name=mark;match=0..1>> neither the name of <<var;name=holder;match=1..12>> nor the names of <<var;name=its;match=0..1>> contributors"
+        " may be used to endorse or promote products derived from this software without specific prior written permission"
     ),
 }
 _KEPT = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 0x7F else 0x20 for c in range(256))
