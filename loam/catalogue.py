@@ -160,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_texts": _tree_texts,
     "ngram_counts": _ngrams,
     "ngram_continuations": _continuations,
+}
+#: Queries without SQL.
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngram_counts_5": lambda s, d: _ngrams(s, d, 5),
     "ngram_continuations_5": lambda s, d: ngrams.continuations(_ngrams(s, d, 5)),
 }
