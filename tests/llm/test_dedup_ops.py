@@ -56,6 +56,41 @@ def test_suffix_dedup_repeated_rows_null_ids_and_chunks(spark, monkeypatch):
     assert sum(a[3] for a in whole) == len(text) - 39 and all(0 <= a[4] + a[3] - 1 for a in whole)
 
 
+def test_suffix_dedup_retries_with_another_base_when_hashes_collide(spark):
+    r = random.Random(11)
+    a, b = "".join(r.choice("abcd") for _ in range(120)), "xyz" * 15
+    mixed = a[:60] + "zy" + a[60:]
+    a = a[:60] + "yz" + a[60:]  # a sum of bytes can't tell strings with both from those of mixed
+    texts = [a, mixed, b + a[:60] + b, b + mixed[:60], a + b, "q" * 100, mixed + "!"]
+    for hot in (1, 256):
+        got = {x.doc_id: x for x in suffix_dedup.dedup(docs(spark, texts), length=40, anchor=20, hot=hot, bases=(1, suffix_dedup.BASE)).collect()}
+        assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == brute_windows(texts, 40)
+    with pytest.raises(RuntimeError):
+        suffix_dedup.dedup(docs(spark, texts), length=40, anchor=20, bases=(1,))
+
+
+def test_suffix_dedup_many_equal_rows_of_one_id(spark):
+    text = "".join(random.Random(6).choice("abcdefghij ") for _ in range(2000))
+    texts = [text] * 400 + [text[:900], "z" + text[500:1500]]
+    got = suffix_dedup.dedup(docs(spark, texts, [1] * 400 + [2, 3]), length=40, anchor=20).collect()
+    assert sorted((x.doc_id, x.n_removed, x.n_spans) for x in got) == [(1, 2000, 1)] * 400 + [(2, 900, 1), (3, 1000, 1)]
+
+
+def test_suffix_dedup_very_long_and_periodic_texts(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh") for _ in range(300_000))
+    texts = [long, "Retionly " * 20_000, "x" + "Retionly " * 3000, "\U0001f600" * 5000, long[100_000:200_000]]
+    got = {x.doc_id: x for x in suffix_dedup.dedup(docs(spark, texts), length=40, anchor=20, keep_bytes=False).collect()}
+    assert [got[i].n_removed for i in range(5)] == [100_000, 180_000, 27_000, 20_000, 100_000]
+    assert [got[i].n_spans for i in range(5)] == [1] * 5
+
+
+def test_stretches_join_what_is_in_step():
+    own, other = (1, 10), (2, 20)
+    entries = [(0, 5, other, 7), (5, 3, other, 12), (8, 9, own, 8), (17, 9, own, 8), (26, 9, own, 8), (40, 2, other, 12)]
+    assert suffix_dedup.stretches(own, entries) == [(0, 8, 7, other), (8, 17, 8, None), (17, 35, 8, own), (40, 42, 5, own)]
+
+
 def test_suffix_order_sorts():
     data = np.frombuffer(b"banana bandana banana ban", np.uint8)
     h = suffix_dedup.Hashes(data)
