@@ -32,7 +32,7 @@ def brute_windows(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, 2000), (1, 2000), (2, 2), (3, 2)])
+@pytest.mark.parametrize(("seed", "hot"), [(0, 2000), (1, 2000), (2, 4), (3, 2), (4, 1), (5, 1)])
 def test_suffix_dedup_against_brute_force(spark, seed, hot):
     r = random.Random(seed)
     letters = "ab" if seed % 2 else "abcdefgh é"
@@ -101,6 +101,10 @@ def test_suffix_order_sorts():
     assert got == sorted(got)
 
 
+def test_windows_that_all_differ():
+    assert not any(f.any() for f in suffix_dedup.repeated_windows([b"abcdef", b"ghijkl"], np.zeros(2, int), np.array([1, 2]), 4))
+
+
 def test_hash_collision_is_verified(monkeypatch):
     monkeypatch.setattr(suffix_dedup.Hashes.__init__, "__defaults__", (1,))  # sums alone: all orders of the same bytes collide
     extents = [b"abcdxy", b"badcxy", b"abcdzz"]
