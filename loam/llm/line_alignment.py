@@ -3,11 +3,18 @@
 Documents overlap if they share a rare passage of ``MIN_WORDS`` words, or one of
 twice as many, or their whole text, however common (that finds large groups of
 near copies, whose lines are in thousands of documents). A passage is a line, or
-as many lines in succession, blank ones left out, as have the words. Each later
-document meets the first document that has such a passage, so candidates grow
-with the lines and not with the square of a group. Candidates are aligned by
-patience diff over line hashes, short and blank lines too; aligned common blocks
-of ``MIN_WORDS`` words are deleted from the later document.
+as many lines in succession, blank ones left out, as have the words.
+
+A rare passage stands in at most ``RARE`` different texts: each later document that
+has it is aligned with each earlier one. A common passage of twice the words is
+looked up in the first document that has it alone, as all pairs would grow with the
+square of its count. So a later document is aligned with every earlier one that it
+shares rare passages with, and with the first owners of its common ones; a common
+passage that patience leaves unaligned with its first owner (as other lines stand in
+another order there) stays, unless a rare passage leads to another owner. A copy of
+a whole text is aligned with the first of its kind, which says all that the others do.
+Candidates are aligned by patience diff over line hashes, short and blank lines too;
+aligned common blocks of ``MIN_WORDS`` words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -113,7 +120,7 @@ def passages(h: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int = MIN
     """``doc, kind, key``, without repeats: hashes of each document's shortest runs of lines, blank ones left out, that have enough words.
 
     Kind 0 has ``least`` words, kind 1 twice as many, or is the whole of a shorter text.
-    Runs of both kinds from one line that are the same are of kind 1 only.
+    Runs of both kinds from one line that are the same, as they have twice the words, are of kind 1 only.
     """
     full = words > 0
     h, words, doc = h[full].view(np.uint64), words[full], doc[full]
@@ -121,9 +128,9 @@ def passages(h: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int = MIN
     stop, before = np.searchsorted(doc, doc, "right"), np.concatenate([[0], np.cumsum(words)])
     short, long = (np.searchsorted(before, before[:-1] + n) for n in (least, 2 * least))
     start = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(h)]
-    long = np.where(start, np.minimum(long, stop), long)
+    whole = np.where(start, np.minimum(long, stop), long)
     out = []
-    for kind, end, some in ((0, short, (short <= stop) & (short != long)), (1, long, long <= stop)):
+    for kind, end, some in ((0, short, (short <= stop) & (short != long)), (1, whole, whole <= stop)):
         i, end = at[some], end[some]
         key = np.zeros(len(i), np.uint64)
         for k in range(int((end - i).max(initial=0))):
@@ -139,7 +146,10 @@ def passages(h: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int = MIN
 
 
 def overlaps(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(later, first)``: for each document the earlier documents that it is aligned with."""
+    """``(later, first)``: for each document the earlier documents that it is aligned with.
+
+    ``lines`` has ``o``, the order of documents, ``h`` and ``w``, their lines' hashes and words, for texts that differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,9 +161,12 @@ def overlaps(lines: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) ->
                 yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(d[part])), pa.array(kind[part]), pa.array(key[part])], names=["o", "kind", "key"])
 
     keys = lines.mapInArrow(run, f"o {lines.schema['o'].dataType.simpleString()}, kind int, key long")
-    first = keys.groupBy("kind", "key").agg(F.min("o").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("kind") == 1) | (F.col("n") <= rare))).drop("n")
-    first = stored(first, "owners")  # so that the join below has its own exchanges, which adaptive execution can split at a common line
-    return keys.join(first, ["kind", "key"]).where("o > first").select(F.col("o").alias("later"), "first").distinct()
+    owners = keys.groupBy("kind", "key").agg(F.min("o").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("kind") == 1) | (F.col("n") <= rare)))
+    owners = stored(owners, "owners")  # so that the joins below have their own exchanges, which adaptive execution can split at a common line
+    common = keys.join(owners.where(F.col("n") > rare).drop("n"), ["kind", "key"]).where("o > first").select(F.col("o").alias("later"), "first")
+    few = keys.join(owners.where(F.col("n") <= rare).select("kind", "key"), ["kind", "key"]).groupBy("kind", "key").agg(F.sort_array(F.collect_list("o")).alias("all"))  # at most ``rare``
+    each = few.select(F.posexplode("all").alias("k", "later"), "all").select("later", F.explode(F.slice("all", 1, F.col("k"))).alias("first"))
+    return common.unionByName(each).distinct()
 
 
 def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -162,6 +175,7 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Earlier means a lesser id; null ids come last, and of equal ids the text
     with the lesser hash comes first. Rows equal in id and text count as one
     document: both are treated alike, and neither is held against the other.
+    ``rare`` counts texts that differ, so copies of a whole make a line no commoner.
     Lines of fewer than ``min_words`` words, empty ones too, are deleted only
     within a common block that has as many.
     A null text stays null with no lines. All columns are returned; the three
@@ -172,7 +186,11 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"))
     lines = documents.where(F.col(text_col).isNotNull()).select(order.alias("o"), *(c.alias(n) for c, n in zip(line_hashes(text_col, min_words), "hw", strict=True)))
     lines = stored(lines.where(F.exists("w", lambda x: x > 0)).dropDuplicates(["o"]), "lines")
-    pairs = stored(overlaps(lines, rare, min_words), "overlaps")
+    # of documents with the same text the first stands for all; the others are aligned with it
+    alike = lines.groupBy(F.col("o.print").alias("print")).agg(F.min("o").alias("first"))
+    whole = lines.select(F.col("o").alias("later")).join(alike, F.col("later.print") == F.col("print")).where("later <> first").select("later", "first")
+    firsts = lines.join(alike, F.col("o") == F.col("first"), "left_semi")
+    pairs = stored(overlaps(firsts, rare, min_words).unionByName(whole), "overlaps")
     both = pairs.join(lines.select(F.col("o").alias("first"), F.col("h").alias("a"), F.col("w").alias("words_a")), "first")
     both = both.join(lines.select(F.col("o").alias("later"), F.col("h").alias("b"), F.col("w").alias("words_b")), "later")
 

@@ -219,6 +219,49 @@ def test_patience_is_a_common_subsequence(seed):
     assert len(line_alignment.patience(once, moved)) == sum(m.size for m in SequenceMatcher(None, once, moved).get_matching_blocks())
 
 
+def brute_alignment(texts, least=5):
+    """Each text against all texts before it."""
+    def parsed(t):
+        bare = [x.strip(" \t\x0b\f\r") for x in t.split("\n")]
+        return [xxhash.xxh64_intdigest(x) for x in bare], [min(len(x.split()), 2 * least) for x in bare]
+
+    out, seen = [], []
+    for t in texts:
+        h, w = parsed(t)
+        gone = set()
+        for a, wa in seen:
+            gone |= set(line_alignment.aligned(a, h, wa, w, least))
+        seen.append((h, w))
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alignment_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    pool = [line(k) for k in range(25)] + ["short", "", "two words", "a b c d"]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    texts += r.sample(texts, 15) + ["\n".join([line(900), t]) for t in r.sample(texts, 10)]
+    got = {x.doc_id: x.text for x in line_alignment.align(docs(spark, texts), rare=100).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_alignment(texts)
+
+
+def test_copies_are_aligned_with_their_like(spark):
+    x, y = line(1), line(2)
+    texts = [f"{x}\nshort\n{y}", f"{y}\nshort\n{x}", f"{y}\nshort\n{x}"]
+    got = {r.doc_id: r.text for r in line_alignment.align(docs(spark, texts)).collect()}
+    assert got[2] == "" and [got[k] for k in range(3)] == brute_alignment(texts)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    body = [line(k) for k in range(20_000)]
+    texts = ["\n".join(body), "\n".join(body[:9000] + ["own line with some words in it"] + body[9000:]), "word " * 200_000, None, "\n" * 50_000]
+    df = docs(spark, texts).selectExpr("*", "1 as o", "2 as h", "'w' as w", "3 as later", "4 as first", "6 as n_removed")
+    got = {r.doc_id: r for r in line_alignment.align(df).collect()}
+    assert got[0].n_removed == 0 and got[1].text == "own line with some words in it" and got[2].text == texts[2] and got[4].n_removed == 0
+    assert got[1].h == 2 and got[1].later == 3
+
+
 def test_short_and_blank_lines_go_with_their_block(spark):
     page = "\n".join(["Title", "", line(1), "", "by me", "", line(2), "end", ""])
     menu = "\n".join(["Home", "About us", "", "Contact", "Imprint", "Top"])
