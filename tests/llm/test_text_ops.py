@@ -205,3 +205,86 @@ def test_whole_licenses_refuse_other_conditions(spark):
     texts = [head + one + two + end, head + one + two + three + end, head + one + two + advert + three + end, head + one + two, isc + isc_end, isc, mit, mit.replace("shall be included", "may be left out"), head + one.replace("must", "may") + two + end]
     got = {r.doc_id: r.labels for r in license_templates.scan(docs(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == ["bsd-2-clause", "bsd-3-clause", "", "", "isc-text", "", "mit-text,mit-whole", "mit-text", ""]
+
+
+def as_pattern(parts):
+    """A backtracking matcher of the same template, over words each led by a space."""
+    out = ""
+    for kind, *rest in parts:
+        if kind == "word":
+            out += " " + re.escape(rest[0])
+        elif kind == "optional":
+            out += f"(?:{as_pattern(rest[0])})?"
+        else:
+            out += "(?: [^ ]+){%s,%s}" % (rest[0], "" if rest[1] is None else rest[1])
+    return out
+
+
+def random_template(r, depth=0):
+    parts, text = [], ""
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["word", "word", "optional", "var"]) if depth < 3 else "word"
+        if kind == "word":
+            w = r.choice("abc")
+            parts.append(("word", w))
+            text += f" {w} "
+        elif kind == "optional":
+            inner, marked = random_template(r, depth + 1)
+            parts.append(("optional", inner))
+            text += f"<<beginOptional>>{marked}<<endOptional>>"
+        else:
+            least, most = r.choice([(0, 1), (1, 1), (1, 2), (0, None), (1, None)])
+            parts.append(("words", least, most))
+            match = {None: ".*" if least == 0 else ".+"}.get(most, f"{least}..{most}")
+            text += f'<<var;name="x";original="a <b>; c";match="{match}">>'
+    return parts, text
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_nested_markup_against_a_backtracking_matcher(seed):
+    r = random.Random(seed)
+    parts, text = random_template(r)
+    if not any(p[0] == "word" for p in parts):
+        with pytest.raises(ValueError, match="mandatory"):
+            license_templates.compiled(text)
+        return
+    states, accepting = license_templates.compiled(text)
+    whole = re.compile(as_pattern(parts) + r"(?= |$)")
+    for _ in range(60):
+        words = [r.choice("abcd") for _ in range(r.randint(0, 9))]
+        assert license_templates.accepts([w.encode() for w in words], states, accepting) is bool(whole.search("".join(f" {w}" for w in words))), (text, words)
+
+
+@pytest.mark.parametrize(
+    ("template", "text", "found"),
+    [
+        ("a <<beginOptional>>b <<var;name=n;match=1..2>> c<<endOptional>> d", "a b q c d", True),
+        ("a <<beginOptional>>b <<var;name=n;match=1..2>> c<<endOptional>> d", "a d", True),
+        ("a <<beginOptional>>b <<var;name=n;match=1..2>> c<<endOptional>> d", "a q d", False),
+        ("a <<beginOptional;name=o>>b <<beginOptional>>c<<endOptional>><<endOptional>> d", "a b d", True),
+        ('a <<var;name="n";original="x";match="(foo|bar)( baz)?">> c', "a bar baz c", True),
+        ('a <<var;name="n";original="x";match="(foo|bar)( baz)?">> c', "a baz c", False),
+        ('a <<var;name="n";original="x";match=".{0,5}">> c', "a xx yy c", True),
+        ('a <<var;name="n";original="x";match=".{0,5}">> c', "a xx yyy c", False),
+        ('a <<var;name="n";original="x";match=".{1,5}">> c', "a c", False),
+        ('a <<var;name="n";original="x";match=".{3,}">><<var;name="m";original="x";match=".*">> c', "a xy xy z c", True),
+        ('<<var;name="n";original="Copyright (c) <year>";match=".{0,5000}">> a b', "so a b", True),
+    ],
+)
+def test_public_markup(template, text, found):
+    states, accepting = license_templates.compiled(template)
+    assert license_templates.accepts(text.encode().split(), states, accepting) is found
+
+
+@pytest.mark.parametrize("template", ["a <<beginOptional>>b", "a <<endOptional>> b", "a <<what>> b", "a <<var;name=n>> b", 'a <<var;match="(">> b', 'a <<var;match="x/y">> b', "a << b", "<<beginOptional>>a<<endOptional>>", "a <<var;match=3..1>>"])
+def test_markup_that_is_not_understood_is_an_error(template):
+    with pytest.raises(ValueError):
+        license_templates.compiled(template)
+
+
+def test_licenses_in_very_long_texts_and_repeated_rows(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    zlib_text = license_templates.TEMPLATES["zlib"].split("<<")[0]
+    texts = ["under " * 400_000 + notice, notice, notice, "under the " * 200_000, zlib_text, re.sub(r"<<(?:\"[^\"]*\"|[^\">])*>>", "authors", license_templates.TEMPLATES["zlib"])]
+    got = {r.doc_id: r for r in license_templates.scan(docs(spark, texts, ids=[0, 1, 1, 3, 4, 5])).collect()}
+    assert got[0].labels == got[1].labels == "apache,apache-2.0" and got[0].n_words == 400_008 and got[3].labels == got[4].labels == ""
