@@ -5,12 +5,16 @@ passages, whole paragraphs and single lines, are normalised and hashed, and join
 to what earlier messages of the conversation say themselves; of several messages
 that said it, the last before the quotation is meant. A message replies to the
 message that it quotes most of at its lowest level. Replies give each message a
-root and a depth; ordered by ``root_turn, depth, turn`` a conversation reads in
-reply order, and its texts are without quotes.
+root, a depth and a position in the root's tree, depth first, replies to one message
+by turn. Ordered by ``root_turn, position`` a conversation reads in reply order: each
+reply comes after what it answers and the replies to that before it, with all that
+follows from these. Its texts are without quotes.
 
 The join to the last earlier saying isn't a join of all pairs: sayings and
 quotations of a passage are sorted by turn, within blocks of turns, and carried
-from block to block.
+from block to block. Positions are ranks on the tour of the trees, which goes down
+and up each reply once; each round of joins doubles the distance that is summed, so
+deep trees take few rounds and no message holds its path.
 """
 
 from __future__ import annotations
@@ -46,11 +50,35 @@ def passages(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(both, normal), lambda x: x != ""))
 
 
+def positions(parents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``conv, turn, left``: for replies ``(conv, turn, parent)`` and what they answer, how many messages are left in the tree from there, itself included.
+
+    A tree's root has all of its tree left, so the difference to that is a message's position.
+    """
+    nodes = parents.select("conv", "turn").unionByName(parents.select("conv", F.col("parent").alias("turn"))).distinct()
+    # each reply's next sibling; siblings are sorted within blocks of turns, and a block's last is given the next block's first
+    child = parents.withColumn("block", F.floor(F.col("turn") / block))
+    inside = Window.partitionBy("conv", "parent", "block").orderBy("turn")
+    blocks = child.groupBy("conv", "parent", "block").agg(F.min("turn").alias("first"))
+    blocks = blocks.withColumn("beyond", F.lead("first").over(Window.partitionBy("conv", "parent").orderBy("block"))).select("conv", "parent", "block", "beyond")
+    sibling = child.withColumn("near", F.lead("turn").over(inside)).join(blocks, ["conv", "parent", "block"]).select("conv", "turn", "parent", F.coalesce("near", "beyond").alias("sibling"))
+    eldest = parents.groupBy("conv", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    # the tour's steps: down to a message (counted) and up from it, each with the step that follows
+    no, yes = F.lit(False), F.lit(True)
+    down = nodes.join(eldest, ["conv", "turn"], "left").select("conv", "turn", no.alias("up"), F.coalesce("child", "turn").alias("to"), F.col("child").isNull().alias("to_up"), F.lit(1).cast("long").alias("ahead"))
+    up = nodes.join(sibling, ["conv", "turn"], "left").select("conv", "turn", yes.alias("up"), F.coalesce("sibling", "parent").alias("to"), F.col("sibling").isNull().alias("to_up"), F.lit(0).cast("long").alias("ahead"))
+    tour = stored(down.unionByName(up), "tour")
+    while not tour.where("to is not null").isEmpty():
+        further = tour.select("conv", F.col("turn").alias("to"), F.col("up").alias("to_up"), F.col("to").alias("over"), F.col("to_up").alias("over_up"), F.col("ahead").alias("more"))
+        tour = stored(tour.join(further, ["conv", "to", "to_up"], "left").select("conv", "turn", "up", F.col("over").alias("to"), F.coalesce("over_up", "to_up").alias("to_up"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead")), "tour")
+    return tour.where("not up").select("conv", "turn", F.col("ahead").alias("left"))
+
+
 def threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``messages``: ids and role, ``clean_text``, ``n_quoted``, ``max_level``, ``parent_turn``, ``root_turn``, ``depth``.
+    """One row for each row of ``messages``: ids and role, ``clean_text``, ``n_quoted``, ``max_level``, ``parent_turn``, ``root_turn``, ``depth``, ``position``.
 
     ``n_quoted`` counts quoting lines. A message that quotes nothing known has no
-    parent; its root is itself and its depth 0. A null text counts as empty. Null
+    parent; its root is itself, its depth and position 0. A null text counts as empty. Null
     conversations or turns link to nothing; their root is their own turn. Rows
     of one conversation and turn say and quote together. Ties for a parent go to
     the later message. Other columns are ignored.
@@ -84,7 +112,10 @@ def threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
         if reach.join(further, ["conv", "up"], "left_semi").isEmpty():
             break
         reach = stored(reach.join(further, ["conv", "up"], "left").select("conv", "turn", F.coalesce("over", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "reach")
-    tree = parents.join(reach, ["conv", "turn"]).select(F.col("conv").alias("in_conv"), F.col("turn").alias("of_turn"), "parent", F.col("up").alias("root"), "depth")
+    left = positions(parents, block)
+    whole = left.select("conv", F.col("turn").alias("up"), F.col("left").alias("size"))
+    placed = parents.join(reach, ["conv", "turn"]).join(left, ["conv", "turn"]).join(whole, ["conv", "up"]).withColumn("position", F.col("size") - F.col("left"))
+    tree = placed.select(F.col("conv").alias("in_conv"), F.col("turn").alias("of_turn"), "parent", F.col("up").alias("root"), "depth", "position")
 
     out = with_lines.join(tree, (F.col("conv") == F.col("in_conv")) & (F.col("turn") == F.col("of_turn")), "left")
     level = F.array_max(F.transform("lines", lambda x: x["level"]))
@@ -92,4 +123,5 @@ def threads(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), at_level(F.col("lines"), 0).alias("clean_text"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), level.cast("long").alias("max_level"),
         F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("position", F.lit(0)).cast("long").alias("position"),
     )
