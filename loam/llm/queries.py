@@ -195,18 +195,21 @@ parents as (
     qualify row_number() over (partition by conv_id, turn order by level, votes desc, target desc) = 1
 ),
 up as (
-    select conv_id, turn, parent as root, 1 as depth from parents
+    select conv_id, turn, parent as root, 1 as depth, [turn] as path from parents
     union all
-    select up.conv_id, up.turn, p.parent, depth + 1 from up join parents p on p.conv_id = up.conv_id and p.turn = up.root
+    select up.conv_id, up.turn, p.parent, depth + 1, list_prepend(up.root, path) from up join parents p on p.conv_id = up.conv_id and p.turn = up.root
+),
+roots as (
+    select *, row_number() over (partition by conv_id, root order by path) as position
+    from (select conv_id, turn, max_by(root, depth) as root, max(depth) as depth, max_by(path, depth) as path from up group by conv_id, turn)
 ),
-roots as (select conv_id, turn, max_by(root, depth) as root, max(depth) as depth from up group by conv_id, turn),
 own as (
     select conv_id, turn, role, coalesce(string_agg(rest, chr(10) order by pos) filter (level = 0), '') as clean_text,
            count(*) filter (level > 0) as n_quoted, max(level) as max_level
     from lines group by conv_id, turn, role
 )
 select conv_id, turn, role, clean_text, n_quoted::bigint as n_quoted, max_level::bigint as max_level, parent as parent_turn,
-       coalesce(root, turn) as root_turn, coalesce(depth, 0)::bigint as depth
+       coalesce(root, turn) as root_turn, coalesce(depth, 0)::bigint as depth, coalesce(position, 0)::bigint as position
 from own left join parents using (conv_id, turn) left join roots using (conv_id, turn)
 """
 
@@ -224,17 +227,43 @@ def _op5_sql() -> str:
     said = "(case " + " ".join(f"when rule = '{r}' then '{v}'" for v, r in rules) + " end)"
     parts = "'(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?'"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    space = "[ \\t\\n\\f\\r]+"
+    host, path = f"coalesce({lower.format(f'regexp_extract(url, {parts}, 1)')}, '')", f"coalesce(regexp_extract(url, {parts}, 2), '')"
+
+    def attribute(tag: str, name: str) -> str:
+        of = f"""'(?is)[\\s"''/]{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))'"""
+        return " || ".join(f"regexp_extract({tag}, {of}, {k})" for k in (1, 2, 3))
+
+    def without_dots(p: str) -> str:
+        segments = f"string_split({p}, '/')"
+        kept = f"list_reduce(list_transform({segments}, lambda x: [x]), lambda k, x: case when x[1] = '.' then k when x[1] = '..' then k[1:greatest(len(k) - 1, 1)] else list_concat(k, x) end)"
+        return f"(case when array_to_string({kept}, '/') = '' then '/' else array_to_string({kept}, '/') || case when {segments}[-1] in ('.', '..') then '/' else '' end end)"
+
+    rest, before = "regexp_extract(t, '^[^?#]*(.*)$', 1)", "regexp_extract(t, '^([^?#]*)', 1)"
+    folder = f"coalesce(nullif(regexp_extract({path}, '^(.*/)', 1), ''), '/')"
     return f"""
-with recursive seen as materialized (
+with recursive pages_seen as materialized (select *, regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g') as h from pages),
+links as (
+    select page_id, url, replace(trim(regexp_replace(t, '{space}', ' ', 'g'), ' '), '&amp;', '&') as t
+    from (
+        select page_id, url, unnest(list_concat(
+            list_transform(list_filter(regexp_extract_all(h, '(?is)<link\\b[^>]*>'), lambda x: list_contains(regexp_split_to_array(lower({attribute("x", "rel")}), '{space}'), 'canonical')), lambda x: {attribute("x", "href")}),
+            list_transform(list_filter(regexp_extract_all(h, '(?is)<meta\\b[^>]*>'), lambda x: lower(trim({attribute("x", "http-equiv")}, ' ')) = 'refresh'), lambda x: regexp_extract({attribute("x", "content")}, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) as t
+        from pages_seen where url is not null and h is not null
+    )
+),
+targets as (
+    select page_id, case when regexp_matches(t, '^(#|$)') then null when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+        when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with(t, '//') then 'http:' || t when not contains(url, '://') then null
+        when starts_with(t, '?') then 'http://' || {host} || {path} || t
+        when starts_with(t, '/') then 'http://' || {host} || {without_dots(before)} || {rest}
+        else 'http://' || {host} || {without_dots(f"({folder} || {before})")} || {rest} end as url
+    from links
+),
+seen as materialized (
     select page_id, url, false as target from pages
     union all
-    select page_id, case when contains(t, '://') then t when starts_with(t, '/') then 'http://' || {lower.format(f"regexp_extract(url, {parts}, 1)")} || t end, true
-    from (
-        select page_id, url, unnest([
-            regexp_extract(regexp_extract(html, '(?is)<link[^>]*\\brel=["'']?canonical\\b[^>]*>'), '(?i)\\bhref=["'']?([^"''\\s>]+)', 1),
-            regexp_extract(regexp_extract(html, '(?is)<meta[^>]*\\bhttp-equiv=["'']?refresh\\b[^>]*>'), '(?i)\\burl=["'']?([^"''\\s>]+)', 1)]) as t
-        from pages where url is not null
-    ) where contains(t, '://') or starts_with(t, '/')
+    select page_id, url, true from targets where url is not null
 ),
 parsed as materialized (
     select *, {rule("host", "path")} as rule,

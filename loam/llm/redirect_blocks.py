@@ -4,7 +4,8 @@ Rules name a host (and its subdomains) and a path prefix; the longest rule that
 fits a URL decides. URLs are equivalent if they differ only in scheme, fragment,
 a leading ``www.`` or ``m.``, a trailing slash or tracking parameters, or if one
 redirects to the other (``<meta http-equiv=refresh>``) or names it as canonical
-(``<link rel=canonical>``). Connected components over these edges carry decisions
+(``<link rel=canonical>``, among other words of ``rel`` too). Links may be relative to
+the page; those in comments don't count. Connected components over these edges carry decisions
 to URLs without a rule: one explicit allow in a component allows, else one block
 blocks, else the URL is allowed. A URL's own rule always stands.
 """
@@ -21,7 +22,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
-CANONICAL, REFRESH = r"""(?is)<link[^>]*\brel=["']?canonical\b[^>]*>""", r"""(?is)<meta[^>]*\bhttp-equiv=["']?refresh\b[^>]*>"""
+COMMENT, LINK, META = r"(?s)<!--.*?(?:-->|$)", r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+SPACES = r"[ \t\n\f\r]+"
 
 
 def host_of(url: Column) -> Column:
@@ -58,12 +60,52 @@ def key_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, whole).otherwise(url)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without it."""
+    of = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*(F.regexp_extract(tag, of, k) for k in (1, 2, 3)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments taken; ``..`` at the top stays there."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The URL that a link on the page ``url`` leads to; null for an empty link, one within the page, and other schemes."""
+    x = F.regexp_replace(F.trim(F.regexp_replace(link, SPACES, " ")), "&amp;", "&")
+    root = F.concat(F.lit("http://"), host_of(url))
+    rest, path = F.regexp_extract(x, r"^[^?#]*(.*)$", 1), F.regexp_extract(x, r"^([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.coalesce(x, F.lit("")).rlike(r"^(#|$)"), F.lit(None).cast("string"))
+        .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), x)
+        .when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(x, F.lit("//")), F.concat(F.lit("http:"), x))
+        .when(F.instr(url, "://") == 0, F.lit(None).cast("string"))
+        .when(F.startswith(x, F.lit("?")), F.concat(root, path_of(url), x))
+        .when(F.startswith(x, F.lit("/")), F.concat(root, without_dots(path), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def targets_of(url: Column, html: Column) -> Column:
-    """The URLs that a page redirects to or names as canonical; a path alone is on the page's host."""
-    href = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"""(?i)\bhref=["']?([^"'\s>]+)""", 1)
-    goes = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"""(?i)\burl=["']?([^"'\s>]+)""", 1)
-    on_host = lambda x: F.when(F.instr(x, "://") > 0, x).when(F.startswith(x, F.lit("/")), F.concat(F.lit("http://"), host_of(url), x))
-    return F.filter(F.array(on_host(href), on_host(goes)), lambda x: x.isNotNull())
+    """The URLs that a page redirects to or names as canonical."""
+    seen = F.regexp_replace(html, COMMENT, "")
+    canonical = F.filter(F.regexp_extract_all(seen, F.lit(LINK), 0), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), SPACES), "canonical"))
+    refresh = F.filter(F.regexp_extract_all(seen, F.lit(META), 0), lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
+    goes = F.transform(refresh, lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    links = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), goes)
+    # most pages have none, which a plain search tells
+    some = F.when(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh")), links)
+    return F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), lambda x: resolved(url, x)), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:

@@ -79,6 +79,95 @@ def test_redirect_blocks(spark):
     assert redirect_blocks.judge(df.limit(0)).count() == 0
 
 
+def test_reply_order_is_depth_first(spark):
+    r = random.Random(3)
+    parent, rows = {}, []
+    for k in range(120):
+        parent[k] = r.choice([None, *range(max(0, k - 25), k)]) if k else None
+        rows.append((1, k, "u", (f"> m{parent[k]} says\n" if parent[k] is not None else "") + f"m{k} says"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (1024, 4):
+        got = {x.turn: x for x in quote_threads.threads(df, block=block).collect()}
+        assert {k: x.parent_turn for k, x in got.items()} == parent
+
+        def walk(k):
+            return [k, *(x for c in sorted(c for c in parent if parent[c] == k) for x in walk(c))]
+
+        for root in (k for k in parent if parent[k] is None):
+            assert [got[k].position for k in walk(root)] == list(range(len(walk(root))))
+            assert all(got[k].root_turn == root for k in walk(root))
+
+
+def test_replies_a_and_b_with_their_own_replies(spark):
+    rows = [(1, 0, "u", "root says"), (1, 1, "u", "> root says\na says"), (1, 2, "u", "> root says\nb says"), (1, 3, "u", "> a says\na1 says"), (1, 4, "u", "> b says\nb1 says"), (1, 3, "u", "> a says\nagain")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "2 as up", "3 as child")
+    got = quote_threads.threads(df).orderBy("root_turn", "position").collect()
+    assert [x.turn for x in got] == [0, 1, 3, 3, 2, 4]
+
+
+def by_sql(name, table, rows, columns):
+    """What the query's SQL gives for one table of these rows."""
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("given", pa.Table.from_pylist([dict(zip(columns, r, strict=True)) for r in rows]))
+    con.execute(f"create table {table} as from given")
+    got = con.execute(queries.ORACLE_SQL[name]).to_arrow_table()
+    return sorted((tuple(r[c] for c in sorted(r)) for r in got.to_pylist()), key=str)
+
+
+def test_reply_order_equals_its_sql(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(100):
+        quoted = [f"{'>' * r.randint(1, 2)} m{r.randrange(k)} says" for _ in range(r.randint(0, 3))] if k else []
+        rows.append((k % 2, k, "u", "\n".join([*quoted, f"m{k} says", "", "more of it"])))
+    columns = ["conv_id", "turn", "role", "text"]
+    got = quote_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((tuple(x[c] for c in sorted(x.asDict())) for x in got), key=str) == by_sql("op3_quote_threads", "conversations", rows, columns)
+    assert max(x.depth for x in got) > 3
+
+
+def test_quotes_in_a_very_long_text(spark):
+    said = "\n".join(f"line {k} of it" for k in range(20_000))
+    rows = [(1, 0, "u", said), (1, 1, "u", "\n".join("> " + x for x in said.split("\n")) + "\nyes"), (1, 2, "u", "> yes\n" + "word " * 200_000), (2, 0, "u", "")]
+    got = {(x.conv_id, x.turn): x for x in quote_threads.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 1].parent_turn, got[1, 1].n_quoted, got[1, 1].clean_text, got[1, 2].position) == (0, 20_000, "yes", 2)
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    pages = ["http://a.org/x/y/z.html", "http://a.org/x/y/", "http://a.org", "http://a.org/", "http://a.org/x?q=1#f"]
+    links = ["page2.html", "../up", "../../../top", "./same", "//b.net/es/1", "/abs/./a/../b", "https://c.de/p?x=1", "?q=2", "d/", "..", "a/b/../../c?x=/../y", "."]
+    df = spark.createDataFrame([(u, x) for u in pages for x in links], "url string, link string")
+    for r in df.select("url", "link", redirect_blocks.resolved(df.url, df.link).alias("to")).collect():
+        want = urljoin(r.url, r.link)
+        assert (r.to if r.to.count("/") > 2 else r.to + "/").removesuffix("#") == (want if want.count("/") > 2 else want + "/"), (r.url, r.link)
+    odd = spark.createDataFrame([("http://a.org/x", x) for x in ("#top", "", "mailto:a@b.c", "javascript:go()", None)], "url string, link string")
+    assert {r[0] for r in odd.select(redirect_blocks.resolved(odd.url, odd.link)).collect()} == {None}
+
+
+def test_redirects_by_relative_links_and_rel_words(spark):
+    rows = [
+        (1, "http://blocked.net/es/1", ""),
+        (2, "http://p.org/dir/a.html", "<link rel='alternate canonical' href='//blocked.net/es/1'>"),
+        (3, "http://p.org/dir/b.html", '<LINK HREF="a.html" REL = "Canonical">'),
+        (4, "http://p.org/c.html", "<meta content='0;URL = dir/b.html' http-equiv=Refresh>"),
+        (5, "http://p.org/sub/d.html", "<meta http-equiv='refresh' content=\"5; url='../c.html'\">"),
+        (6, "http://p.org/e.html", "<!-- <link rel=canonical href=c.html> --> <link rel=stylesheet href=c.html> <a rel=canonical href=c.html>"),
+        (7, "http://p.org/f.html", "<link rel=canonical>" + "<p>text</p>" * 300_000 + "<link rel=canonical href=c.html>"),
+        (8, "http://p.org/g.html", "<link data-rel=canonical href=c.html><link rel=canonicals href=c.html>"),
+    ]
+    got = {r.page_id: r.verdict for r in redirect_blocks.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow"}
+    more = [(20 + k, u, f"<link rel=canonical href='{x}'>") for k, (u, x) in enumerate(zip(["http://a.net/x/y", "http://a.net", "https://www.example.com/en/1/2?q"], ["../es/1", "fr/./z/..", "../../../p"], strict=True))]
+    rows += [*more, (30, "http://a.net/es/1", None), (31, "http://example.com/p", ""), (32, None, "<link rel=canonical href=x>"), (33, "plain", "<link rel=canonical href=/es/>")]
+    got = redirect_blocks.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((tuple(x[c] for c in sorted(x.asDict())) for x in got), key=str) == by_sql("op5_redirect_blocks", "pages", rows, ["page_id", "url", "html"])
+
+
 def sentence(r, n):
     return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) if r.random() < 0.7 else r.choice(["the", "of", "and"]) for _ in range(n))
 
