@@ -7,15 +7,22 @@ the token and place that follow them, so that a pass takes no window. Ordered
 aggregation gives each word's ids, and decodes ids to bytes. Words recur, so a
 worker keeps the last results in a cache of fixed size; that changes no result.
 
-The recursion takes a pass over a word for each of its merges. Words longer than
-``LONG_WORD`` bytes (a base64 blob, say) take the same contractions from a heap.
+The recursion takes a pass over a word for each of its merges, so the work on a word
+grows with its length squared. Words longer than ``LONG_WORD`` bytes (Chinese without
+spaces, a blob) are cut in pieces, which the same query encodes. Tokens are the
+encoding of a word if each two neighbours are the encoding of their joined bytes:
+the first contraction across a boundary of two tokens in the whole word would be the
+first one in these two alone as well, as what is leftmost of least rank in the whole
+is so in a part. So only the tokens at the cuts are tried, again by the query; where
+two fail, some tokens on both sides are encoded anew as one piece, twice as many in
+each round. Such pieces can be long if the word is periodic; a second query contracts
+all pairs of the least rank in a pass that would come one after the other.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -56,6 +63,44 @@ select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_s
 from step s join (select word, max(n) as n from step group by word) l using (word, n) join vocabulary using (token)
 group by s.word
 """
+#: As CONTRACT, for few and long words: in a pass, the pairs of the word's least rank from the left, each second one where
+#: they overlap, up to one whose token makes a pair of lesser rank with a neighbour, which is to come next.
+CONTRACT_ALL = """
+with recursive step(n, word, pos, token) as (
+    select 0, word, pos, token from seed
+    union all
+    (
+        with pairs as materialized (
+            select s.word, s.pos, s.token, m.merged, lag(s.token) over w as left_token, lead(s.token, 2) over w as right_token, row_number() over w as nth
+            from (select *, lead(token) over (partition by word order by pos) as following from step) s left join merges m on m.pair = s.token::bigint * 65536 + s.following
+            window w as (partition by s.word order by s.pos)
+        ),
+        least as (select word, min(merged) as merged from pairs group by word having min(merged) is not null),
+        found as (
+            select p.*, nth - row_number() over (partition by p.word order by pos) as run
+            from pairs p join least l on p.word = l.word and p.merged = l.merged
+        ),
+        chosen as (
+            select * from (select *, row_number() over (partition by word, run order by pos) as place from found) where place % 2 = 1
+        ),
+        limits as (
+            select c.word, min(c.pos) filter (a.merged < c.merged or b.merged < c.merged) as stop
+            from chosen c
+            left join merges a on a.pair = (case when place > 1 then c.merged else left_token end)::bigint * 65536 + c.merged
+            left join merges b on b.pair = c.merged::bigint * 65536 + right_token
+            group by c.word
+        ),
+        done as (select c.word, c.nth, c.merged from chosen c join limits l using (word) where stop is null or pos <= stop)
+        select n.n, p.word, p.pos, coalesce(d.merged, p.token)
+        from pairs p join least l on p.word = l.word cross join (select max(n) + 1 as n from step) n
+        left join done d on d.word = p.word and d.nth = p.nth left join done g on g.word = p.word and g.nth = p.nth - 1
+        where g.nth is null
+    )
+)
+select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_string(list(hex order by pos), '') as hex
+from step s join (select word, max(n) as n from step group by word) l using (word, n) join vocabulary using (token)
+group by s.word
+"""
 DECODE = """
 select item, string_agg(hex, '' order by pos) as hex
 from (select item, unnest(ids) as token, generate_subscripts(ids, 1) as pos from encoded) join vocabulary using (token)
@@ -93,7 +138,7 @@ class Codec:
         self.con.execute(f"create or replace table {name} as from given")
         self.con.unregister("given")
 
-    def by_query(self, words: list[bytes]) -> tuple[list[str], list[str]]:
+    def by_query(self, words: list[bytes], query: str = CONTRACT) -> tuple[list[str], list[str]]:
         """For each word its ids joined by commas, and in hex the bytes that they decode to, by the recursive query."""
         if not words:
             return [], []
@@ -101,35 +146,58 @@ class Codec:
         lengths = np.array([len(w) for w in words])
         letters = np.frombuffer(b"".join(words), np.uint8)
         self.fill("seed", {"word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), lengths)), "pos": pa.array(np.arange(len(letters), dtype=np.int32)), "token": pa.array(one[letters])})
-        done = self.con.execute(CONTRACT).to_arrow_table().sort_by("word")
+        done = self.con.execute(query).to_arrow_table().sort_by("word")
         return done["ids"].to_pylist(), done["hex"].to_pylist()
 
-    def by_heap(self, word: bytes) -> list[int]:
-        """The same contractions for one long word; ties go to the leftmost pair."""
-        n, ranks = len(word), self.ranks
-        token = [ranks[word[i : i + 1]] for i in range(n)]
-        size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (r := ranks.get(word[i : j + size[j]])) is not None:
-                heapq.heappush(heap, (r, i, size[i] + size[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            r, i, held = heapq.heappop(heap)
-            if not size[i] or after[i] >= n or size[i] + size[after[i]] != held:
-                continue
-            j = after[i]
-            token[i], size[i], size[j], after[i] = r, held, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [t for t, s in zip(token, size, strict=True) if s]
+    def tokens(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
+        """The ids of each piece."""
+        out = {p: [self.ranks[p]] for p in pieces if p in self.ranks}
+        rest = [p for p in pieces if p not in out]
+        for query, some in ((CONTRACT, [p for p in rest if len(p) <= self.long_word]), (CONTRACT_ALL, [p for p in rest if len(p) > self.long_word])):
+            for k in range(0, len(some), WORDS_AT_ONCE):
+                out.update(zip(some[k : k + WORDS_AT_ONCE], map(as_ints, self.by_query(some[k : k + WORDS_AT_ONCE], query)[0]), strict=True))
+        return out
+
+    def by_pieces(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of long words, from pieces whose tokens at the cuts are tried and, where need be, encoded anew together."""
+        n, bytes_of = self.long_word, self.bytes_of
+        cut = [[w[i : i + n] for i in range(0, len(w), n)] for w in words]
+        known = self.tokens({p for ps in cut for p in ps})
+        out: list[list[int]] = []
+        tried: list[list[int]] = []  # places in a word's ids of boundaries that are yet to be tried
+        for ps in cut:
+            out.append([t for p in ps for t in known[p]])
+            tried.append(np.cumsum([len(known[p]) for p in ps])[:-1].tolist())
+        reach = 1
+        while any(tried):
+            reach *= 2
+            pairs = {(ids[at - 1], ids[at]) for ids, places in zip(out, tried, strict=True) for at in places}
+            joined = self.tokens({bytes_of[a] + bytes_of[b] for a, b in pairs})
+            spans: list[list[list[int]]] = []
+            for ids, places in zip(out, tried, strict=True):
+                found: list[list[int]] = []
+                for at in places:
+                    a, b = ids[at - 1], ids[at]
+                    if joined[bytes_of[a] + bytes_of[b]] != [a, b]:
+                        lo, hi = max(0, at - reach), min(len(ids), at + reach)
+                        if found and lo <= found[-1][1]:
+                            found[-1][1] = hi
+                        else:
+                            found.append([lo, hi])
+                spans.append(found)
+            anew = [[b"".join(map(bytes_of.__getitem__, ids[lo:hi])) for lo, hi in found] for ids, found in zip(out, spans, strict=True)]
+            known = self.tokens({p for ps in anew for p in ps})
+            for w, (ids, found, ps) in enumerate(zip(out, spans, anew, strict=True)):
+                new, places, at = [], [], 0
+                for (lo, hi), p in zip(found, ps, strict=True):
+                    new += ids[at:lo]
+                    places.append(len(new))
+                    new += known[p]
+                    places.append(len(new))
+                    at = hi
+                new += ids[at:]
+                out[w], tried[w] = new, sorted({p for p in places if 0 < p < len(new)})
+        return out
 
     def decode_many(self, encoded: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by ordered aggregation over the vocabulary."""
@@ -146,7 +214,7 @@ class Codec:
         whole = [i for i, b in enumerate(raw) if b in self.ranks]
         ids = [[self.ranks[raw[i]]] for i in whole]
         long = [i for i, b in enumerate(raw) if len(b) > self.long_word and b not in self.ranks]
-        ids += [self.by_heap(raw[i]) for i in long]
+        ids += self.by_pieces([raw[i] for i in long]) if long else []
         self.long += [words[i] for i in long]
         for i, n, b in zip(whole + long, ids, self.decode_many(ids), strict=True):
             self.ids_of[words[i]], self.bytes_for[words[i]] = ",".join(map(str, n)), b

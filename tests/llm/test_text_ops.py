@@ -135,6 +135,27 @@ def test_bpe_cache_turns_over(monkeypatch, reference_encoding):
             assert bpe_duckdb.as_ints(ids) == reference_encoding.encode_ordinary(t) and decoded == t.encode()
 
 
+@pytest.mark.parametrize("long_word", [2, 5, 16, 256])
+def test_long_words_equal_the_library(reference_encoding, long_word):
+    r = random.Random(long_word)
+    codec = bpe_duckdb.Codec(public_tokenizers.path(bpe_duckdb.RANK_FILE), public_tokenizers.PATTERN, long_word=long_word)
+    words = [b"a" * n for n in (3, 257, 1000, 4001)] + [b"abc" * 700, b"xabcabd" * 300, ("中文字符没有空格" * 90).encode(), b"etaoin" * 211 + b"s" * 500]
+    words += ["".join(r.choice(letters) for _ in range(r.randint(3, 700))).encode() for letters in ("ab", "etaoinsr", "abcdefghijklmnopqrstuvwxyz", "éàaeñ中文") for _ in range(6)]
+    for w, ids in zip(words, codec.by_pieces(words), strict=True):
+        assert ids == reference_encoding._core_bpe.encode_single_piece(w)
+    for w, ids in zip(words, codec.by_query(words, bpe_duckdb.CONTRACT_ALL)[0], strict=True):
+        assert bpe_duckdb.as_ints(ids) == reference_encoding._core_bpe.encode_single_piece(w)
+
+
+def test_very_long_word_and_null_ids(spark, reference_encoding):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "x" * 300_000, "word " * 100_000]
+    for row in bpe_duckdb.encode(docs(spark, texts)).collect():
+        assert row.ids == reference_encoding.encode_ordinary(texts[row.doc_id])
+    got = bpe_duckdb.decode(spark.createDataFrame([(1, None), (2, []), (2, [])], "doc_id long, ids array<int>")).collect()
+    assert sorted((x.doc_id, bytes(x.decoded)) for x in got) == [(1, b""), (2, b""), (2, b"")]
+
+
 def test_unknown_id_is_an_error(spark):
     with pytest.raises(Exception, match="no token has the id"):
         bpe_duckdb.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
