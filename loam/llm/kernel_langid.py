@@ -6,6 +6,13 @@ give Nyström features; kernel ridge regression, one against the rest, is solved
 on those. Presence is binary, so a text's kernel values to all landmarks and the
 regression on them are one matrix product over the landmarks' n-grams, taken for
 a batch of texts at once. Scoring is one pass over whole texts without a shuffle.
+
+Every language that a row states is learned, however many there are. The sample has
+``TOTAL_ROWS`` rows at most, or one of each language; ``ROWS_A_LANGUAGE`` bounds each
+language's share. Texts become n-gram sets in the tasks that read them, so the driver
+holds sets of at most ``SIZE`` codes. The more languages, the fewer landmarks each
+(``TOTAL_LANDMARKS``), and the fewer of the landmarks' n-grams, the most frequent,
+bear weights (``WEIGHTS`` numbers at most, which bind only beyond some 100 languages).
 """
 
 from __future__ import annotations
@@ -21,8 +28,8 @@ from pyspark.sql import functions as F
 
 from loam.llm._shared import slices, small_batches
 
-#: Labelled rows taken for each language, languages (the most frequent), landmarks for each, and the ridge.
-ROWS_A_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 300, 200, 40, 1e-2
+#: Labelled rows taken for each language and in all, landmarks for each and in all, numbers in the model, and the ridge.
+ROWS_A_LANGUAGE, TOTAL_ROWS, LANDMARKS, TOTAL_LANDMARKS, WEIGHTS, RIDGE = 300, 20_000, 40, 3000, 1 << 26, 1e-2
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 BATCH = 256
@@ -68,16 +75,20 @@ class Model:
         return present @ self.weights / norm + self.bias
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Kernel ridge regression on Nyström features of the texts that have a letter; None without such."""
-    kept = [(t, y) for t, y in zip(texts, labels, strict=True) if t and LETTER.search(t)]
-    if not kept:
+def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Kernel ridge regression on Nyström features of texts' n-gram sets; None without a text."""
+    if not sets:
         return None
-    last = np.zeros(SIZE, np.int64)
-    sets = [grams(t.encode(), last) for t, _ in kept]
-    languages = sorted({y for _, y in kept})
-    chosen = [i for y in languages for i in [k for k, (_, z) in enumerate(kept) if z == y][:landmarks]]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
+    languages = sorted(set(labels))
+    each = max(1, min(landmarks, TOTAL_LANDMARKS // len(languages)))
+    first: dict[str, list[int]] = {y: [] for y in languages}
+    for i, y in enumerate(labels):
+        if len(first[y]) < each:
+            first[y].append(i)
+    chosen = [i for y in languages for i in first[y]]
+    codes, times = np.unique(np.concatenate([sets[i] for i in chosen]), return_counts=True)
+    most = WEIGHTS // max(len(languages), len(chosen))
+    vocabulary = np.sort(codes[np.lexsort((codes, -times))[:most]])
     column = np.full(SIZE, -1, np.int32)
     column[vocabulary] = np.arange(len(vocabulary))
 
@@ -85,21 +96,21 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
         m = np.zeros((len(which), len(vocabulary)), np.float32)
         for r, i in enumerate(which):
             c = column[sets[i]]
-            m[r, c[c >= 0]] = 1 / np.sqrt(len(sets[i]))
+            m[r, c[c >= 0]] = 1 / np.sqrt(max(len(sets[i]), 1))
         return m
 
     marks = unit(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     held = values > 1e-8 * values.max()
     root = vectors[:, held] / np.sqrt(values[held])
-    target = np.array([[1.0 if z == y else -1.0 for y in languages] for _, z in kept])
+    target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     bias = target.mean(0)
     gram, right = np.zeros((held.sum(),) * 2), np.zeros((held.sum(), len(languages)))
-    for k in range(0, len(kept), BATCH):
-        phi = (unit(list(range(k, min(k + BATCH, len(kept))))) @ marks.T).astype(float) @ root
+    for k in range(0, len(sets), BATCH):
+        phi = (unit(list(range(k, min(k + BATCH, len(sets))))) @ marks.T).astype(float) @ root
         gram += phi.T @ phi
         right += phi.T @ (target[k : k + BATCH] - bias)
-    solved = np.linalg.solve(gram + ridge * len(kept) / len(chosen) * np.eye(len(gram)), right)
+    solved = np.linalg.solve(gram + ridge * len(sets) / len(chosen) * np.eye(len(gram)), right)
     return Model(languages, column, (marks.T @ (root @ solved)).astype(np.float32), bias.astype(np.float32))
 
 
@@ -108,19 +119,44 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, languages: int) -> list:
-    """Labelled rows of at most ``rows`` ids of each of the most frequent languages, by a hash of the id; one row for an id, the least text."""
-    df = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    named = [r[0] for r in df.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where(F.col("lang").isin(named)).withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= rows)
-    ids = [r[0] for r in picked.select("id").distinct().collect()]  # at most rows times languages
-    one = F.min(F.struct(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))).alias("one")
-    rows_of = df.where(F.col(id_col).isin(ids)).groupBy(F.col(id_col).alias("id")).agg(one).select("id", "one.text", "one.lang").collect()
-    return sorted(rows_of, key=lambda r: (str(r[0]), r[2], r[1]))
+def chosen(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, total: int) -> DataFrame:
+    """``id, text, lang``: labelled rows of at most ``rows`` ids of each language, and ``total`` in all or one a language; one row for an id, the least text.
+
+    Ids are taken in the order of a hash. Only about twice as many as are needed, those of least hash, are sorted.
+    """
+    df = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    named = df.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids"))
+    each = max(1, min(rows, total // max(1, named.count())))
+    share = (F.lit(2.0 * each + 50) / F.greatest("ids", F.lit(1))).alias("share")
+    hashed = df.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("h")).join(named.select("lang", share), "lang")
+    few = hashed.where(F.abs(F.col("h").cast("double")) <= F.col("share") * float(2**63)).groupBy("lang", "id").agg(F.min("h").alias("h"))
+    picked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("h").cast("double")), "h", "id"))).where(F.col("rank") <= each)
+    picked = picked.select("id", "lang")
+    return df.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("id", "text", "lang")  # at most ``total`` rows are broadcast, or one a language
+
+
+def sample(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, total: int) -> list:
+    """The rows of ``chosen``, by id."""
+    return sorted(chosen(documents, id_col, text_col, lang_col, rows, total).collect(), key=lambda r: (str(r[0]), r[2], r[1]))
+
+
+def learned(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, total: int, landmarks: int) -> Model | None:
+    """The model of the chosen rows whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros(SIZE, np.int64)
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sets = [grams(t.encode(), last) if t and LETTER.search(t) else None for t in b.column("text").to_pylist()]
+                keep = [i for i, g in enumerate(sets) if g is not None]
+                yield pa.RecordBatch.from_arrays([b.column(n).take(pa.array(keep, pa.int32())) for n in ("id", "lang")] + [pa.array([np.sort(sets[i]).astype("<i4").tobytes() for i in keep], pa.binary())], names=["id", "lang", "codes"])
+
+    got = chosen(documents, id_col, text_col, lang_col, rows, total).select(F.col("id").cast("string").alias("id"), "lang", "text").mapInArrow(run, "id string, lang string, codes binary").collect()
+    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    return fit([np.frombuffer(bytes(r[2]), "<i4").astype(np.int64) for r in got], [r[1] for r in got], landmarks)
 
 
-def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_A_LANGUAGE, languages: int = LANGUAGES, landmarks: int = LANDMARKS) -> DataFrame:
+def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_A_LANGUAGE, total: int = TOTAL_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
     """One row for each row of ``documents``: id, ``held_out``, ``lang_pred``, ``score`` from 0 to 1.
 
     Learns only from texts and non-null languages of rows that are not held out;
@@ -130,9 +166,8 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each; other columns are ignored.
     """
     small_batches(documents.sparkSession)
-    got = sample(documents, id_col, text_col, lang_col, rows, languages)
-    model = fit([r[1] for r in got], [r[2] for r in got], landmarks)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most SIZE codes, and landmarks' n-grams times languages
+    model = learned(documents, id_col, text_col, lang_col, rows, total, landmarks)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most SIZE codes and WEIGHTS numbers
     df = documents.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,6 +193,39 @@ def test_langid_sample_takes_one_row_of_a_repeated_id(spark):
     assert [r[1] for r in got if r[0] == 1] in ([], [min(texts[:30])])
 
 
+def test_langid_learns_every_language(spark):
+    r = random.Random(4)
+    vocabulary = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(250)}
+    rows = [(y, " ".join(r.choice(vocabulary[y]) for _ in range(30))) for y in vocabulary for _ in range(8)]
+    df = docs(spark, [t for _, t in rows], [y for y, _ in rows])
+    got = {x.doc_id: x for x in kernel_langid.identify(df, total=600).collect()}
+    assert {x.lang_pred for x in got.values()} == set(vocabulary)
+    held = [i for i, x in got.items() if x.held_out]
+    assert len(held) > 300 and np.mean([got[i].lang_pred == rows[i][0] for i in held]) > 0.9
+
+
+def test_langid_one_id_with_most_rows(spark):
+    texts = [words(FRENCH, 20, 1)] * 3000 + [words(ENGLISH, 20, k) for k in range(20)]
+    got = kernel_langid.sample(docs(spark, texts, ["fr"] * 3000 + ["en"] * 20, [3] * 3000 + list(range(100, 120))), "doc_id", "text", "lang", 5, 100)
+    assert [x[0] for x in got if x[2] == "fr"] == [3] and sum(x[2] == "en" for x in got) == 5
+
+
+def test_regression_against_dense_kernel_ridge():
+    r, last = random.Random(3), np.zeros(kernel_langid.SIZE, np.int64)
+    texts = [words(ENGLISH, r.randint(3, 30), k) for k in range(25)] + [words(FRENCH, r.randint(3, 30), k) for k in range(20)]
+    sets = [kernel_langid.grams(t.encode(), last) for t in texts]
+    labels = ["en"] * 25 + ["fr"] * 20
+    kernel = lambda a, b: len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.where(np.array(labels)[:, None] == np.array(["en", "fr"]), 1.0, -1.0)
+    more = [kernel_langid.grams(words(base, 12, 99).encode(), last) for base in (ENGLISH, FRENCH)]
+    dense = np.array([[kernel(a, b) for b in sets] for a in sets + more]) @ np.linalg.solve(k + 1e-2 * np.eye(len(k)), y - y.mean(0)) + y.mean(0)
+    model = kernel_langid.fit(sets, labels, landmarks=45, ridge=1e-2)
+    assert np.allclose(model.scores(sets + more), dense, atol=2e-3)
+    tied = kernel_langid.fit([sets[0], sets[0]], ["b", "a"])
+    assert tied.scores([sets[0]]).argmax() == 0 and tied.languages == ["a", "b"]
+
+
 def test_presence_kernel_against_sets():
     last = np.zeros(kernel_langid.SIZE, np.int64)
     text = b"Abc  abc, abd"
