@@ -4,11 +4,14 @@ A document's histograms of character classes and of common words are compared
 to those of each language by the Jensen-Shannon distance (base 2, so 0 to 1).
 The language references are counted over every document that states the
 language and passes the base rules. A document is rejected if it is too far
-from all references. Short texts are judged by neither distance: characters
+from all references. The common words of de, en, es and fr are fixed; those of any
+other language that ``MIN_DOCUMENTS`` documents state are its most frequent words,
+counted over these. The method abstains where a document states a language of which
+there is no reference. Short texts are judged by neither distance: characters
 count from ``min_words`` words on, common words from ``min_words_common`` on.
 
 One pass over the texts makes a small feature table; references and verdicts
-come from that. References are at most ``len(COMMON)`` rows of fixed width.
+come from that. References are a row for each language that many documents state.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -45,6 +48,8 @@ CLASSES = [
 N_CLASSES = len(CLASSES) + 2  # the rest of ASCII, and beyond ASCII
 #: Distances beyond which a document differs from a language, and the words from which that is judged.
 MAX_CHARS_JS, MAX_WORDS_JS, MIN_WORDS, MIN_WORDS_COMMON = 0.30, 0.31, 50, 100
+#: Documents from which another language is learned, and its words that count as common.
+MIN_DOCUMENTS, COMMON_WORDS = 50, 20
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hist array<int>"
 
 
@@ -84,9 +89,25 @@ def measure(text: bytes, index: dict[bytes, int], class_of: np.ndarray) -> tuple
     return len(words), points - spaces, int(by_byte[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated(words), hist
 
 
-def _measured(keep: pa.Schema):
+def learned_words(documents: DataFrame, text_col: str, lang_col: str, least: int = MIN_DOCUMENTS, most: int = COMMON_WORDS) -> dict[str, list[str]]:
+    """The most frequent words of each language but those of ``COMMON`` that at least ``least`` documents state."""
+    df = documents.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON))
+    langs = [r[0] for r in df.groupBy("lang").count().where(F.col("count") >= least).select("lang").collect()]
+    if not langs:
+        return {}
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = df.where(F.col("lang").isin(*langs)).select("lang", F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")  # each task hands on ``most`` rows of a language
+    top = words.groupBy("lang", "word").count().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    found: dict[str, list[str]] = {lang: [] for lang in langs}
+    for lang, word in top.select("lang", "word").collect():
+        found[lang].append(word)
+    return found
+
+
+def _measured(keep: pa.Schema, words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, class_of = {w.encode(): i for i, w in enumerate(WORDS)}, _classes()
+        index, class_of = {w.encode(): i for i, w in enumerate(words)}, _classes()
         for whole in batches:
             for b in slices(whole, "text"):
                 got = [measure(t or b"", index, class_of) for t in as_bytes(b.column("text"))]
@@ -96,23 +117,22 @@ def _measured(keep: pa.Schema):
     return run
 
 
-def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id, lang``, the base counts and ``hist`` of each row; a null text counts as empty."""
+def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words: list[str] = WORDS) -> DataFrame:
+    """``id, lang``, the base counts and ``hist`` of each row, by ``words``, sorted; a null text counts as empty."""
     small_batches(documents.sparkSession)
     df = documents.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema["id"].dataType
     names = [x.split()[0] for x in FEATURES.split(", ")]
     keep = pa.schema([("id", to_arrow_type(kind)), ("lang", pa.string()), *((n, pa.int64()) for n in names[:5]), ("hist", pa.list_(pa.int32()))])
-    return df.mapInArrow(_measured(keep), f"id {kind.simpleString()}, lang string, {FEATURES}")
+    return df.mapInArrow(_measured(keep, words), f"id {kind.simpleString()}, lang string, {FEATURES}")
 
 
 def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def references(feats: DataFrame) -> dict[str, np.ndarray]:
-    """Each language's histogram, summed over all documents that state it and pass the base rules."""
-    width = N_CLASSES + len(WORDS) + 1
+def references(feats: DataFrame, langs: list[str], width: int) -> dict[str, np.ndarray]:
+    """Each language's histogram, of so many bins, summed over all documents that state it and pass the base rules."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
@@ -123,7 +143,7 @@ def references(feats: DataFrame) -> dict[str, np.ndarray]:
                 total[k] = total.get(k, 0) + hist[langs == k].sum(0)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "hist": pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))})
 
-    sums = feats.where(F.col("lang").isin(*COMMON) & ~base_failed()).select("lang", "hist").mapInArrow(add, "lang string, hist array<long>")
+    sums = feats.where(F.col("lang").isin(*langs) & ~base_failed()).select("lang", "hist").mapInArrow(add, "lang string, hist array<long>")
     rows = sums.select("lang", F.posexplode("hist")).groupBy("lang", "pos").agg(F.sum("col").alias("n")).collect()  # languages times bins
     found: dict[str, np.ndarray] = {}
     for lang, pos, n in rows:
@@ -153,28 +173,33 @@ def far_from_all(hist: np.ndarray, n_words: np.ndarray, refs: dict[str, np.ndarr
     return far
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS, min_words: int = MIN_WORDS, min_words_common: int = MIN_WORDS_COMMON) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS, min_words: int = MIN_WORDS, min_words_common: int = MIN_WORDS_COMMON, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """One row for each row of ``documents``: id, base counts, ``base_failed``, ``kept``.
 
     Null texts and empty texts have no words, so they fail the base rules. A
-    null or unknown ``lang`` adds to no reference but is judged like any other.
-    With no reference at all the base rules alone decide. Repeated rows are
+    document of null ``lang`` adds to no reference but is held against all. The base
+    rules alone decide on one that states a language without a reference (too few
+    documents state it, and it isn't one of ``COMMON``), and on all if there is no
+    reference at all. Repeated rows are
     judged one by one. Other columns are ignored, whatever their names.
     """
-    feats = stored(features(documents, id_col, text_col, lang_col), "quality")
-    refs = references(feats)
+    other = learned_words(documents, text_col, lang_col, min_documents)
+    words = sorted({*WORDS, *(w for ws in other.values() for w in ws)})
+    width = N_CLASSES + len(words) + 1
+    feats = stored(features(documents, id_col, text_col, lang_col, words), "quality")
+    refs = references(feats, [*COMMON, *other], width)
     kind = feats.schema["id"].dataType.simpleString()
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = N_CLASSES + len(WORDS) + 1
         for b in batches:
             hist = np.asarray(b.column("hist").flatten()).reshape(-1, width).astype(float)
             far = far_from_all(hist, np.asarray(b.column("n_words")), refs, (max_chars_js, max_words_js, min_words, min_words_common))
-            kept = ~np.asarray(b.column("base_failed")) & ~far
+            abstains = np.array([x is not None and x not in refs for x in b.column("lang").to_pylist()], bool)
+            kept = ~np.asarray(b.column("base_failed")) & (abstains | ~far)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), pa.array(kept)], names=[*b.schema.names[:7], "kept"])
 
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    out = feats.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "hist")
+    out = feats.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "hist", "lang")
     out = out.mapInArrow(verdicts, f"id {kind}, {counts}, base_failed boolean, kept boolean")
     return out.withColumnRenamed("id", id_col)
 

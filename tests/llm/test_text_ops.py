@@ -55,6 +55,23 @@ def test_quality_counts_and_verdicts(spark):
     assert not got[40].kept and not got[41].kept
 
 
+def test_quality_of_other_languages(spark):
+    russian = "и в не на что он с как это по но они к у же вы за бы от то мы дом лес река город слово день ночь рука вода "
+
+    def prose(n, seed):
+        r = random.Random(seed)
+        return " ".join(r.choice(russian.split()) if r.random() < 0.6 else "".join(r.choice("абвгдеиклмнопрст") for _ in range(6)) for _ in range(n))
+
+    english = [words(ENGLISH, 200, k) for k in range(10)]
+    junk = " ".join(f"{w}###|" for w in prose(200, 3).split())
+    few = quality_divergence.judge(docs(spark, [*english, prose(200, 1), junk, prose(200, 2)], ["en"] * 10 + ["ru", "ru", None]))
+    assert [r.kept for r in few.orderBy("doc_id").collect()] == [True] * 12 + [False]  # one document is no reference, so the method abstains
+    texts = [*english, *(prose(200, k) for k in range(60)), junk, prose(200, 99)]
+    many = quality_divergence.judge(docs(spark, texts, ["en"] * 10 + ["ru"] * 61 + [None]))
+    assert [r.kept for r in many.orderBy("doc_id").collect()] == [True] * 70 + [False, True]
+    assert set(quality_divergence.learned_words(docs(spark, texts, ["en"] * 10 + ["ru"] * 61 + [None]), "text", "lang")["ru"]) <= set(russian.split())
+
+
 def test_quality_without_references_or_rows(spark):
     none = quality_divergence.judge(docs(spark, [words(ENGLISH, 100, 1)]))
     assert [r.kept for r in none.collect()] == [True]
