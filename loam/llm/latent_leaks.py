@@ -10,9 +10,12 @@ Passages near an item by cosine in that space are candidates, if they share enou
 of its weight; an item of more than two windows is looked for by its windows too. Each is read against the item: the longest common subsequence of words has to hold most of
 the item, or a good part of it together with its answer, the item's last words.
 
-The driver holds matrices of the benchmark's terms times ``rank``. That the
-benchmark is small enough is checked (``max_terms``, ``max_items``); a greater
-one is to be given in parts, whose results add up.
+The driver holds matrices of a block's terms times ``rank``. The benchmark is the query
+set; one of more than ``MAX_ITEMS`` items or ``MAX_TERMS`` terms is searched block by
+block, each in a space of its own. What is a leak is decided on the words alone,
+whatever the space; which passages are read for it is approximate in any space, so
+blocks can differ from the whole in borderline candidates (a test on planted
+paraphrases finds the same rows for one, three and twenty blocks).
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ OF_ITEM, OF_LESS = 0.25, 0.5
 ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 #: Share of half-windows from which a term tells nothing of a subject.
 COMMON = 0.02
-MAX_ITEMS, MAX_TERMS, SEED = 50_000, 1_000_000, 7
+#: Items and terms of one block.
+MAX_ITEMS, MAX_TERMS, SEED = 50_000, 200_000, 7
 _KEPT = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 0x7F else 0x20 for c in range(256))
 
 
@@ -84,7 +88,7 @@ class Space:
         cuts = [(k, x[min(at, len(x) - window) :][:window]) for k, x in enumerate(self.items) if len(x) > 2 * window for at in range(0, len(x), window)]
         self.parts, self.of = [*self.items, *(x for _, x in cuts)], [*range(len(self.items)), *(k for k, _ in cuts)]
         self.weight = np.ones(len(self.term), np.float32)
-        self.basis = self.queries = self.member = None
+        self.basis = self.queries = self.full = self.keys = None
 
     def terms(self, text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         """The number of words of a text, and those that are terms of the benchmark with their places."""
@@ -208,6 +212,8 @@ def fit(found: DataFrame, space: Space, rank: int, common: float) -> int:
     space.basis = (basis * space.weight[:, None]).astype(np.float32)
     q = np.stack([space.basis[i].sum(0) for i in space.parts])
     space.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    space.full = np.array([space.weight[i].sum() for i in space.parts])
+    space.keys = np.sort(np.concatenate([np.unique(i) + k * n_terms for k, i in enumerate(space.parts)]).astype(np.int64))
     return halves
 
 
@@ -216,9 +222,7 @@ def candidates(x: Batch, s: Space, cosine: float) -> Iterator[tuple[np.ndarray,
     sums, mass = x.sums(s.basis), np.bincount(x.half, weights=s.weight[x.terms], minlength=x.n_rows)
     left, right = np.searchsorted(x.half, x.first), np.searchsorted(x.half, x.first + 2)
     some = np.flatnonzero(right > left)
-    full = np.array([s.weight[i].sum() for i in s.parts])
-    key_of = [np.unique(i) for i in s.parts]
-    keys = np.sort(np.concatenate([k + q * len(s.weight) for q, k in enumerate(key_of)]))
+    full, keys = s.full, s.keys
     for at in range(0, len(some), 1024):
         p = some[at : at + 1024]
         z = sums[x.first[p]] + sums[x.first[p] + 1]
@@ -241,7 +245,23 @@ def candidates(x: Batch, s: Space, cosine: float) -> Iterator[tuple[np.ndarray,
         yield p[i[good]], q[good], cos[i[good], q[good]]
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rank: int = RANK, cosine: float = COSINE, common: float = COMMON, alone: float = ALONE, with_answer: float = WITH_ANSWER, answer: float = ANSWER) -> DataFrame:
+def blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, most_items: int, most_terms: int) -> Iterator[Space]:
+    """The benchmark's items that have a word, in spaces of so many items and terms at most, or one item."""
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+    parts = max(1, -(-items.count() // most_items))
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()  # about ``most_items``
+        todo = [sorted(((r[0], r[1].encode()) for r in rows if words_of(r[1].encode())), key=lambda r: (str(r[0]), r[1]))]
+        while todo:
+            some = todo.pop()
+            space = Space(some, window) if len(some) <= max(1, most_items) else None
+            if len(some) > 1 and (space is None or len(space.term) > most_terms):
+                todo += [some[len(some) // 2 :], some[: len(some) // 2]]
+            elif some:
+                yield space
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, rank: int = RANK, cosine: float = COSINE, common: float = COMMON, alone: float = ALONE, with_answer: float = WITH_ANSWER, answer: float = ANSWER, most_items: int = MAX_ITEMS, most_terms: int = MAX_TERMS) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_share, answer_share``: one row for each document and item that it restates.
 
     The shares are those of the passage that holds most of the item. Null texts,
@@ -250,21 +270,25 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark = documents.sparkSession
     small_batches(spark)
-    rows = benchmark.select(F.col(item_id), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull()).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"give the benchmark in parts of at most {MAX_ITEMS} items")
-    space = Space([(r[0], r[1].encode()) for r in sorted(rows, key=lambda r: (str(r[0]), r[1])) if words_of(r[1].encode())], window)
-    if len(space.term) > MAX_TERMS:
-        raise ValueError(f"give the benchmark in parts of at most {MAX_TERMS} terms")
     df = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     id_kind, item_kind = df.schema["id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"id {id_kind}, item {item_kind}, cosine double, lcs_share double, answer_share double"
-    if not space.items:
+    hits = None
+    for space in blocks(benchmark, item_id, item_text, window, most_items, most_terms):
+        found = stored(tokens(df, space), "terms")
+        fit(found, space, rank, common)
+        some = _search(found, space, schema, item_type, cosine, window, alone, with_answer, answer)
+        hits = some if hits is None else hits.unionByName(some)
+    if hits is None:
         return spark.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_id})
-    found = stored(tokens(df, space), "terms")
-    fit(found, space, rank, common)
-    share = spark.sparkContext.broadcast(space)
+    hits = hits.groupBy("id", "item").agg(F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("b"))
+    return hits.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "b.cosine", "b.lcs_share", "b.answer_share")
+
+
+def _search(found: DataFrame, space: Space, schema: str, item_type: pa.DataType, cosine: float, window: int, alone: float, with_answer: float, answer: float) -> DataFrame:
+    """``schema``: the leaks of one block's items, maybe more than one row for a document and item."""
+    share = found.sparkSession.sparkContext.broadcast(space)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = share.value
@@ -287,9 +311,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 item_ids = pa.array([s.ids[q] for _, q in best], item_type)
                 yield pa.RecordBatch.from_arrays([x.ids.take(rows), item_ids, *(pa.array([v[k] for v in best.values()], pa.float64()) for k in (2, 0, 1))], names=["id", "item", "cosine", "lcs_share", "answer_share"])
 
-    best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("b")
-    hits = found.mapInArrow(search, schema).groupBy("id", "item").agg(best)
-    return hits.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "b.cosine", "b.lcs_share", "b.answer_share")
+    return found.mapInArrow(search, schema)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -198,6 +198,46 @@ def test_latent_leaks_against_containment(spark):
     assert latent_leaks.leaks(df, bench.limit(0)).count() == 0 and latent_leaks.leaks(df.limit(0), bench).count() == 0
 
 
+def test_latent_leaks_against_all_passages_and_items(spark):
+    r = random.Random(21)
+    items = [sentence(r, r.randint(15, 50)) for _ in range(40)] + [sentence(r, 20)] * 2
+    texts = []
+    for d in range(200):
+        text = sentence(r, r.randint(20, 200)).split()
+        planted = items[r.randrange(len(items))].split()
+        changed = r.choice([0.0, 0.1, 0.2, 0.3, 0.5])
+        at = r.randrange(len(text))
+        text[at:at] = [w if k > len(planted) * 0.75 or r.random() > changed else "changed" for k, w in enumerate(planted)]
+        texts.append(" ".join(text))
+    texts += [texts[0], "", None, " ".join(items)]
+    terms = {w for i in items for w in i.encode().split()}
+    half, want = latent_leaks.WINDOW // 2, set()
+    for d, t in enumerate(texts):
+        own = (t or "").encode().lower().split()
+        for q, item in enumerate(i.encode().split() for i in items):
+            reach = max(latent_leaks.WINDOW, len(item) + half)
+            for middle in range(half, max(half, len(own)) + half, half):
+                region = [w for w in own[max(0, middle - reach) : middle + reach] if w in terms]
+                if latent_leaks.verdict(item, region)[0]:
+                    want.add((d, q))
+                    break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = {(x.doc_id, x.item_id) for x in latent_leaks.leaks(df, bench).collect()}
+    assert whole <= want and len(whole) >= 0.98 * len(want) > 100
+    for settings in ({"most_items": 14}, {"most_items": 2}, {"most_terms": 300}):
+        assert {(x.doc_id, x.item_id) for x in latent_leaks.leaks(df, bench, **settings).collect()} == whole
+
+
+def test_latent_leaks_in_a_very_long_text_and_repeated_rows(spark):
+    r = random.Random(22)
+    items = [sentence(r, 30) for _ in range(5)]
+    long = sentence(r, 60_000) + " " + items[3] + " " + sentence(r, 60_000)
+    rows = [(0, long), (1, items[2]), (1, items[2]), (1, items[4]), (None, items[1])]
+    got = latent_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.item_id) for x in got), key=str) == sorted([(0, 3), (1, 2), (1, 4), (None, 1)], key=str)
+
+
 def test_common_length():
     r = random.Random(1)
     for _ in range(200):
