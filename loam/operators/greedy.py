@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="loam-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder and read back, so that lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/loam/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loam.storage import stored
 
 
 def dropped(conflicts: DataFrame) -> DataFrame:
@@ -33,14 +15,14 @@ def dropped(conflicts: DataFrame) -> DataFrame:
     the rows with no undecided row before them and drops what these conflict
     with; rows without conflicts never appear.
     """
-    pairs = stored(conflicts.select("node", "before").distinct())
+    pairs = stored(conflicts.select("node", "before").distinct(), "conflicts")
     lost = None
     while not pairs.isEmpty():
         waiting = pairs.select("node").distinct()
         kept = pairs.select(F.col("before").alias("kept")).distinct().join(waiting, F.col("kept") == F.col("node"), "left_anti")
-        out = stored(pairs.join(kept, F.col("before") == F.col("kept"), "left_semi").select("node").distinct())
+        out = stored(pairs.join(kept, F.col("before") == F.col("kept"), "left_semi").select("node").distinct(), "lost")
         lost = out if lost is None else lost.unionAll(out)
         gone = out.select(F.col("node").alias("gone"))
         left = pairs.join(gone, F.col("node") == F.col("gone"), "left_anti").join(gone, F.col("before") == F.col("gone"), "left_anti")
-        pairs = stored(left)
+        pairs = stored(left, "conflicts")
     return lost if lost is not None else pairs.select("node")

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators.exact import exact_dedup, first_of, without_apps
-from loam.operators.greedy import dropped, stored
+from loam.operators.greedy import dropped
 from loam.operators.prefix import prefix_dedup
+from loam.storage import stored
 
 SIZE, SHINGLE, SIMILAR = 20, 3, 0.7
 #: The hash family is ``(a * h + b) mod PRIME`` over one base hash of a shingle.
 PRIME = 2_147_483_647
+#: Shingles whose base hash a task keeps.
+KEPT = 200_000
 
 
 def factors(k: int) -> tuple[int, int]:
@@ -23,25 +30,57 @@ def factors(k: int) -> tuple[int, int]:
     return (1_103_515_245 * (k + 1) + 12_345) % PRIME, (69_069 * (k + 7) ** 3 + 1) % PRIME
 
 
-def base_hash(gram: Column, portable: bool) -> Column:
+def base_hash(gram: str, portable: bool) -> int:
     """A shingle's hash below ``PRIME``; the portable one, of MD5, is the same in other engines."""
+    raw = gram.encode()
     if portable:
-        return F.conv(F.left(F.md5(gram), F.lit(7)), 16, 10).cast("bigint")
-    return F.pmod(F.xxhash64(gram), F.lit(PRIME))
+        return int(hashlib.md5(raw, usedforsecurity=False).hexdigest()[:7], 16)
+    h = xxhash.xxh64_intdigest(raw, 42)
+    return (h - 2**64 if h >> 63 else h) % PRIME
 
 
-def signatures(rows: DataFrame, key: str = "seq", size: int = SIZE, n: int = SHINGLE, portable: bool = False) -> DataFrame:
-    """``key, signature`` of each row: minima over the shingles of the cleaned text, and 0s without a shingle.
+def signed(rows: DataFrame, size: int = SIZE, n: int = SHINGLE, portable: bool = False) -> DataFrame:
+    """``rows`` and each one's ``signature``: minima over the shingles of the cleaned text, null without a shingle.
 
-    Shingles are exploded and reduced by partial aggregates; no row holds more
-    than its own text. A text shorter than ``n`` is its own shingle. Rows of one
-    key share their shingles.
+    A text shorter than ``n`` is its own shingle. No row is made of a shingle: as
+    expressions the minima would be rows or twenty interpreted functions for each,
+    so a text's shingles are hashed and reduced in one Arrow pass.
     """
+    size, n = min(size, SIZE), max(2, n)
+    columns = rows.columns
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        a, b = (np.array(x, np.int64) for x in zip(*map(factors, range(size)), strict=True))
+        for batch in batches:
+            out = []
+            for t in batch.column("__clean").to_pylist():
+                if not t:
+                    out.append(None)
+                    continue
+                grams = {t[i : i + n] for i in range(len(t) - n + 1)} or {t}
+                if len(known) > KEPT:
+                    known.clear()
+                known.update((g, base_hash(g, portable)) for g in grams if g not in known)
+                h = np.fromiter(map(known.__getitem__, grams), np.int64, len(grams))
+                out.append(((h[:, None] * a + b) % PRIME).min(0).tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.list_(pa.int64()))], names=[*columns, "signature"])
+
+    return rows.withColumn("__clean", X.collapsed("text")).mapInArrow(run, f"{kinds}, signature array<bigint>")
+
+
+def filled(signature: str = "signature", size: int = SIZE) -> F.Column:
+    """The signature, 0s in place of null."""
+    return F.coalesce(F.col(signature), F.array(*[F.lit(0).cast("bigint")] * min(size, SIZE)))
+
+
+def signatures(rows: DataFrame, key: str = "seq", size: int = SIZE, n: int = SHINGLE, portable: bool = False) -> DataFrame:
+    """``key, signature`` of each key; 0s without a shingle. Rows of one key share their shingles."""
     size = min(size, SIZE)
-    grams = rows.select(key, F.explode(F.array_distinct(X.char_ngrams(X.collapsed("text"), max(2, n)))).alias("gram")).select(key, base_hash(F.col("gram"), portable).alias("h"))
-    mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{k}") for k, (a, b) in enumerate(map(factors, range(size)))]
-    found = grams.groupBy(key).agg(*mins).select(key, F.array(*(f"m{k}" for k in range(size))).alias("signature"))
-    return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce("signature", F.array(*[F.lit(0).cast("bigint")] * size)).alias("signature"))
+    each = signed(rows.select(key, "text"), size, n, portable)
+    mins = [F.min(F.col("signature")[k]).alias(f"m{k}") for k in range(size)]
+    return each.groupBy(key).agg(*mins).select(key, F.array(*(F.coalesce(f"m{k}", F.lit(0).cast("bigint")) for k in range(size))).alias("signature"))
 
 
 def bands(threshold: float, size: int = SIZE) -> int:
@@ -49,17 +88,23 @@ def bands(threshold: float, size: int = SIZE) -> int:
     return size - math.ceil(threshold * size - 1e-9) + 1
 
 
-def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq", size: int = SIZE, length_prune: bool = True, portable: bool = False) -> DataFrame:
-    """``before, node, similarity`` of all pairs at the threshold, ``before`` the lesser key.
+def classes(rows: DataFrame, key: str = "seq", size: int = SIZE, portable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of one signature and length are a class: ``id, n, signature`` of the classes, ``id`` the least key, and ``id, key`` of their rows."""
+    each = stored(signed(rows.select(key, "text"), size, portable=portable).select(F.col(key).alias("key"), F.length("text").alias("n"), filled("signature", size).alias("signature")), "signatures")
+    first = stored(each.groupBy("signature", "n").agg(F.min("key").alias("id")), "classes")
+    return first, each.join(first, ["signature", "n"]).select("id", "key")
+
+
+def class_pairs(first: DataFrame, threshold: float = SIMILAR, size: int = SIZE, length_prune: bool = True) -> DataFrame:
+    """``before, node, similarity`` of all pairs of classes at the threshold, ``before`` the lesser id.
 
     Lossless for the signatures: there is one band more than places that may
-    differ. Rows with equal signatures and lengths form classes first.
+    differ. Two classes are compared once, on the first band that they share.
     """
-    signed = stored(rows.select(key, F.length(X.collapsed("text")).alias("n"), "text").join(signatures(rows, key, size, portable=portable), key).select(key, F.length("text").alias("n"), "signature"))
     count = bands(threshold, size)
     cuts = [round(i * size / count) for i in range(count + 1)]
     parts = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(*(F.col("signature")[k] for k in range(cuts[i], cuts[i + 1]))).alias("part")) for i in range(count)))
-    cut = signed.select(F.col(key).alias("id"), "n", "signature", F.explode(parts).alias("b")).select("id", "n", "signature", "b.*")
+    cut = first.select("id", "n", "signature", F.explode(parts).alias("b")).select("id", "n", "signature", "b.*")
     other = cut.select("band", "part", F.col("id").alias("before"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
     pairs = cut.join(other, ["band", "part"]).where("before < id")
     if length_prune:
@@ -68,20 +113,38 @@ def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq",
     return pairs.select("before", F.col("id").alias("node"), same.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
 
 
+def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq", size: int = SIZE, length_prune: bool = True, portable: bool = False) -> DataFrame:
+    """``before, node, similarity`` of all pairs of rows at the threshold, ``before`` the lesser key.
+
+    Pairs are found between classes and then expanded to their rows; the result
+    grows with the square of a class, so dedup works on ``class_pairs``.
+    """
+    first, members = classes(rows, key, size, portable)
+    one, two = (members.select(F.col("id").alias(c), F.col("key").alias(k)) for c, k in (("before", "x"), ("node", "y")))
+    across = class_pairs(first, threshold, size, length_prune).join(one, "before").join(two, "node").select("x", "y", "similarity")
+    within = members.select("id", F.col("key").alias("x")).join(members.select("id", F.col("key").alias("y")), "id").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within).select(F.least("x", "y").alias("before"), F.greatest("x", "y").alias("node"), "similarity")
+
+
 def similar_dedup(entries: DataFrame, avoid_apps: Sequence[str] = (), min_bytes: int = 0, threshold: float = SIMILAR, portable: bool = False) -> DataFrame:
-    """Greedy first-wins: rows with no kept row before them that is similar; over all apps."""
+    """Greedy first-wins: rows with no kept row before them that is similar; over all apps.
+
+    Of a class only the first row can stay: if that loses to a row, the others are as similar to it.
+    """
     passed = without_apps(entries, avoid_apps).where(X.n_bytes("text") >= min_bytes)
     # rows of one text lose to the first of them, whatever else is kept
     rows = first_of(passed, "text")
-    lost = dropped(similar_pairs(rows, threshold, portable=portable))
-    return rows.join(lost, F.col("seq") == F.col("node"), "left_anti")
+    first, _ = classes(rows, portable=portable)
+    lost = dropped(class_pairs(first, threshold))
+    kept = first.select("id").join(lost, F.col("id") == F.col("node"), "left_anti")
+    return rows.join(kept, F.col("seq") == F.col("id"), "left_semi")
 
 
 def same_signature_dedup(entries: DataFrame, threshold: float = 0.98, portable: bool = False) -> DataFrame:
     """First row of each signature. From 0.98 on, all 20 places have to agree, so similarity is an equivalence."""
     if math.ceil(threshold * SIZE - 1e-9) != SIZE:
         raise ValueError("below 0.96 similarity isn't an equivalence; use similar_dedup")
-    keyed = entries.join(signatures(entries, portable=portable), "seq")
+    keyed = signed(entries, portable=portable).withColumn("signature", filled())
     return first_of(keyed, "signature").select(*entries.columns)
 
 
@@ -91,9 +154,7 @@ def potential_duplicates(entries: DataFrame, report: float = 0.95, drop: float =
     return similar_pairs(kept, report, length_prune=False, portable=portable)
 
 
-def find_duplicates(entries: DataFrame, avoid_apps: Sequence[str] = (), min_length: int = 0, max_rows_for_similarity: int | None = None, portable: bool = False) -> DataFrame:
-    """Exact, then greedy prefix, then equal signatures; the last only up to so many rows, if a number is given."""
-    rows = stored(prefix_dedup(exact_dedup(entries, avoid_apps, min_length)))
-    if max_rows_for_similarity is not None and rows.count() > max_rows_for_similarity:
-        return rows
+def find_duplicates(entries: DataFrame, avoid_apps: Sequence[str] = (), min_length: int = 0, portable: bool = False) -> DataFrame:
+    """Exact, then greedy prefix, then equal signatures."""
+    rows = stored(prefix_dedup(exact_dedup(entries, avoid_apps, min_length)), "prefix")
     return same_signature_dedup(rows, portable=portable)

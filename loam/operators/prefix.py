@@ -4,32 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators.exact import first_of, pair_dedup, without_apps
 from loam.operators.greedy import dropped
+from loam.storage import stored
 
 
 def prefix_conflicts(rows: DataFrame) -> DataFrame:
-    """``(node, before)`` among distinct rows ``(app_name, text)``: ``before`` is longer and covers ``node``.
+    """``(node, before)`` among distinct rows ``(app_name, text)``, both by ``node_of``: ``before`` is longer and covers ``node``.
 
     A text is covered by a longer one that shares 60 % of its length from the
     start, two characters at least, if it has 70 % of the longer's length. A
     prefix of a longer text shares all of it. So both share a key: the app and
     the text's first ``ceil(0.6 n)`` characters; a longer text offers one key for
-    each length that it may cover. The join is by equality on that key.
+    each length that it may cover. The join is by equality on a hash of that key
+    and its length, of rows of fixed width; texts are fetched for the pairs that
+    it finds, to compare their characters.
     """
     n = F.length("text")
-    keyed = rows.where(n >= 2).select("app_name", "text", F.struct("app_name", "text").alias("id"))
-    share = F.greatest(F.lit(2), F.ceil(n * 3 / 5).cast("int"))
-    short = keyed.select(F.col("app_name").alias("app"), F.left("text", share).alias("start"), F.col("id").alias("node"), F.col("text").alias("a"))
-    first = F.greatest(F.lit(2), F.ceil(F.ceil(n * 7 / 10) * 3 / 5).cast("int"))
-    long = keyed.select("app_name", F.explode(F.sequence(first, share)).alias("k"), F.col("id").alias("before"), F.col("text").alias("b"))
-    long = long.select("app_name", F.left("b", F.col("k")).alias("key"), "before", "b")
-    covers = (F.length("b") > F.length("a")) & X.close_in_length(F.col("a"), F.col("b"))
-    return short.join(long, F.col("app").eqNullSafe(F.col("app_name")) & (F.col("start") == F.col("key"))).where(covers).select("node", "before")
+    keyed = rows.where(n >= 2).select(node_of().alias("id"), "app_name", "text", n.alias("n"))
+    share = F.greatest(F.lit(2), F.ceil(F.col("n") * 3 / 5).cast("int"))
+    start = lambda k: F.xxhash64("app_name", F.left("text", k))
+    short = keyed.select(F.col("id").alias("node"), F.col("n").alias("n1"), share.alias("k"), start(share).alias("key"))
+    first = F.greatest(F.lit(2), F.ceil(F.ceil(F.col("n") * 7 / 10) * 3 / 5).cast("int"))
+    keys = F.transform(F.sequence(first, share), lambda k: F.struct(k.alias("k"), F.xxhash64(F.col("app_name"), F.left(F.col("text"), k)).alias("key")))
+    long = keyed.select(F.col("id").alias("before"), "n", F.explode(keys).alias("x")).select("before", "n", "x.*")
+    pairs = short.join(long, ["k", "key"]).where((F.col("n") > F.col("n1")) & (F.col("n1") * 10 >= F.col("n") * 7)).select("node", "before", "k")
+    texts = keyed.select("id", "app_name", "text")
+    one = texts.select(F.col("id").alias("node"), F.col("app_name").alias("app1"), F.col("text").alias("text1"))
+    two = texts.select(F.col("id").alias("before"), F.col("app_name").alias("app2"), F.col("text").alias("text2"))
+    same = F.col("app1").eqNullSafe(F.col("app2")) & (F.left("text1", F.col("k")) == F.left("text2", F.col("k")))
+    return pairs.join(one, "node").join(two, "before").where(same).select("node", "before")
+
+
+def node_of() -> Column:
+    """A row's key in a conflict table: its ``seq`` and hashes of app and text."""
+    return F.struct("seq", F.xxhash64("app_name", "text").alias("print"), F.xxhash64("text", "app_name", F.lit(1)).alias("second"))
 
 
 def prefix_dedup(entries: DataFrame) -> DataFrame:
@@ -38,9 +51,9 @@ def prefix_dedup(entries: DataFrame) -> DataFrame:
     A row is compared to kept rows only, so a row may stay because the one that
     covered it went. Two rows of equal length never cover each other.
     """
-    rows = pair_dedup(entries.where(F.length("text") > 0))
-    lost = dropped(prefix_conflicts(rows)).select(F.col("node.app_name").alias("__app"), F.col("node.text").alias("__text"))
-    return rows.join(lost, F.col("app_name").eqNullSafe(F.col("__app")) & (F.col("text") == F.col("__text")), "left_anti")
+    rows = stored(pair_dedup(entries.where(F.length("text") > 0)), "pairs")
+    lost = dropped(prefix_conflicts(rows)).select(F.col("node").alias("__node"))
+    return rows.join(lost, node_of() == F.col("__node"), "left_anti")
 
 
 def adjacent_prefix(entries: DataFrame, span: int = 65_536) -> DataFrame:

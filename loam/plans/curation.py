@@ -14,13 +14,18 @@ from loam.sources import jsonl
 
 
 def purge(spark: SparkSession, path: str, settings: Settings = Settings(), memory_mb: float = 1e6, seconds_since: float | None = None) -> dict[str, int | str]:
-    """Exact dedup of a JSON-lines table in place. Nothing is written without repeats, or if the policy says to skip."""
+    """Exact dedup of a JSON-lines table in place. Nothing is written without repeats, or if the policy says to skip.
+
+    Lines that can't be read are first added to the text files in ``path`` + ``.unreadable``.
+    """
     entries, bad = jsonl.read(spark, path)
     strategy = choose_strategy(entries.count(), memory_mb, seconds_since)
     if strategy is Strategy.SKIP or rate_limited(seconds_since):
         return {"strategy": Strategy.SKIP.value, "removed": 0}
     stats = exact.exact_dedup_stats(entries, settings.avoid_apps, settings.min_text_length).first()
     if stats["removed"]:
+        if not bad.isEmpty():
+            jsonl.quarantine(bad, path.rstrip("/") + ".unreadable", "append")
         kept = exact.exact_dedup(entries, settings.avoid_apps, settings.min_text_length)
         jsonl.replace(jsonl.wire(kept.orderBy("seq")), path)
     return {"strategy": strategy.value, "removed": stats["removed"]}
@@ -38,5 +43,7 @@ def ingest(entries: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def curated_counts(lines: DataFrame, avoid_apps: Sequence[str] = (), min_length: int = 3, max_length: int = 1000) -> DataFrame:
     """Lines cleaned, filtered and without repeats: their number and length for each source, longest list first."""
-    clean = exact.accepted(lines.withColumn("text", X.one_line("text")), min_length, max_length, avoid_apps)
+    # cleaned in a generator, else each mention in the filters and the result would clean anew
+    once = lines.select("app_name", F.explode(F.array(X.one_line("text"))).alias("text")).where(F.length("text") >= min_length)
+    clean = exact.accepted(once, min_length, max_length, avoid_apps)
     return statistics.app_statistics(clean).orderBy(F.desc("entries"), "app_name")

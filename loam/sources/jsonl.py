@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -16,12 +16,19 @@ def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFra
     """Entries and quarantined lines of JSON-lines files.
 
     A line is quarantined if it isn't JSON of the schema or lacks a field. Blank
-    lines are ignored. ``seq`` ascends by file and by place in it.
+    lines are ignored. ``seq`` counts lines, by path and by place in the file,
+    however Spark deals files to tasks: a first pass counts the lines of each block
+    of a file that one task reads, and blocks in order give the lines before each.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place")).where(X.trimmed("value") != "")
-    parsed = raw.withColumn("e", F.from_json("value", WIRE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    value = F.col("value")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    blocks = raw.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # one row for each block
+    blocks = blocks.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    rows = raw.where(X.trimmed(value) != "").join(blocks, ["file", "start"]).withColumn("seq", F.col("place") + F.col("shift"))
+    parsed = rows.withColumn("e", F.from_json("value", WIRE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     good = F.col("e._bad").isNull() & F.col("e.appName").isNotNull() & F.col("e.text").isNotNull() & F.col("e.timestamp").isNotNull()
-    entries = parsed.where(good).select(F.col("place").alias("seq"), F.col("e.appName").alias("app_name"), F.col("e.text").alias("text"), X.from_reference_seconds("e.timestamp").alias("ts"))
+    entries = parsed.where(good).select("seq", F.col("e.appName").alias("app_name"), F.col("e.text").alias("text"), X.from_reference_seconds("e.timestamp").alias("ts"))
     return entries, parsed.where(~good | F.col("e").isNull()).select("value")
 
 
@@ -39,8 +46,8 @@ def append(entries: DataFrame, path: str, avoid_apps: Sequence[str] = (), min_le
     wire(without_apps(entries, avoid_apps).where(X.clusters("text") >= min_length)).write.mode("append").json(path)
 
 
-def quarantine(lines: DataFrame, path: str) -> None:
-    lines.write.mode("overwrite").text(path)
+def quarantine(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    lines.write.mode(mode).text(path)
 
 
 def filesystem(spark: SparkSession, path: str):

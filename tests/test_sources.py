@@ -113,3 +113,42 @@ def test_entry_has_rows(spark):
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_order_is_by_path_and_place(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder / "a.jsonl", entry("A", "same"), "", entry("A", "second"))
+    write(folder / "b.jsonl", *(entry("B", "same" if k == 0 else f"text {k} " + "x" * 40) for k in range(400)))
+    write(folder / "c.jsonl", entry("C", "same"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for least in (size, "1k"):  # large files cut in blocks, too
+            spark.conf.set("spark.sql.files.maxPartitionBytes", least)
+            rows = jsonl.read_good(spark, str(folder)).orderBy("seq").collect()
+            assert [r.app_name for r in rows] == ["A"] * 2 + ["B"] * 400 + ["C"] and [r.text for r in rows[:3]] == ["same", "second", "same"]
+            assert [r.text for r in rows[3:402]] == [f"text {k} " + "x" * 40 for k in range(1, 400)] and rows[0].seq == 0 and rows[1].seq == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_purge_keeps_unreadable_lines(spark, tmp_path):
+    table = tmp_path / "t"
+    table.mkdir()
+    write(table / "a.jsonl", entry("A", "twice"), "not json", entry("B", "twice"), '{"appName": "A"}')
+    assert curation.purge(spark, str(table))["removed"] == 1
+    assert [(r.app_name, r.text) for r in jsonl.read_good(spark, str(table)).collect()] == [("A", "twice")]
+    assert sorted(r.value for r in spark.read.text(str(table) + ".unreadable").collect()) == ["not json", '{"appName": "A"}']
+
+
+def test_stored_tables_are_forgotten(spark):
+    from loam import storage
+
+    since = len(storage.written(spark))
+    one, two = storage.stored(spark.range(3), "one"), storage.stored(spark.range(4), "two")
+    assert one.count() == 3
+    storage.forget(spark, since, but_last=1)
+    assert two.count() == 4 and len(storage.written(spark)) == since + 1
+    storage.forget(spark, since)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        one.count()
