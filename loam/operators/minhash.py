@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -103,14 +105,17 @@ def class_pairs(first: DataFrame, threshold: float = SIMILAR, size: int = SIZE,
     """
     count = bands(threshold, size)
     cuts = [round(i * size / count) for i in range(count + 1)]
-    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(*(F.col("signature")[k] for k in range(cuts[i], cuts[i + 1]))).alias("part")) for i in range(count)))
-    cut = first.select("id", "n", "signature", F.explode(parts).alias("b")).select("id", "n", "signature", "b.*")
-    other = cut.select("band", "part", F.col("id").alias("before"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
+    parts = F.array(*(F.xxhash64(*(F.col("signature")[k] for k in range(cuts[i], cuts[i + 1]))) for i in range(count)))
+    cut = first.withColumn("parts", parts).select("id", "n", "signature", "parts", F.posexplode("parts").alias("band", "part"))
+    other = cut.select("band", "part", F.col("id").alias("before"), F.col("n").alias("n1"), F.col("signature").alias("s1"), F.col("parts").alias("parts1"))
     pairs = cut.join(other, ["band", "part"]).where("before < id")
     if length_prune:
         pairs = pairs.where(F.abs(F.col("n") - F.col("n1")) * 2 <= F.greatest("n", "n1"))
-    same = X.positional_jaccard("signature", "s1")
-    return pairs.select("before", F.col("id").alias("node"), same.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
+    earliest = F.coalesce(*(F.when(F.col("parts")[i] == F.col("parts1")[i], F.lit(i)) for i in range(count)))
+    # the places are counted one by one, as generated code; a function over the arrays is interpreted
+    same = reduce(add, ((F.col("signature")[k] == F.col("s1")[k]).cast("int") for k in range(size)))
+    found = pairs.where((F.col("band") == earliest) & (same >= math.ceil(threshold * size - 1e-9)))
+    return found.select("before", F.col("id").alias("node"), (same / size).alias("similarity"))
 
 
 def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq", size: int = SIZE, length_prune: bool = True, portable: bool = False) -> DataFrame:
