@@ -62,11 +62,8 @@ def let(value: Column, make) -> Column:
 def char_ngrams(text: Column | str, n: int = 3) -> Column:
     """Character n-grams; a shorter text is its own, an empty one has none."""
 
-    def of(chars: Column) -> Column:
-        many = F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0))), lambda c, i: F.concat(c, *(F.get(chars, i + k) for k in range(1, n))))
-        return F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(many)
-
-    return let(col(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(let(F.split(t, ""), of)))
+    grams = lambda t: F.regexp_extract_all(t, F.lit(r"(?s)(?=(.{%d}))." % n), 1)
+    return let(col(text), lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams(t)))
 
 
 def count_japanese(text: Column | str) -> Column:

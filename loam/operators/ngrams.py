@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions import text as X
 from loam.operators.exact import union_entries
 from loam.sources import jsonl
 
@@ -20,11 +19,9 @@ def corpus(saved: DataFrame, imported: DataFrame, last: int | None = None) -> Da
 
 def counts(texts: DataFrame, most: int = 5) -> DataFrame:
     """``n, gram, times`` for n from 1 to ``most``; texts shorter than n add nothing to n."""
-    def ahead(chars: Column) -> Column:
-        return F.transform(chars, lambda _, i: F.concat_ws("", *(F.get(chars, i + k) for k in range(most))))
-
     # one row for each place: the text from there, of ``most`` characters or what is left; shorter grams are its starts
-    places = texts.where(F.length("text") > 0).select(F.explode(X.let(F.split("text", ""), ahead)).alias("gram"))
+    ahead = F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{1,%d}))." % most), 1)
+    places = texts.where(F.length("text") > 0).select(F.explode(ahead).alias("gram"))
     counted = places.groupBy("gram").agg(F.count("*").alias("times"))
     starts = F.transform(F.sequence(F.lit(1), F.length("gram")), lambda n: F.struct(n.alias("n"), F.left("gram", n).alias("gram")))
     return counted.select(F.explode(starts).alias("x"), "times").groupBy("x.n", "x.gram").agg(F.sum("times").alias("times"))
