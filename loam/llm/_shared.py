@@ -1,9 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, Arrow batches of bounded size, components.
-
-Tables that cut lineage are written as Parquet to the folder named in
-``spark.checkpoint.dir``, which every executor and the driver can reach, so a
-lost executor costs a re-read and not a recomputation.
-"""
+"""What the operators of this subpackage share: Arrow batches of bounded size, rows by id and text, components."""
 
 from __future__ import annotations
 
@@ -11,7 +6,6 @@ import ctypes
 import gc
 import sys
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,30 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.storage import stored
+
 #: Bytes and rows of one Arrow batch sent to a Python worker.
 BATCH_BYTES, BATCH_ROWS = "8m", "2000"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            at = held.get()
-        else:
-            at = "file://" + tempfile.mkdtemp(prefix="loam-")
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/loam/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Give executors this package, whatever their PYTHONPATH; once for each Spark context."""
     context = spark.sparkContext
@@ -60,7 +36,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Make Python workers ready: this package, and Arrow batches bounded so that very long texts fit."""
+    """Make Python workers ready: this package, and Arrow batches bounded so that very long texts fit.
+
+    The two settings stay as they are then, as the operators' plans are run later on.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -77,12 +56,6 @@ def among(documents: DataFrame, rows: DataFrame, id_col: str, text_col: str, how
     return documents.join(rows, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__print")), how)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``stored`` has written in this session's shared folder; for use after a run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loam")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

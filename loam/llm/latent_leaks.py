@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loam.llm._shared import among, as_bytes, by_text, release, slices, small_batches, stored
+from loam.llm._shared import among, as_bytes, by_text, release, slices, small_batches
+from loam.storage import stored
 
 WINDOW, RANK, COSINE = 32, 64, 0.3
 #: Least weight that a candidate shares with an item: of the item's, and of the passage's or the item's if that is less.

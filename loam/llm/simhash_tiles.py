@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._shared import among, as_bytes, by_text, components, slices, small_batches, stored
+from loam.llm._shared import among, as_bytes, by_text, components, slices, small_batches
+from loam.storage import stored
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Fingerprints of one block; a task holds two blocks.
