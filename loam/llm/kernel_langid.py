@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm._shared import slices, small_batches
+from loam.storage import stored
 
 #: Labelled rows taken for each language and in all, landmarks for each and in all, numbers in the model, and the ridge.
 ROWS_A_LANGUAGE, TOTAL_ROWS, LANDMARKS, TOTAL_LANDMARKS, WEIGHTS, RIDGE = 300, 20_000, 40, 3000, 1 << 26, 1e-2
+#: Languages up to which their counts are broadcast.
+MANY = 50_000
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 BATCH = 256
@@ -125,10 +128,11 @@ def chosen(documents: DataFrame, id_col: str, text_col: str, lang_col: str, rows
     Ids are taken in the order of a hash. Only about twice as many as are needed, those of least hash, are sorted.
     """
     df = documents.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    named = df.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids"))
-    each = max(1, min(rows, total // max(1, named.count())))
+    named = stored(df.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids")), "languages")
+    languages = named.count()
+    each = max(1, min(rows, total // max(1, languages)))
     share = (F.lit(2.0 * each + 50) / F.greatest("ids", F.lit(1))).alias("share")
-    hashed = df.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("h")).join(named.select("lang", share), "lang")
+    hashed = df.select("id", "lang", F.xxhash64(F.col("id").cast("string")).alias("h")).join(F.broadcast(named.select("lang", share)) if languages <= MANY else named.select("lang", share), "lang")
     few = hashed.where(F.abs(F.col("h").cast("double")) <= F.col("share") * float(2**63)).groupBy("lang", "id").agg(F.min("h").alias("h"))
     picked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("h").cast("double")), "h", "id"))).where(F.col("rank") <= each)
     picked = picked.select("id", "lang")
