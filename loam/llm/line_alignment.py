@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._shared import as_bytes, slices, small_batches, stored
+from loam.llm._shared import as_bytes, slices, small_batches
+from loam.storage import stored
 
 #: Documents that may have a passage for it to be rare; words from which a line or block counts.
 RARE, MIN_WORDS = 20, 5
@@ -187,7 +188,7 @@ def align(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = documents.where(F.col(text_col).isNotNull()).select(order.alias("o"), *(c.alias(n) for c, n in zip(line_hashes(text_col, min_words), "hw", strict=True)))
     lines = stored(lines.where(F.exists("w", lambda x: x > 0)).dropDuplicates(["o"]), "lines")
     # of documents with the same text the first stands for all; the others are aligned with it
-    alike = lines.groupBy(F.col("o.print").alias("print")).agg(F.min("o").alias("first"))
+    alike = stored(lines.groupBy(F.col("o.print").alias("print")).agg(F.min("o").alias("first")), "alike")  # so that adaptive execution can split the join at a large group
     whole = lines.select(F.col("o").alias("later")).join(alike, F.col("later.print") == F.col("print")).where("later <> first").select("later", "first")
     firsts = lines.join(alike, F.col("o") == F.col("first"), "left_semi")
     pairs = stored(overlaps(firsts, rare, min_words).unionByName(whole), "overlaps")
