@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import bpe_duckdb, latent_leaks, line_alignment, quality_divergence, simhash_tiles
-from loam.llm._shared import among, by_text, stored
+from loam.llm._shared import among, by_text
+from loam.storage import forget, stored, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,9 +56,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. Tables of the shared folder go as soon as the next stage is written; that which the last one reads stays."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(written(spark))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        forget(spark, since, but_last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
