@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from loam.llm._shared import KEPT, slices, small_batches
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 300_000
+LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 180_000
 
 CONTRACT = """
 with recursive step(n, word, pos, token, following, next_pos) as (
@@ -267,7 +267,7 @@ def _mapped(df: DataFrame, text: str, make, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text, 6 << 20, keep=True):
+            for b in slices(whole, text, 3 << 20, keep=True):
                 names, arrays = make(b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("id"), *arrays], names=["id", *names])
 
