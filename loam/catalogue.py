@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.config import Settings
 from loam.functions import quality
 from loam.functions import text as X
-from loam.operators import exact, minhash, ngrams, prefix, statistics, tree
+from loam.operators import apps, exact, minhash, ngrams, prefix, statistics, tree
 from loam.plans import curation
-from loam.sources import views
+from loam.schema import WIRE
+from loam.sources import jsonl, views
+from loam.storage import shared_dir, written
+from loam.streaming import ingest
 
 AVOID = ("src0", "src7")
 ROLES = ("AXStaticText", "AXButton", "AXMessage", "AXLink", "AXTextField")
@@ -124,7 +129,64 @@ def _continuations(s: SparkSession, d: str) -> DataFrame:
     return ngrams.continuations(_ngrams(s, d))
 
 
+def _wire_lines(s: SparkSession, d: str) -> str:
+    """The path of a JSON-lines table of the documents in the shared folder, in which each seventh line is broken."""
+    path = f"{shared_dir(s)}/loam/jsonl-{uuid.uuid4().hex}"
+    written(s).append(path)
+    entry = F.to_json(F.struct(F.col("app_name").alias("appName"), "text", (F.col("seq") + F.lit(0.5)).alias("timestamp")))
+    views.documents(s, d).select(F.when(F.col("seq") % 7 == 0, F.concat(F.lit("not json {"), F.col("seq").cast("string"))).otherwise(entry).alias("value")).write.text(path)
+    return path
+
+
+def _jsonl_entries(s: SparkSession, d: str) -> DataFrame:
+    return jsonl.read_good(s, _wire_lines(s, d)).select("app_name", "text", X.to_reference_seconds("ts").alias("seconds"))
+
+
+def _jsonl_purged(s: SparkSession, d: str) -> DataFrame:
+    path = _wire_lines(s, d)
+    curation.purge(s, path, Settings(avoid_apps=(), min_text_length=0))
+    unreadable = s.read.text(path + ".unreadable").select(F.lit("unreadable").alias("kind"), F.col("value").alias("text"))
+    return jsonl.read_good(s, path).select(F.lit("kept").alias("kind"), "text").unionByName(unreadable)
+
+
+def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(s)}/loam/stream-{uuid.uuid4().hex}"
+    written(s).append(path)
+    source = f"{d}/documents.parquet"
+    rows = s.readStream.schema(s.read.parquet(source).schema).parquet(f"{d}/[d]ocuments.parquet")  # a pattern, as a stream takes no path of one file
+    rows = rows.select(F.col("doc_id").alias("seq"), F.col("source").alias("app_name"), "text", F.current_timestamp().alias("ts"))
+    ingest.start(rows, f"{path}/table", f"{path}/checkpoint", once=True).awaitTermination()
+    return s.read.schema(WIRE).json(f"{path}/table").select(F.col("appName").alias("app_name"), "text")
+
+
+def _root_titles(s: SparkSession, d: str) -> DataFrame:
+    return tree.root_titles(views.shop_nodes(s, d)).groupBy("tree_id", "root_id", "title").agg(F.count("*").alias("nodes"))
+
+
+def _app_lists(s: SparkSession, d: str) -> DataFrame:
+    named = views.documents(s, d).select("app_name", F.when(F.length("app_name") == 4, "regular").otherwise("accessory").alias("policy"))
+    return apps.search(apps.listed(apps.running(named), (*AVOID, "Finder")), "SRC")
+
+
+def _ngram_merge(s: SparkSession, d: str) -> DataFrame:
+    return ngrams.merged(ngrams.counts(views.documents(s, d), 3), ngrams.counts(views.conversations(s, d), 3))
+
+
+def _line_traits(s: SparkSession, d: str) -> DataFrame:
+    classes = [X.count_japanese("text").alias("ja"), X.count_english("text").alias("en"), X.count_numbers("text").alias("num")]
+    return views.lines(s, d).select("seq", X.is_name("text").alias("is_name"), X.is_symbol_or_number("text").alias("is_symbol"), X.label("text").alias("label"), X.composite_key("app_name", "text").alias("key"), X.clusters("text").cast("bigint").alias("clusters"), *classes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "jsonl_entries": _jsonl_entries,
+    "jsonl_quarantine": lambda s, d: jsonl.read(s, _wire_lines(s, d))[1],
+    "jsonl_purged": _jsonl_purged,
+    "stream_ingest": _stream_ingest,
+    "deep_tree_texts": lambda s, d: tree.extract(views.shop_nodes(s, d)).select("tree_id", "node_id", "role", "text"),
+    "tree_root_titles": _root_titles,
+    "app_lists": _app_lists,
+    "ngram_merge": _ngram_merge,
+    "line_traits": _line_traits,
     "curated_sources": curated_sources,
     "clean_lines": _clean_lines,
     "split_fragments": _split_fragments,
@@ -285,7 +347,24 @@ grams as (
     group by n, gram
 )"""
 
+_UNION_GRAMS = _NGRAMS.replace("select text from (select 0 as r, seq, text from docs union all select 1, seq, text from conv) order by r desc, seq desc limit 100000", "select text from docs union all select text from conv")
+_SHOP = """nodes as (
+    select r_regionkey::bigint as tree_id, 0::bigint as node_id, 'AXWindow' as role, [r_name] as texts from region
+    union all select n_regionkey, n_nationkey + 1, 'AXGroup', [n_name] from nation where n_nationkey % 6 > 1
+    union all select n_regionkey, c_custkey + 1000, 'AXList', [c_name] from customer join nation on c_nationkey = n_nationkey where n_nationkey % 6 > 1 and c_custkey % 10 <> 0
+    union all select n_regionkey, o_orderkey + 1000000000, ['AXStaticText', 'AXButton', 'AXLink'][o_orderkey % 3 + 1], case o_orderkey % 3 when 0 then [o_orderpriority || ' order ' || o_orderkey] else ['order', o_orderpriority || ' order ' || o_orderkey] end
+        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_nationkey % 6 > 1 and c_custkey % 10 <> 0
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "jsonl_entries": "select source as app_name, text, doc_id + 0.5::double as seconds from documents where doc_id % 7 <> 0",
+    "jsonl_quarantine": "select 'not json {' || doc_id as value from documents where doc_id % 7 = 0",
+    "jsonl_purged": "select distinct 'kept' as kind, text from documents where doc_id % 7 <> 0 union all select 'unreadable', 'not json {' || doc_id from documents where doc_id % 7 = 0",
+    "deep_tree_texts": f"with {_SHOP} select tree_id, node_id, role, text from (select *, {_trim('text')} as t from (select tree_id, node_id, role, unnest(texts) as text from nodes)) where {_quality_sql()}",
+    "tree_root_titles": "select r_regionkey::bigint as tree_id, 0::bigint as root_id, r_name as title, (1 + (select count(*) from nation where n_regionkey = r_regionkey) + (select count(*) from customer join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey) + (select count(*) from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey))::bigint as nodes from region",
+    "app_lists": f"select app_name, app_name in ({_list((*AVOID, 'Finder'))}) as excluded from (select source as app_name from documents where length(source) = 4 union select unnest([{_list((*AVOID, 'Finder'))}])) where contains(lower(app_name), 'src')",
+    "ngram_merge": f"with {_UNION_GRAMS} select n, gram, times from grams",
+    "line_traits": f"with {_LINES} select seq, regexp_full_match(text, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Zs}}\\t\\n\\r./-]*') as is_name, {_SYMBOL} as is_symbol, left(text, 10) as label, concat_ws('-', app_name, text) as key, length_grapheme(text) as clusters, length(regexp_replace(text, '[^ぁ-ゖァ-ヺ一-龯]', '', 'g'))::int as ja, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::int as en, length(regexp_replace(text, '[^0-9]', '', 'g'))::int as num from lines",
     "curated_sources": f"with {_LINES}, clean as (select distinct app_name, t as text from (select app_name, {_one_line('text')} as t from lines) where {_ACCEPTED.replace('text', 't')} and {_AVOID}) select app_name, count(*) as entries, sum(length_grapheme(text))::bigint as chars from clean group by app_name",
     "clean_lines": f"with {_LINES} select seq, app_name, t as text from (select seq, app_name, {_one_line('text')} as t from lines) where length_grapheme(t) between 3 and 1000",
     "split_fragments": f"with {_DOCS} select seq, app_name, (generate_subscripts({_FRAGMENTS}, 1) - 1)::int as pos, unnest({_FRAGMENTS}) as fragment from docs",
@@ -327,6 +406,7 @@ r as (select n - 1 as n, left(gram, length(gram) - 1) as gram, count(*) as right
 l as (select n - 1 as n, substring(gram, 2) as gram, count(*) as left_kinds from grams where n > 1 group by all)
 select n, gram, coalesce(left_kinds, 0) as left_kinds, coalesce(right_kinds, 0) as right_kinds from l full join r using (n, gram)""",
 }
+ORACLE_SQL["stream_ingest"] = f"select app_name, text from ({ORACLE_SQL['ingest']})"
 ORACLE_SQL["separated_statistics"] = (
     f"with {_LINES}, {_CONV}, tagged as (select 'saved' as scope, app_name, text from lines union all select 'import', app_name, text from conv), "
     f"every as (select * from tagged union all select 'combined', app_name, text from tagged), {_totals_sql('every', 'scope')} select * from totals"

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from loam.config import Settings
 from loam.functions import text as X
-from loam.operators.exact import accepted
+from loam.operators.exact import accepted, consecutive_dedup
 from loam.sources import jsonl
 
 
@@ -48,18 +48,36 @@ def consecutive(stream: DataFrame, per_app: bool = False) -> DataFrame:
 def start(stream: DataFrame, path: str, checkpoint: str, settings: Settings = Settings(), once: bool = False) -> StreamingQuery:
     """Append accepted fragments to a JSON-lines table, every ``save_interval_s`` or, with ``once``, all that is there.
 
-    A trigger by number of rows has no like; sources bound a batch by files or
-    offsets. The batch number is part of the path, so a batch that is run again
-    takes the place of its first run.
+    Texts in succession are dropped as in batch, by spans of ``seq``, so a batch is
+    spread over tasks and no worker in Python is needed; of the batches before only
+    the last text is carried, in a file for each batch beside the checkpoint. A
+    trigger by number of rows has no like; sources bound a batch by files or offsets.
+    The batch number is part of the paths, so a batch that is run again takes the
+    place of its first run.
     """
+    carried = f"{checkpoint.rstrip('/')}-last"
 
     def write(batch: DataFrame, number: int) -> None:
-        jsonl.wire(batch).write.mode("overwrite").json(f"{path}/batch={number}")
-
-    out = consecutive(fragments(stream, settings)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        before = None
+        if jsonl.exists(spark, carried):
+            held = spark.read.schema("batch long, last string").json(carried).where(F.col("batch") < number)
+            before = held.agg(F.max_by("last", "batch")).first()[0]  # a row for each batch
+        batch = batch.persist()
+        ends = batch.agg(F.min("seq").alias("first"), F.max_by("text", "seq").alias("last")).first()
+        again = (F.col("seq") == F.lit(ends["first"])) & F.col("text").eqNullSafe(F.lit(before)) if before is not None else F.lit(False)
+        jsonl.wire(consecutive_dedup(batch).where(~F.coalesce(again, F.lit(False)))).write.mode("overwrite").json(f"{path}/batch={number}")
+        if ends["last"] is not None:
+            spark.createDataFrame([(number, ends["last"])], "batch long, last string").coalesce(1).write.mode("overwrite").json(f"{carried}/at={number}")
+        batch.unpersist()
+
+    out = fragments(stream, settings).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=f"{settings.save_interval_s} seconds")).start()
 
 
 def resumable_dedup(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """First arrival of each text, as Parquet; what a stopped run had done isn't done again."""
+    """First arrival of each text, as Parquet; what a stopped run had done isn't done again.
+
+    The state holds every text that was seen, as first arrival has no horizon; use a state store on disk for many.
+    """
     return stream.dropDuplicates(["text"]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -152,3 +152,20 @@ def test_stored_tables_are_forgotten(spark):
     storage.forget(spark, since)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         one.count()
+
+
+def test_stream_carries_the_last_text_over_batches(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in"
+    schema = "seq long, app_name string, text string, ts timestamp"
+    for k, texts in enumerate((["one", "two", "two"], ["two", "three"], ["one two", "three", "three"], ["three", "four"])):
+        rows = [(k * 10 + i, "A", t, datetime(2025, 1, 1)) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(folder / f"f{k}"))
+        for f in (folder / f"f{k}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    for files in (2, 4):  # what a stopped run had done isn't done again
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder / f"f[0-{files - 1}]"))
+        ingest.start(stream, str(tmp_path / "out"), str(tmp_path / f"c{files}"), once=True).awaitTermination()
+        got = [r.text for r in spark.read.json(str(tmp_path / "out")).orderBy("batch").collect()]
+        assert sorted(got) == sorted(["one", "two", "three"] if files == 2 else ["one", "two", "three", "one two", "three", "four"])
