@@ -65,14 +65,20 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 KEPT: list[dict] = []
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the machine; Arrow's pool and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release() -> None:
     """Let go of what an operator kept in this worker; for the tasks of the others, as workers are used again."""
     if any(KEPT):
         for held in KEPT:
             held.clear()
         gc.collect()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:

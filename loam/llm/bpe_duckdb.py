@@ -33,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm._shared import KEPT, slices, small_batches
+from loam.llm._shared import KEPT, slices, small_batches, trim
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 25_000, 180_000
+LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 8_000, 180_000
 
 CONTRACT = """
 with recursive step(n, word, pos, token, following, next_pos) as (
@@ -267,8 +267,9 @@ def _mapped(df: DataFrame, text: str, make, columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text, 3 << 20, keep=True):
+            for b in slices(whole, text, 2 << 20, keep=True):
                 names, arrays = make(b.column(text).to_pylist())
+                trim()
                 yield pa.RecordBatch.from_arrays([b.column("id"), *arrays], names=["id", *names])
 
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, {columns}")
