@@ -169,3 +169,54 @@ def test_stream_carries_the_last_text_over_batches(spark, tmp_path):
         ingest.start(stream, str(tmp_path / "out"), str(tmp_path / f"c{files}"), once=True).awaitTermination()
         got = [r.text for r in spark.read.json(str(tmp_path / "out")).orderBy("batch").collect()]
         assert sorted(got) == sorted(["one", "two", "three"] if files == 2 else ["one", "two", "three", "one two", "three", "four"])
+
+
+def test_maintenance(spark, tmp_path):
+    from loam.plans import maintenance as M
+
+    at, now = M.Locations(str(tmp_path / "root") + "/"), datetime(2025, 1, 1, 4)
+    assert at.entries == str(tmp_path / "root" / "p13n_v1/textEntry/savedTexts.jsonl")
+    assert M.import_runs(spark, at) == (None, -1)
+    folder = tmp_path / "in"
+    for nothing in (None, "", str(folder)):
+        assert M.import_folder(spark, nothing) is None and M.import_files(spark, at, nothing, now) == 0
+    assert M.import_runs(spark, at) == (None, -1)
+    folder.mkdir()
+    assert M.import_folder(spark, write(folder / "a.txt", "a first line", "a second line")) is None
+    assert M.import_files(spark, at, str(folder), now) == 1 and M.import_runs(spark, at) == (now, 1)
+    later = datetime(2025, 1, 2, 4)
+    assert M.import_files(spark, at, str(folder), later) == 0 and M.import_runs(spark, at) == (later, 1)
+
+    assert M.train_due(500, 3) and M.train_due(0, 1) and not M.train_due(500, 0) and not M.train_due(499, 3)
+    assert M.daily(spark, at, now, None) == datetime(2025, 1, 2, 3) == M.daily(spark, at, now, datetime(2025, 1, 2, 3))
+    assert M.daily(spark, at, now, None, Settings(auto_learning=False)) is None
+    new = spark.createDataFrame([(0, "A", "abc", now)], "seq long, app_name string, text string, ts timestamp")
+    assert M.after_save(spark, at, 500, new, Level.DISABLED) == []  # no table to add to
+    assert M.daily(spark, at, later, datetime(2025, 1, 2, 3)) == datetime(2025, 1, 3, 3)
+    count = lambda: spark.read.parquet(f"{at.models}/current").where("gram = 'c'").agg(F.sum("times")).first()[0]
+    before = count()
+    assert M.after_save(spark, at, 500, new, Level.DISABLED) == ["train"] and count() == before + 1
+    jsonl.append(new.unionByName(new), at.entries)
+    assert M.after_save(spark, at, 0, new, Level.NORMAL) == ["train", "purge"] and jsonl.read_good(spark, at.entries).count() == 1
+    assert M.purged_statistics(spark, at.entries, Settings(min_text_length=0)).first().entries == 1
+    assert M.reunited(new, new.withColumn("seq", F.lit(-1).cast("long"))).orderBy("source_rank", "seq").first().seq == 0
+    M.reset_imports(spark, at)
+    assert M.import_runs(spark, at) == (None, -1) and not jsonl.exists(spark, at.imported)
+
+    (tmp_path / "none").write_text("")
+    assert M.valid_file(spark, write(tmp_path / "some", "x")) and not M.valid_file(spark, str(tmp_path / "none")) and not M.valid_file(spark, str(tmp_path / "absent"))
+    tried = []
+    assert M.attempts(lambda: tried.append(1) or (1 / (len(tried) - 2) if len(tried) < 3 else "done"), wait_s=0) == -1.0
+    with pytest.raises(OSError):
+        M.attempts(lambda: open(tmp_path / "absent"), wait_s=0)
+
+
+def test_shut_down_writes_and_purges(spark, tmp_path):
+    from loam.plans import maintenance as M
+
+    schema = "seq long, app_name string, text string, ts timestamp"
+    rows = [(0, "A", "hello there", datetime(2025, 1, 1)), (1, "A", "other text", datetime(2025, 1, 1)), (2, "A", "hello there", datetime(2025, 1, 1))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "src"))
+    query = ingest.start(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert M.shut_down(spark, query, str(tmp_path / "out"))["removed"] == 1 and not query.isActive
+    assert sorted(r.text for r in jsonl.read_good(spark, str(tmp_path / "out")).collect()) == ["hello there", "other text"]
