@@ -12,7 +12,7 @@ from loam.config import Settings
 from loam.functions import quality
 from loam.functions import text as X
 from loam.operators import apps, exact, minhash, ngrams, prefix, statistics, tree
-from loam.plans import curation
+from loam.plans import curation, maintenance
 from loam.schema import WIRE
 from loam.sources import jsonl, views
 from loam.storage import shared_dir, written
@@ -149,6 +149,10 @@ def _jsonl_purged(s: SparkSession, d: str) -> DataFrame:
     return jsonl.read_good(s, path).select(F.lit("kept").alias("kind"), "text").unionByName(unreadable)
 
 
+def _purged_totals(s: SparkSession, d: str) -> DataFrame:
+    return maintenance.purged_statistics(s, _wire_lines(s, d), Settings(avoid_apps=(), min_text_length=0))
+
+
 def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(s)}/loam/stream-{uuid.uuid4().hex}"
     written(s).append(path)
@@ -181,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonl_entries": _jsonl_entries,
     "jsonl_quarantine": lambda s, d: jsonl.read(s, _wire_lines(s, d))[1],
     "jsonl_purged": _jsonl_purged,
+    "purged_totals": _purged_totals,
     "stream_ingest": _stream_ingest,
     "deep_tree_texts": lambda s, d: tree.extract(views.shop_nodes(s, d)).select("tree_id", "node_id", "role", "text"),
     "tree_root_titles": _root_titles,
@@ -360,6 +365,7 @@ ORACLE_SQL: dict[str, str] = {
     "jsonl_entries": "select source as app_name, text, doc_id + 0.5::double as seconds from documents where doc_id % 7 <> 0",
     "jsonl_quarantine": "select 'not json {' || doc_id as value from documents where doc_id % 7 = 0",
     "jsonl_purged": "select distinct 'kept' as kind, text from documents where doc_id % 7 <> 0 union all select 'unreadable', 'not json {' || doc_id from documents where doc_id % 7 = 0",
+    "purged_totals": f"with purged as (select distinct 'any' as app_name, text from documents where doc_id % 7 <> 0), {_totals_sql('purged')} select * from totals",
     "deep_tree_texts": f"with {_SHOP} select tree_id, node_id, role, text from (select *, {_trim('text')} as t from (select tree_id, node_id, role, unnest(texts) as text from nodes)) where {_quality_sql()}",
     "tree_root_titles": "select r_regionkey::bigint as tree_id, 0::bigint as root_id, r_name as title, (1 + (select count(*) from nation where n_regionkey = r_regionkey) + (select count(*) from customer join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey) + (select count(*) from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = r_regionkey))::bigint as nodes from region",
     "app_lists": f"select app_name, app_name in ({_list((*AVOID, 'Finder'))}) as excluded from (select source as app_name from documents where length(source) = 4 union select unnest([{_list((*AVOID, 'Finder'))}])) where contains(lower(app_name), 'src')",
