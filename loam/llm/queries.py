@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the driver's tables, and DuckDB SQL where SQL can express them."""
+"""The queries of the operators over the driver's tables, and DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe_duckdb, kernel_langid, latent_leaks, license_templates, line_alignment, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
+from loam.llm import bpe_duckdb, fill_middle, kernel_langid, latent_leaks, license_templates, line_alignment, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid)
+    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid, op13_fill_middle)
 }
 
 
@@ -285,10 +289,32 @@ where not target
 """
 
 
+_OP13_SQL = r"""
+with units as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as x from (select doc_id, coalesce(text, '') as t from documents)),
+drawn as (select *, len(u) as n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substring(x, k, 8))::bigint) as h from units),
+cut as (
+    select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+           case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+    from drawn
+),
+parts as (select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m, coalesce(array_to_string(u[b + 1:n], ''), '') as s from cut),
+made as (select *, case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end as out from parts),
+back as (
+    select *, case form when 'plain' then out
+        when 'psm' then regexp_extract(out, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 1) || regexp_extract(out, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 3) || regexp_extract(out, '(?s)^<P>(.*?)<S>(.*?)<M>(.*)$', 2)
+        else regexp_extract(out, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 2) || regexp_extract(out, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 3) || regexp_extract(out, '(?s)^<S>(.*?)<P>(.*?)<M>(.*)$', 1) end as again
+    from made
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(out) as output_sha256, sha256(again) as restored_sha256
+from back
+"""
+
 #: DuckDB SQL over whole tables; the other operators are iterative or learn, and are tested against brute force.
 ORACLE_SQL = {
     "op1_quality_divergence": _op1_sql(),
     "op2_license_templates": _op2_sql(),
     "op3_quote_threads": _OP3_SQL,
     "op5_redirect_blocks": _op5_sql(),
+    "op13_fill_middle": _OP13_SQL,
 }
