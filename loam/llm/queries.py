@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe_duckdb, fill_middle, kernel_langid, latent_leaks, license_templates, line_alignment, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
+from loam.llm import bpe_duckdb, fill_middle, kernel_langid, latent_leaks, license_templates, line_alignment, prefix_trie, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,18 @@ def op10_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(prefix_trie.keyed(prefix_trie.rebuilt(prefix_trie.units(table(spark, sf_dir, "conversations")))))
+    return nodes.drop("node", "parent", "turn")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid, op13_fill_middle)
+    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid, op12_prefix_trie, op13_fill_middle)
 }
 
 
@@ -289,6 +294,37 @@ where not target
 """
 
 
+_OP12_SQL = """
+with tables as (select list(list_reduce(range(8)::ubigint[], lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end, i::ubigint) order by i) as crc from range(256) t(i)),
+own as (
+    select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, coalesce(role, '')) as turns
+    from conversations where conv_id is not null group by conv_id
+),
+drawn as (
+    select conv_id, turns, (xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint), lambda s, b: xor(s // 256, crc[(xor(s, b) % 256 + 1)::bigint]), 4294967295::ubigint), 4294967295::ubigint) % 6)::bigint as h
+    from own, tables
+),
+seqs as (
+    select a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:len(a.turns)]) as s
+    from drawn a left join own b on a.conv_id - a.conv_id % 100 = b.conv_id
+),
+steps as (select conv_id, s, unnest(range(0, len(s) + 1)) as depth from seqs),
+found as (
+    select depth, s[1:depth] as p, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(s) = depth), '') as ends
+    from steps group by depth, s[1:depth]
+),
+linked as (
+    select a.*, b.conv_id as parent_conv_id, coalesce(k.n, 0) as n_children, coalesce((a.n_convs - 1) * length(a.p[a.depth].text), 0) as saved
+    from found a left join found b on b.depth = a.depth - 1 and b.p = a.p[1:a.depth - 1] left join (select depth - 1 as depth, p[1:depth - 1] as p, count(*) as n from found where depth > 0 group by all) k on k.depth = a.depth and k.p = a.p
+),
+under as (
+    select up as depth, p[1:up] as p, sum((n_children = 0)::bigint) as n_leaves, sum(saved) as saved_tokens
+    from (select *, unnest(range(0, depth + 1)) as up from linked) group by up, p[1:up]
+)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, sha256(ends) as ends_sha256
+from linked join under using (depth, p)
+"""
+
 _OP13_SQL = r"""
 with units as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as x from (select doc_id, coalesce(text, '') as t from documents)),
 drawn as (select *, len(u) as n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substring(x, k, 8))::bigint) as h from units),
@@ -316,5 +352,6 @@ ORACLE_SQL = {
     "op2_license_templates": _op2_sql(),
     "op3_quote_threads": _OP3_SQL,
     "op5_redirect_blocks": _op5_sql(),
+    "op12_prefix_trie": _OP12_SQL,
     "op13_fill_middle": _OP13_SQL,
 }
