@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import bpe_duckdb, fill_middle, kernel_langid, latent_leaks, license_templates, line_alignment, prefix_trie, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
+from loam.llm import bpe_duckdb, fill_middle, kernel_langid, latent_leaks, license_templates, line_alignment, minhash_forest, prefix_trie, quality_divergence, quote_threads, redirect_blocks, simhash_tiles, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel_langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.trie(prefix_trie.keyed(prefix_trie.rebuilt(prefix_trie.units(table(spark, sf_dir, "conversations")))))
     return nodes.drop("node", "parent", "turn")
@@ -66,7 +70,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid, op12_prefix_trie, op13_fill_middle)
+    for f in (op1_quality_divergence, op2_license_templates, op3_quote_threads, op4_latent_leaks, op5_redirect_blocks, op6_bpe_duckdb, op7_line_alignment, op8_suffix_dedup, op9_simhash_tiles, op10_kernel_langid, op11_minhash_forest, op12_prefix_trie, op13_fill_middle)
 }
 
 
@@ -82,7 +86,7 @@ def _op1_sql() -> str:
     return f"""
 with docs as materialized (
     select row_number() over () as r, doc_id, lang, coalesce(text, '') as text,
-           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
     from documents
 ),
 windows as (
@@ -97,7 +101,7 @@ repeated as (
 line_counts as (
     select r, count(*) - count(distinct line) as n
     from (select r, unnest(string_split(text, chr(10))) as line from docs)
-    where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r
+    where regexp_matches(line, '[^\x20\x09-\x0D]') group by r
 ),
 base as (
     select d.r, doc_id, lang, text, words, len(words) as n_words, len(array_to_string(words, '')) as word_chars,
@@ -294,6 +298,29 @@ where not target
 """
 
 
+_OP11_SQL = r"""
+with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (
+    select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end)) as s from worded
+),
+classes as materialized (select min(doc_id) as id, s, len(s) as n from sets where len(s) > 0 group by s),
+-- of two similar sets, each has one of its rarest fifth in common with the other
+places as (select id, n, unnest(s) as g from classes),
+known as (select g, count(*) as df from places group by g),
+ranked as (select id, n, g, row_number() over (partition by id order by df, g) as place from places join known using (g)),
+starts as (select id, n, g from ranked where place <= n - (80 * n + 99) // 100 + 1),
+pairs as (select distinct a.id as a, b.id as b from starts a join starts b using (g) where a.id < b.id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links as materialized (
+    select a, b from (select p.a, p.b, x.n + y.n as total, len(list_intersect(x.s, y.s)) as i from pairs p join classes x on x.id = p.a join classes y on y.id = p.b)
+    where 100 * i >= 80 * (total - i)
+),
+both_ways as (select a, b from links union select b, a from links),
+reach as (select id, id as met from classes union select r.id, e.b from reach r join both_ways e on e.a = r.met),
+roots as (select id, min(met) as root from reach group by id)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(r.root, d.doc_id) as component_id, coalesce(r.root, d.doc_id) = d.doc_id as kept
+from sets d left join classes c on c.s = d.s left join roots r on r.id = c.id
+"""
+
 _OP12_SQL = """
 with tables as (select list(list_reduce(range(8)::ubigint[], lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end, i::ubigint) order by i) as crc from range(256) t(i)),
 own as (
@@ -352,6 +379,7 @@ ORACLE_SQL = {
     "op2_license_templates": _op2_sql(),
     "op3_quote_threads": _OP3_SQL,
     "op5_redirect_blocks": _op5_sql(),
+    "op11_minhash_forest": _OP11_SQL,
     "op12_prefix_trie": _OP12_SQL,
     "op13_fill_middle": _OP13_SQL,
 }
