@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from loam.functions import text as X
 from loam.operators import apps, exact, minhash, ngrams, prefix, statistics, tree
 from loam.plans import curation, maintenance
 from loam.schema import WIRE
-from loam.sources import jsonl, views
+from loam.sources import chunks, jsonl, views
+from loam.sources.log import Log
 from loam.storage import shared_dir, written
-from loam.streaming import ingest
+from loam.streaming import buffered, ingest
 
 AVOID = ("src0", "src7")
 ROLES = ("AXStaticText", "AXButton", "AXMessage", "AXLink", "AXTextField")
@@ -121,8 +123,28 @@ def _html_nodes(s: SparkSession, d: str) -> DataFrame:
     return tree.html_nodes(s.read.parquet(f"{d}/pages.parquet")).groupBy("tree_id", "role").agg(F.count("*").alias("nodes"), F.coalesce(F.sum(F.length(F.array_join("value", ""))), F.lit(0)).cast("bigint").alias("chars"))
 
 
-def _ngrams(s: SparkSession, d: str, most: int = 3) -> DataFrame:
-    return ngrams.counts(ngrams.corpus(views.documents(s, d), views.conversations(s, d)), most)
+def _ngrams(s: SparkSession, d: str) -> DataFrame:
+    return ngrams.counts(ngrams.corpus(views.documents(s, d), views.conversations(s, d)))
+
+
+def _ngram_model(s: SparkSession, d: str) -> DataFrame:
+    tables = ngrams.model(ngrams.counts(views.conversations(s, d), 4))
+    return reduce(DataFrame.unionByName, (t.select(F.lit(k).alias("kind"), "n", "gram", "value") for k, t in tables.items()))
+
+
+def _ngram_scores(s: SparkSession, d: str) -> DataFrame:
+    """What the model of the conversations makes of each three characters of the documents that follow another and are letters."""
+    tables = ngrams.model(ngrams.counts(views.conversations(s, d), 3))
+    grams = views.documents(s, d).select(F.explode(X.char_ngrams("text", 3)).alias("gram")).where(F.col("gram").rlike("^[a-z]{3}$")).distinct()
+    return ngrams.scored(grams.select(F.left("gram", F.lit(2)).alias("context"), F.substring("gram", 3, 1).alias("next")), tables).select("context", "next", F.round("p", 9).alias("p"))
+
+
+def _walked_texts(s: SparkSession, d: str) -> DataFrame:
+    return tree.walked(views.shop_nodes(s, d)).select("tree_id", "node_id", "role", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"), "position", "text")
+
+
+def _walked_once(s: SparkSession, d: str) -> DataFrame:
+    return exact.consecutive_dedup(tree.walked(views.shop_nodes(s, d))).select("tree_id", "node_id", "role", "position", "text")
 
 
 def _continuations(s: SparkSession, d: str) -> DataFrame:
@@ -149,6 +171,51 @@ def _jsonl_purged(s: SparkSession, d: str) -> DataFrame:
     return jsonl.read_good(s, path).select(F.lit("kept").alias("kind"), "text").unionByName(unreadable)
 
 
+def _log_purged(s: SparkSession, d: str) -> DataFrame:
+    """Appends of a table with a commit log, one made twice, a write that was never committed, and a purge while more is appended."""
+    path = f"{shared_dir(s)}/loam/log-{uuid.uuid4().hex}"
+    written(s).append(path)
+    log, rows = Log(s, path), views.documents(s, d).withColumn("ts", F.timestamp_seconds(F.lit(1e9)))
+    for k in (0, 1, 1):
+        log.append(jsonl.wire(rows.where(F.col("seq") % 3 == k)), "documents", k)
+    jsonl.wire(rows).write.json(f"{path}/data/cut-off")
+    before = log.state()
+    log.append(jsonl.wire(rows.where(F.col("seq") % 3 == 2)), "documents", 2)
+    log.replace(log.read(before.version).groupBy("text").agg(F.min("appName").alias("appName"), F.min("timestamp").alias("timestamp")).select("appName", "text", "timestamp"), before, "purge", 0)
+    log.sweep()
+    return log.read().groupBy("text").agg(F.count("*").alias("times"))
+
+
+def _jsonl_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The broken table of ``_wire_lines`` by ranges of 64 KiB, cut within lines and characters."""
+    found = chunks.scan(s, _wire_lines(s, d), 64 << 10)
+    return chunks.entries(found).select("app_name", "text", X.to_reference_seconds("ts").alias("seconds"))
+
+
+def _in_files(s: SparkSession, d: str, files: int = 4) -> str:
+    """A folder with the documents in so many files by id, which a stream takes one after the other."""
+    path = f"{shared_dir(s)}/loam/files-{uuid.uuid4().hex}"
+    written(s).append(path)
+    rows = views.documents(s, d).withColumn("ts", F.timestamp_seconds(F.lit(1e9)))
+    rows.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.parquet(path)
+    fs, folder = jsonl.filesystem(s, path)
+    names = sorted(x.getPath().toString() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    for k, name in enumerate(names):
+        fs.setTimes(jsonl.filesystem(s, name)[1], 1_700_000_000_000 + 1000 * k, -1)
+    return path
+
+
+def _stream_buffered(s: SparkSession, d: str) -> DataFrame:
+    """Ingestion by state and timers over several batches; what waits at the end is saved."""
+    source = _in_files(s, d)
+    at = f"{source}-out"
+    written(s).append(at)
+    rows = s.readStream.schema(s.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    buffered.start(rows, f"{at}/table", f"{at}/checkpoint", once=True).awaitTermination()
+    buffered.drain(s, f"{at}/table", f"{at}/checkpoint")
+    return Log(s, f"{at}/table").read().select(F.col("appName").alias("app_name"), "text")
+
+
 def _purged_totals(s: SparkSession, d: str) -> DataFrame:
     return maintenance.purged_statistics(s, _wire_lines(s, d), Settings(avoid_apps=(), min_text_length=0))
 
@@ -227,12 +294,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_texts": _tree_texts,
     "ngram_counts": _ngrams,
     "ngram_continuations": _continuations,
+    "ngram_model": _ngram_model,
+    "ngram_scores": _ngram_scores,
+    "tree_texts_ordered": _walked_texts,
+    "tree_texts_once": _walked_once,
+    "log_purged": _log_purged,
+    "jsonl_chunks": _jsonl_chunks,
+    "stream_buffered": _stream_buffered,
 }
 #: Queries without SQL.
-WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "ngram_counts_5": lambda s, d: _ngrams(s, d, 5),
-    "ngram_continuations_5": lambda s, d: ngrams.continuations(_ngrams(s, d, 5)),
-}
+WITHOUT_SQL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _list(values) -> str:
@@ -302,7 +373,7 @@ signed as materialized (
 
 _SAME = f"({' + '.join(f'(a.m{k} = b.m{k})::int' for k in range(minhash.SIZE))}) / {minhash.SIZE}.0"
 _NEAR = "abs(length(a.text) - length(b.text)) * 2 <= greatest(length(a.text), length(b.text))"
-_FIRST_TEXT = "select seq, app_name, text from {0} qualify row_number() over (partition by text order by seq) = 1"
+_FIRST_TEXT = "select seq, app_name, text from {0} qualify row_number() over (partition by nfc_normalize(text) order by seq) = 1"
 
 
 def _totals_sql(source: str, by: str = "") -> str:
@@ -344,15 +415,28 @@ _NODES = f"""nodes as (
     from (select page_id, unnest(regexp_extract_all(h, '{_TAGS}', 1)) as tag, unnest(regexp_extract_all(h, '{_TAGS}', 2)) as text, generate_subscripts(regexp_extract_all(h, '{_TAGS}', 1), 1) as i
           from (select page_id, {_HTML} as h from pages))
 )"""
-_NGRAMS = f"""{_DOCS}, {_CONV},
-corpus as (select text from (select 0 as r, seq, text from docs union all select 1, seq, text from conv) order by r desc, seq desc limit 100000),
+
+
+def _grams(source: str, most: int) -> str:
+    return f"""{_DOCS}, {_CONV},
+corpus as ({source}),
 grams as (
     select n, gram, count(*) as times
-    from (select n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) as gram from corpus, (select unnest([1, 2, 3]) as n) where length(text) >= n)
+    from (select n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) as gram from corpus, (select unnest(range(1, {most + 1})) as n) where length(text) >= n)
     group by n, gram
 )"""
 
-_UNION_GRAMS = _NGRAMS.replace("select text from (select 0 as r, seq, text from docs union all select 1, seq, text from conv) order by r desc, seq desc limit 100000", "select text from docs union all select text from conv")
+
+_BOTH = "select text from docs union all select text from conv"
+_NGRAMS, _UNION_GRAMS = _grams(_BOTH, 5), _grams(_BOTH, 3)
+_KINDS_SQL = """
+kinds as (
+    select 'c_abc' as kind, n, gram, times as value from grams
+    union all select 'u_abx', n - 1, left(gram, length(gram) - 1), count(*) from grams where n > 1 group by all
+    union all select 'u_xbc', n - 1, substring(gram, 2), count(*) from grams where n > 1 group by all
+    union all select 'r_xbx', n - 2, substring(gram, 2, length(gram) - 2), count(*) from grams where n > 2 group by all
+    union all select 'c_bc', n - 1, substring(gram, 2), sum(times) from grams where n > 1 group by all
+)"""
 _SHOP = """nodes as (
     select r_regionkey::bigint as tree_id, 0::bigint as node_id, 'AXWindow' as role, [r_name] as texts from region
     union all select n_regionkey, n_nationkey + 1, 'AXGroup', [n_name] from nation where n_nationkey % 6 > 1
@@ -361,6 +445,17 @@ _SHOP = """nodes as (
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_nationkey % 6 > 1 and c_custkey % 10 <> 0
 )"""
 
+_WALK = f"""{_SHOP},
+paths as (
+    select n.*, case when node_id = 0 then [0::bigint] when node_id < 1000 then [0, node_id] when node_id < 1000000000 then [0, c.c_nationkey + 1, node_id] else [0, x.c_nationkey + 1, o_custkey + 1000, node_id] end as path
+    from nodes n left join customer c on node_id = c.c_custkey + 1000 left join orders on node_id = o_orderkey + 1000000000 left join customer x on x.c_custkey = o_custkey
+),
+-- a link's value is met twice, first by itself
+met as (select tree_id, node_id, role, path, case when role = 'AXLink' then list_concat([texts[2]], [texts[2], texts[1]]) else texts end as texts from paths),
+walk as (
+    select * from (select tree_id, node_id, role, path, (generate_subscripts(texts, 1) - 1)::int as position, unnest(texts) as text, {_trim("unnest(texts)")} as t from met) where {_quality_sql()}
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "jsonl_entries": "select source as app_name, text, doc_id + 0.5::double as seconds from documents where doc_id % 7 <> 0",
     "jsonl_quarantine": "select 'not json {' || doc_id as value from documents where doc_id % 7 = 0",
@@ -378,8 +473,8 @@ ORACLE_SQL: dict[str, str] = {
     "quality_filter": f"with {_LINES} select seq, role, text from (select seq, {_ROLE} as role, text, text as t from lines) where {_quality_sql()}",
     "exclude_apps": f"with {_DOCS} select app_name, count(*) as n, sum(strlen(text))::bigint as bytes from docs where {_AVOID} group by app_name",
     "exact_dedup": f"with {_DOCS}, ok as (select * from docs where {_AVOID} and length_grapheme(text) >= 3) {_FIRST_TEXT.format('ok')}",
-    "exact_dedup_stats": f"with {_DOCS}, ok as (select * from docs where {_AVOID} and length_grapheme(text) >= 3), n as (select count(*) as processed, count(distinct text) as kept from ok) select processed, kept, processed - kept as removed, case when processed > 0 then (processed - kept) / processed * 100 else 0.0 end as reduction_rate from n",
-    "pair_dedup": f"with {_LINES} select seq, app_name, text from lines qualify row_number() over (partition by app_name, text order by seq) = 1",
+    "exact_dedup_stats": f"with {_DOCS}, ok as (select * from docs where {_AVOID} and length_grapheme(text) >= 3), n as (select count(*) as processed, count(distinct nfc_normalize(text)) as kept from ok) select processed, kept, processed - kept as removed, case when processed > 0 then (processed - kept) / processed * 100 else 0.0 end as reduction_rate from n",
+    "pair_dedup": f"with {_LINES} select seq, app_name, text from lines qualify row_number() over (partition by nfc_normalize(app_name), nfc_normalize(text) order by seq) = 1",
     "consecutive_dedup": f"with {_LINES} select seq, app_name, text from lines where {_ACCEPTED} and {_AVOID} qualify text is distinct from lag(text) over (order by seq)",
     "ingest": f"with {_DOCS}, parts as (select seq * 1000 + generate_subscripts({_FRAGMENTS}, 1) - 1 as seq, app_name, unnest({_FRAGMENTS}) as part from docs where length_grapheme(text) between 3 and 1000), clean as (select seq, app_name, {_one_line('part')} as text from parts) select * from clean where {_ACCEPTED} and app_name <> 'Finder' qualify text is distinct from lag(text) over (order by seq)",
     "prefix_dedup_lines": f"with {_LINES}, one as ({_PREFIX_IN.format('lines')}) {_fold_sql('one', 'left(text, 2)', '-length(text), seq', _COVERS)}",
@@ -412,7 +507,19 @@ r as (select n - 1 as n, left(gram, length(gram) - 1) as gram, count(*) as right
 l as (select n - 1 as n, substring(gram, 2) as gram, count(*) as left_kinds from grams where n > 1 group by all)
 select n, gram, coalesce(left_kinds, 0) as left_kinds, coalesce(right_kinds, 0) as right_kinds from l full join r using (n, gram)""",
 }
-ORACLE_SQL["stream_ingest"] = f"select app_name, text from ({ORACLE_SQL['ingest']})"
+ORACLE_SQL["jsonl_chunks"] = ORACLE_SQL["jsonl_entries"]
+ORACLE_SQL["log_purged"] = "select text, sum(times)::bigint as times from (select distinct text, 1 as times from documents where doc_id % 3 < 2 union all select text, 1 from documents where doc_id % 3 = 2) group by text"
+ORACLE_SQL["tree_texts_ordered"] = f"with {_WALK} select tree_id, node_id, role, array_to_string(path, '/') as path, position, text from walk"
+ORACLE_SQL["tree_texts_once"] = f"with {_WALK} select tree_id, node_id, role, position, text from walk qualify text is distinct from lag(text) over (order by tree_id, path, position)"
+ORACLE_SQL["ngram_model"] = f"with {_grams('select text from conv', 4)}, {_KINDS_SQL} select kind, n, gram, value::bigint as value from kinds"
+ORACLE_SQL["ngram_scores"] = f"""with {_grams("select text from conv", 3)}, {_KINDS_SQL},
+asked as (select distinct left(gram, 2) as context, substring(gram, 3, 1) as next from (select unnest({_GRAMS.format("text", 3)}) as gram from docs) where regexp_full_match(gram, '[a-z]{{3}}')),
+starts as (select left(gram, length(gram) - 1) as c, sum(times) as total, count(*) as kinds from grams where n > 1 group by 1),
+low as (select gram as next, value / (select sum(value) from kinds where kind = 'u_xbc' and n = 1) as p from kinds where kind = 'u_xbc' and n = 1),
+one as (select a.*, coalesce(p, 0) as p0, coalesce(g.times, 0) as t1, s.total as n1, s.kinds as k1 from asked a left join low l using (next) left join grams g on g.gram = substring(a.context, 2) || a.next left join starts s on s.c = substring(a.context, 2)),
+two as (select a.*, case when n1 is null then p0 else greatest(t1 - 0.75, 0) / n1 + 0.75 * k1 / n1 * p0 end as p1, coalesce(g.times, 0) as t2, s.total as n2, s.kinds as k2 from one a left join grams g on g.gram = a.context || a.next left join starts s on s.c = a.context)
+select context, next, round((case when n2 is null then p1 else greatest(t2 - 0.75, 0) / n2 + 0.75 * k2 / n2 * p1 end)::double, 9) as p from two"""
+ORACLE_SQL["stream_ingest"] = ORACLE_SQL["stream_buffered"] = f"select app_name, text from ({ORACLE_SQL['ingest']})"
 ORACLE_SQL["separated_statistics"] = (
     f"with {_LINES}, {_CONV}, tagged as (select 'saved' as scope, app_name, text from lines union all select 'import', app_name, text from conv), "
     f"every as (select * from tagged union all select 'combined', app_name, text from tagged), {_totals_sql('every', 'scope')} select * from totals"

@@ -82,6 +82,7 @@ class Strategy(Enum):
 class Level(Enum):
     NORMAL = "normal"
     MINIMAL = "minimal"
+    FULL = "full"
     DISABLED = "disabled"
 
 
@@ -111,9 +112,13 @@ def section_size(level: Level, memory_mb: float) -> int:
     return {Level.NORMAL: 500, Level.MINIMAL: 300}.get(level, 200 if memory_mb > 8192 else 100)
 
 
+#: Saved rows from purge to purge.
+PURGE_EVERY = {Level.MINIMAL: 5000, Level.NORMAL: 2000, Level.FULL: 1000}
+
+
 def purge_due(counter: int, level: Level) -> bool:
     """Whether a purge is due after so many saved rows."""
-    every = {Level.NORMAL: 5000, Level.MINIMAL: 2000}.get(level)
+    every = PURGE_EVERY.get(level)
     return every is not None and counter % every == 0
 
 

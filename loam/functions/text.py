@@ -1,7 +1,10 @@
-"""Scalar text functions and predicates as Column expressions; all stay in the JVM."""
+"""Scalar text functions and predicates as Column expressions; all but the composed form stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,20 @@ def col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def canonical(text: Column | str) -> Column:
+    """The composed form (NFC), by which canonically equivalent texts are equal.
+
+    The JVM offers no such function to expressions. Only texts with a character from
+    U+0300 on can change, and only they are sent to Python; the others go as nulls.
+    """
+    t = col(text)
+    return F.coalesce(F.pandas_udf(composed, "string")(F.when(t.rlike(r"[^\x00-\x{2FF}]"), t)), t)
+
+
 def trimmed(text: Column | str) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(col(text), EDGES, "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -15,10 +15,15 @@ def without_apps(entries: DataFrame, avoid_apps: Sequence[str]) -> DataFrame:
     return entries if not avoid_apps else entries.where(F.col("app_name").isNull() | ~F.col("app_name").isin(*avoid_apps))
 
 
+def key_of(name: str) -> Column:
+    """A key column as it is compared: texts and apps by their composed form, the rows keep their own."""
+    return X.canonical(name) if name in ("app_name", "text") else F.col(name)
+
+
 def first_of(entries: DataFrame, *keys: str) -> DataFrame:
-    """The row of least ``seq`` of each key; only that row of a key leaves a task, so a hot key costs little."""
+    """The row of least ``seq`` of each key; only that row of a key leaves a task, so a hot key costs little. Canonically equivalent texts are one key."""
     least = F.min_by(F.struct(*(F.col(c) for c in entries.columns)), F.struct("seq", *(F.col(c) for c in ("app_name", "text")))).alias("row")
-    return entries.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(least).select("row.*")
+    return entries.groupBy(*(key_of(k).alias(f"__{k}") for k in keys)).agg(least).select("row.*")
 
 
 def exact_dedup(entries: DataFrame, avoid_apps: Sequence[str] = (), min_length: int = 0) -> DataFrame:
@@ -30,7 +35,7 @@ def exact_dedup(entries: DataFrame, avoid_apps: Sequence[str] = (), min_length:
 def exact_dedup_stats(entries: DataFrame, avoid_apps: Sequence[str] = (), min_length: int = 0) -> DataFrame:
     """Rows processed, kept and removed, and the share removed in percent."""
     passed = without_apps(entries, avoid_apps).where(X.clusters("text") >= min_length)
-    got = passed.groupBy("text").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("processed"), F.count("*").alias("kept"))
+    got = passed.groupBy(key_of("text").alias("text")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("processed"), F.count("*").alias("kept"))
     removed = F.col("processed") - F.col("kept")
     return got.select("processed", "kept", removed.alias("removed"), F.when(F.col("processed") > 0, removed / F.col("processed") * 100).otherwise(0.0).alias("reduction_rate"))
 
@@ -52,15 +57,15 @@ def consecutive_dedup(entries: DataFrame, within: Sequence[str] = (), span: int
     rows, ``seq`` is cut in spans; each span's last text is handed to the next
     that has rows, and only those few rows meet in one place.
     """
-    cut = entries.withColumn("__span", F.floor(F.col("seq") / span))
+    cut = entries.withColumn("__span", F.floor(F.col("seq") / span)).withColumn("__key", key_of("text"))
     inside = Window.partitionBy(*within, "__span").orderBy("seq")
-    last = cut.groupBy(*within, "__span").agg(F.max_by("text", "seq").alias("__last"))
+    last = cut.groupBy(*within, "__span").agg(F.max_by("__key", "seq").alias("__last"))
     over = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("__span")
     handed = last.withColumn("__before", F.lag("__last").over(over)).drop("__last")
-    marked = cut.withColumn("__place", F.row_number().over(inside)).withColumn("__previous", F.lag("text").over(inside))
+    marked = cut.withColumn("__place", F.row_number().over(inside)).withColumn("__previous", F.lag("__key").over(inside))
     joined = marked.join(handed, [*within, "__span"])
     previous = F.when(F.col("__place") == 1, F.col("__before")).otherwise(F.col("__previous"))
-    return joined.where(~F.col("text").eqNullSafe(previous)).select(*entries.columns)
+    return joined.where(~F.col("__key").eqNullSafe(previous)).select(*entries.columns)
 
 
 def last_rows(entries: DataFrame, n: int) -> DataFrame:
@@ -75,7 +80,9 @@ def union_entries(saved: DataFrame, imported: DataFrame) -> DataFrame:
 
 def new_entries(lines: DataFrame, existing: DataFrame) -> DataFrame:
     """First row of each app and text that isn't among the existing ones."""
-    return pair_dedup(lines).join(existing.select("app_name", "text").distinct(), ["app_name", "text"], "left_anti").select(*lines.columns)
+    known = existing.select(key_of("app_name").alias("__app"), key_of("text").alias("__text")).distinct()
+    fresh = pair_dedup(lines).withColumns({"__a": key_of("app_name"), "__t": key_of("text")})
+    return fresh.join(known, (F.col("__a") == F.col("__app")) & (F.col("__t") == F.col("__text")), "left_anti").select(*lines.columns)
 
 
 def new_files(files: DataFrame, status: DataFrame) -> DataFrame:

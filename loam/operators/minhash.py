@@ -97,18 +97,22 @@ def classes(rows: DataFrame, key: str = "seq", size: int = SIZE, portable: bool
     return first, each.join(first, ["signature", "n"]).select("id", "key")
 
 
-def class_pairs(first: DataFrame, threshold: float = SIMILAR, size: int = SIZE, length_prune: bool = True) -> DataFrame:
-    """``before, node, similarity`` of all pairs of classes at the threshold, ``before`` the lesser id.
+def banded(first: DataFrame, count: int, size: int) -> DataFrame:
+    """Each class once for each band: ``id, n, signature, parts, band, part``."""
+    cuts = [round(i * size / count) for i in range(count + 1)]
+    parts = F.array(*(F.xxhash64(*(F.col("signature")[k] for k in range(cuts[i], cuts[i + 1]))) for i in range(count)))
+    return first.withColumn("parts", parts).select("id", "n", "signature", "parts", F.posexplode("parts").alias("band", "part"))
+
+
+def class_pairs(first: DataFrame, threshold: float = SIMILAR, size: int = SIZE, length_prune: bool = True, earlier: DataFrame | None = None) -> DataFrame:
+    """``before, node, similarity`` of all pairs of classes at the threshold, ``before`` the lesser id; with ``earlier``, of one of each.
 
     Lossless for the signatures: there is one band more than places that may
     differ. Two classes are compared once, on the first band that they share.
     """
     count = bands(threshold, size)
-    cuts = [round(i * size / count) for i in range(count + 1)]
-    parts = F.array(*(F.xxhash64(*(F.col("signature")[k] for k in range(cuts[i], cuts[i + 1]))) for i in range(count)))
-    cut = first.withColumn("parts", parts).select("id", "n", "signature", "parts", F.posexplode("parts").alias("band", "part"))
-    other = cut.select("band", "part", F.col("id").alias("before"), F.col("n").alias("n1"), F.col("signature").alias("s1"), F.col("parts").alias("parts1"))
-    pairs = cut.join(other, ["band", "part"]).where("before < id")
+    other = banded(first if earlier is None else earlier, count, size).select("band", "part", F.col("id").alias("before"), F.col("n").alias("n1"), F.col("signature").alias("s1"), F.col("parts").alias("parts1"))
+    pairs = banded(first, count, size).join(other, ["band", "part"]).where("before < id")
     if length_prune:
         pairs = pairs.where(F.abs(F.col("n") - F.col("n1")) * 2 <= F.greatest("n", "n1"))
     earliest = F.coalesce(*(F.when(F.col("parts")[i] == F.col("parts1")[i], F.lit(i)) for i in range(count)))
@@ -118,6 +122,18 @@ def class_pairs(first: DataFrame, threshold: float = SIMILAR, size: int = SIZE,
     return found.select("before", F.col("id").alias("node"), (same / size).alias("similarity"))
 
 
+def growing(first: DataFrame, least: int = 4096, factor: int = 8) -> Iterator[DataFrame]:
+    """Classes in batches by id, the first of about ``least``, each ``factor`` times as large as all before it."""
+    rows, sizes = first.count(), []
+    while least < rows:
+        sizes.append(least / rows)
+        least *= 1 + factor
+    cuts = sorted(set(first.approxQuantile("id", sizes, 0.1 * sizes[0]))) if sizes else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        above = F.lit(True) if low is None else F.col("id") > low
+        yield first.where(above & (F.lit(True) if high is None else F.col("id") <= high))
+
+
 def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq", size: int = SIZE, length_prune: bool = True, portable: bool = False) -> DataFrame:
     """``before, node, similarity`` of all pairs of rows at the threshold, ``before`` the lesser key.
 
@@ -131,18 +147,26 @@ def similar_pairs(rows: DataFrame, threshold: float = SIMILAR, key: str = "seq",
     return across.unionByName(within).select(F.least("x", "y").alias("before"), F.greatest("x", "y").alias("node"), "similarity")
 
 
-def similar_dedup(entries: DataFrame, avoid_apps: Sequence[str] = (), min_bytes: int = 0, threshold: float = SIMILAR, portable: bool = False) -> DataFrame:
+def similar_dedup(entries: DataFrame, avoid_apps: Sequence[str] = (), min_bytes: int = 0, threshold: float = SIMILAR, portable: bool = False, least: int = 4096, factor: int = 8) -> DataFrame:
     """Greedy first-wins: rows with no kept row before them that is similar; over all apps.
 
     Of a class only the first row can stay: if that loses to a row, the others are as similar to it.
+    Classes are taken in growing batches. One of a batch that a kept class of an earlier batch is
+    similar to goes at once, so of many rows of one template few are ever compared to each other.
     """
     passed = without_apps(entries, avoid_apps).where(X.n_bytes("text") >= min_bytes)
     # rows of one text lose to the first of them, whatever else is kept
-    rows = first_of(passed, "text")
+    rows = stored(first_of(passed, "text"), "rows")
     first, _ = classes(rows, portable=portable)
-    lost = dropped(class_pairs(first, threshold))
-    kept = first.select("id").join(lost, F.col("id") == F.col("node"), "left_anti")
-    return rows.join(kept, F.col("seq") == F.col("id"), "left_semi")
+    kept = None
+    for batch in growing(first, least, factor):
+        if kept is not None:
+            gone = class_pairs(batch, threshold, earlier=kept).select(F.col("node").alias("gone")).distinct()
+            batch = stored(batch.join(gone, F.col("id") == F.col("gone"), "left_anti"), "batch")
+        lost = dropped(class_pairs(batch, threshold))
+        now = stored(batch.join(lost, F.col("id") == F.col("node"), "left_anti"), "kept")
+        kept = now if kept is None else kept.unionAll(now)
+    return rows.join(kept.select("id"), F.col("seq") == F.col("id"), "left_semi")
 
 
 def same_signature_dedup(entries: DataFrame, threshold: float = 0.98, portable: bool = False) -> DataFrame:

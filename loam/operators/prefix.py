@@ -2,89 +2,175 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from unicodedata import normalize
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.operators.exact import first_of, pair_dedup, without_apps
-from loam.operators.greedy import dropped
+from loam.operators.exact import first_of, key_of, pair_dedup, without_apps
+from loam.operators.greedy import lost
+from loam.operators.sweep import common, opened, placed
 from loam.storage import stored
 
+#: Rows of a result that a task holds before it gives them out.
+HELD = 50_000
 
-def prefix_conflicts(rows: DataFrame) -> DataFrame:
-    """``(node, before)`` among distinct rows ``(app_name, text)``, both by ``node_of``: ``before`` is longer and covers ``node``.
 
-    A text is covered by a longer one that shares 60 % of its length from the
-    start, two characters at least, if it has 70 % of the longer's length. A
-    prefix of a longer text shares all of it. So both share a key: the app and
-    the text's first ``ceil(0.6 n)`` characters; a longer text offers one key for
-    each length that it may cover. The join is by equality on a hash of that key
-    and its length, of rows of fixed width; texts are fetched for the pairs that
-    it finds, to compare their characters.
+def prefix_conflicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each of distinct rows ``(node, app_name, text)`` asks for, ``(node, a1, a2)``, and who answers, ``(a1, a2, before)``.
+
+    A text is covered by a longer one of its app that shares 60 % of its length from
+    the start, two characters at least, if it has 70 % of the longer's length; a
+    prefix of a longer text shares all of it. So it asks for texts that begin with its
+    first ``ceil(0.6 n)`` characters and have the right length, and all texts with
+    that beginning and length ask the same. An ordered sweep finds the open beginnings
+    of each text; a text answers those of lengths in its reach, so at most 0.3 of its
+    own length, and not each text that it covers.
     """
     n = F.length("text")
-    keyed = rows.where(n >= 2).select(node_of().alias("id"), "app_name", "text", n.alias("n"))
-    share = F.greatest(F.lit(2), F.ceil(F.col("n") * 3 / 5).cast("int"))
-    start = lambda k: F.xxhash64("app_name", F.left("text", k))
-    short = keyed.select(F.col("id").alias("node"), F.col("n").alias("n1"), share.alias("k"), start(share).alias("key"))
-    first = F.greatest(F.lit(2), F.ceil(F.ceil(F.col("n") * 7 / 10) * 3 / 5).cast("int"))
-    keys = F.transform(F.sequence(first, share), lambda k: F.struct(k.alias("k"), F.xxhash64(F.col("app_name"), F.left(F.col("text"), k)).alias("key")))
-    long = keyed.select(F.col("id").alias("before"), "n", F.explode(keys).alias("x")).select("before", "n", "x.*")
-    pairs = short.join(long, ["k", "key"]).where((F.col("n") > F.col("n1")) & (F.col("n1") * 10 >= F.col("n") * 7)).select("node", "before", "k")
-    texts = keyed.select("id", "app_name", "text")
-    one = texts.select(F.col("id").alias("node"), F.col("app_name").alias("app1"), F.col("text").alias("text1"))
-    two = texts.select(F.col("id").alias("before"), F.col("app_name").alias("app2"), F.col("text").alias("text2"))
-    same = F.col("app1").eqNullSafe(F.col("app2")) & (F.left("text1", F.col("k")) == F.left("text2", F.col("k")))
-    return pairs.join(one, "node").join(two, "before").where(same).select("node", "before")
-
-
-def node_of() -> Column:
-    """A row's key in a conflict table: its ``seq`` and hashes of app and text."""
-    return F.struct("seq", F.xxhash64("app_name", "text").alias("print"), F.xxhash64("text", "app_name", F.lit(1)).alias("second"))
+    share = F.greatest(F.lit(2), F.ceil(n * 3 / 5).cast("int"))
+    asking = rows.where(n >= 2).select("node", F.col("app_name").alias("group"), F.left("text", share).alias("text"), n.alias("n"))
+    named = asking.select("node", "group", "text", F.xxhash64("group", "text", "n").alias("a1"), F.xxhash64("n", "text", "group", F.lit(1)).alias("a2"), "n")
+    marks = named.select("group", "text", "a1", "a2", "n").distinct()
+    none = F.lit(0).cast("bigint")
+    texts = rows.where(n >= 3).select(F.col("app_name").alias("group"), "text", F.col("node").alias("a1"), none.alias("a2"), n.alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list, list] = ([], [], [])
+
+        def batch() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a1", "a2", "before"])
+            for c in out:
+                c.clear()
+            return done
+
+        for (_, node, _, n), stack in opened(batches, "a1", "a2", "n"):
+            least = -(-7 * n // 10)
+            shortest = max(2, -(-3 * least // 5))
+            for size, a1, a2, m in reversed(stack):
+                if size < shortest:
+                    break
+                if least <= m < n:
+                    for c, v in zip(out, (a1, a2, node), strict=True):
+                        c.append(v)
+            if len(out[0]) > HELD:
+                yield batch()
+        yield batch()
+
+    return named.select("node", "a1", "a2"), placed(marks, texts).mapInArrow(run, "a1 long, a2 long, before long")
 
 
 def prefix_dedup(entries: DataFrame) -> DataFrame:
     """Rows that greedy prefix dedup keeps: longest first, equal texts of an app once, empty ones never.
 
     A row is compared to kept rows only, so a row may stay because the one that
-    covered it went. Two rows of equal length never cover each other.
+    covered it went. Two rows of equal length never cover each other. Whatever covers
+    a row that covers this one shares enough with it, so rounds follow the lengths
+    (two for each 70 %), not the number of rows.
     """
-    rows = stored(pair_dedup(entries.where(F.length("text") > 0)), "pairs")
-    lost = dropped(prefix_conflicts(rows)).select(F.col("node").alias("__node"))
-    return rows.join(lost, node_of() == F.col("__node"), "left_anti")
+    rows = stored(pair_dedup(entries.where(F.length("text") > 0)).withColumn("__node", F.monotonically_increasing_id()), "pairs")
+    asks, offers = prefix_conflicts(rows.select(F.col("__node").alias("node"), key_of("app_name").alias("app_name"), key_of("text").alias("text")))
+    gone = lost(asks, offers, ["a1", "a2"]).select(F.col("node").alias("__node"))
+    return rows.join(gone, "__node", "left_anti").select(*entries.columns)
+
+
+def related(a: str, b: str) -> bool:
+    return a.startswith(b) or b.startswith(a)
 
 
-def adjacent_prefix(entries: DataFrame, span: int = 65_536) -> DataFrame:
+def adjacent_prefix(entries: DataFrame, span: int | None = None) -> DataFrame:
     """Of neighbouring rows of one app, drops the later one if either text is a prefix of the other.
 
-    The kept row is compared to the next; a row of another app begins anew. A
-    chain of rows that each cover the next is folded in order, within a run of
-    rows of one app that share their first character, as all of a chain do.
+    The kept row is compared to the next; a row of another app begins anew. ``seq`` is
+    cut in ranges, one for each shuffle partition or of ``span`` rows, each a stream through one task that holds the kept row alone. What
+    a range does depends on the row carried into it only until the first row that this
+    doesn't cover, and not at all if its first row isn't covered: so each range tells
+    its first row, its last kept one if nothing is carried in, and what all its texts
+    begin with. The driver goes along these, a row for each range. A carried row that
+    all texts of a range begin with goes through it; where that isn't told, the range
+    is run with it, all such ranges at a time.
     """
-    cut = entries.withColumn("__span", F.floor(F.col("seq") / span))
-    inside = Window.partitionBy("__span").orderBy("seq")
-    spans = Window.partitionBy(F.lit(0)).orderBy("__span")  # one row for each span
-    row = F.struct("app_name", "text")
-    handed = cut.groupBy("__span").agg(F.max_by(row, "seq").alias("last")).select("__span", F.lag("last").over(spans).alias("__handed"))
-    marked = cut.withColumn("__place", F.row_number().over(inside)).withColumn("__lag", F.lag(row).over(inside)).join(handed, "__span")
-    before = F.when(F.col("__place") == 1, F.col("__handed")).otherwise(F.col("__lag"))
-    goes_on = before["app_name"].eqNullSafe(F.col("app_name")) & (F.left(before["text"], F.lit(1)) == F.left("text", F.lit(1)))
-    begun = marked.withColumn("__begin", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("seq")))
-    started = begun.withColumn("__run", F.max("__begin").over(inside))
-    earlier = begun.groupBy("__span").agg(F.max("__begin").alias("b")).select("__span", F.max("b").over(spans.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
-    runs = started.join(earlier, "__span").withColumn("__run", F.coalesce("__run", "__earlier"))
-    rows = F.sort_array(F.collect_list(F.struct("seq", *(c for c in entries.columns if c != "seq"))))
-    kind = runs.groupBy("__run").agg(rows.alias("rows"))
-    empty = F.slice("rows", 1, 0)
-
-    def fold(kept, x):
-        last = F.element_at(kept, -1)["text"]
-        covered = F.startswith(last, x["text"]) | F.startswith(x["text"], last)
-        return F.when((F.size(kept) > 0) & covered, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return kind.select(F.explode(F.aggregate("rows", empty, fold)).alias("row")).select(*(F.col(f"row.{c}").alias(c) for c in entries.columns))
+    held, columns = stored(entries, "entries"), list(entries.columns)
+    place = F.coalesce(F.col("seq").cast("double"), F.lit(-float("inf")))
+    parts = -(-held.count() // span) if span else int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = held.select(place.alias("seq")).approxQuantile("seq", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    splits = [-float("inf"), *sorted({x for x in cuts if x > -float("inf")}), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="__seq", outputCol="__range") if len(splits) > 2 else None
+    ranged = cut.transform(held.withColumn("__seq", place)) if cut else held.withColumn("__range", F.lit(0))
+    rows = ranged.withColumn("__range", F.col("__range").cast("int")).select("__range", *columns)
+
+    def streams(of: DataFrame) -> DataFrame:
+        return of.repartition(len(splits) - 1, "__range").sortWithinPartitions("__range", "seq", "app_name", "text")
+
+    def fold(batches: Iterator[pa.RecordBatch], carried: dict[int, tuple]) -> Iterator[tuple]:
+        """``batch, place, range, app, text, kept, row``: each row, whether it is kept, and the row then carried on."""
+        here, held = None, None
+        for b in batches:
+            for i, (r, app, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__range", "app_name", "text")), strict=True)):
+                app, text = (x if x is None or x.isascii() else normalize("NFC", x) for x in (app, text))
+                if r != here:
+                    here, held = r, carried.get(r)
+                kept = held is None or held[0] != app or text is None or held[1] is None or not related(held[1], text)
+                if kept:
+                    held = (app, text)
+                yield b, i, r, app, text, kept, held
+
+    def told(batches: Iterator[pa.RecordBatch], carried: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for _, _, r, app, text, _, held in fold(batches, carried):
+            x = found.setdefault(r, [app, text, None, None, True, text])
+            x[2:4] = held
+            x[4] = x[4] and app == x[0]
+            if x[5]:
+                x[5] = x[5][: common(x[5], text or "")]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*([r, *x] for r, x in sorted(found.items())), strict=True) if found else [[]] * 7, kinds, strict=True)], names=["r", "app", "text", "last_app", "last_text", "alone", "start"])
+
+    def ends(of: DataFrame, carried: dict[int, tuple]) -> dict[int, tuple]:
+        got = streams(of.select("__range", "seq", "app_name", "text")).mapInArrow(lambda b: told(b, carried), "r int, app string, text string, last_app string, last_text string, alone boolean, start string")
+        return {x.r: x for x in got.collect()}  # a row for each range
+
+    fresh = ends(rows, {})
+    known: dict[tuple, tuple] = {}
+    while True:
+        carried, unknown, held = {}, {}, None
+        for r, x in sorted(fresh.items()):
+            touched = held is not None and held[0] == x.app and None not in (held[1], x.text) and related(held[1], x.text)
+            if touched:
+                carried[r] = held
+            if not touched:
+                held = (x.last_app, x.last_text)
+            elif x.alone and (x.start or "").startswith(held[1]):
+                pass
+            elif (r, held) in known:
+                held = known[r, held]
+            else:
+                unknown[r] = held
+                held = (x.last_app, x.last_text)  # mostly so; else it is found out in the next round
+        if not unknown:
+            break
+        for r, x in ends(rows.where(F.col("__range").isin(*unknown)), unknown).items():
+            known[r, unknown[r]] = (x.last_app, x.last_text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(of: pa.RecordBatch, mask: list[bool]) -> pa.RecordBatch:
+            return of.filter(pa.array(mask, pa.bool_())).select(columns)
+
+        of, mask = None, []
+        for b, i, _, _, _, kept, _ in fold(batches, carried):
+            if not i and of is not None:
+                yield result(of, mask)
+                mask = []
+            of = b
+            mask.append(kept)
+        if of is not None:
+            yield result(of, mask)
+
+    return streams(rows).mapInArrow(keep, ", ".join(f"`{c}` {k}" for c, k in entries.dtypes))
 
 
 def simple_purge(entries: DataFrame, avoid_apps: Sequence[str] = (), min_bytes: int = 0) -> DataFrame:
@@ -94,8 +180,26 @@ def simple_purge(entries: DataFrame, avoid_apps: Sequence[str] = (), min_bytes:
 
 
 def longest_prefix(words: DataFrame, stored_words: DataFrame) -> DataFrame:
-    """``word, prefix``: the longest stored word that each word begins with, or null. An equi-join on all prefixes."""
-    ahead = words.select("word").distinct()
-    each = ahead.where(F.length("word") > 0).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.left("word", k))).alias("prefix"))
-    found = each.join(stored_words.select(F.col("word").alias("prefix")).distinct(), "prefix", "left_semi").groupBy("word").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
-    return ahead.join(found, "word", "left")
+    """``word, prefix``: the longest stored word that each distinct word begins with, or null.
+
+    By an ordered sweep: a task holds the lengths of the stored words that are open, and no prefix is made a row.
+    """
+    group = F.lit(None).cast("string").alias("group")
+    texts = stored(words.select(group, F.col("word").alias("text")).where("text is not null").distinct(), "words")
+    marks = stored_words.select(group, F.col("word").alias("text")).where("text <> ''").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list] = ([], [])
+        size = 0
+        for (text,), stack in opened(batches):
+            out[0].append(text)
+            out[1].append(text[: stack[-1][0]] if stack else None)
+            size += len(text)
+            if len(out[0]) > HELD or size > HELD * 64:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["word", "prefix"])
+                out, size = ([], []), 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["word", "prefix"])
+
+    found = placed(marks, texts).mapInArrow(run, "word string, prefix string")
+    null = words.where("word is null").limit(1).select("word", F.lit(None).cast("string").alias("prefix"))
+    return found.unionAll(null)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.quality import quality_content, skipped
+from loam.storage import stored
 
 # Which attributes carry text, by role, in order; and roles read by those alone.
 ATTRIBUTES = {
@@ -28,8 +29,11 @@ CONTAINERS = ("AXGroup", "AXMessage", "AXTabPanel", "AXList", "AXContentList")
 MAX_DEPTH, MAX_HOPS = 10, 100
 
 
-def attributes_of(role: Column) -> Column:
-    """Array of ``(position, text)`` of the texts of a node; values that are arrays give each element."""
+def attributes_of(role: Column, doubled: bool = False) -> Column:
+    """Array of ``(position, text)`` of the texts of a node; values that are arrays give each element.
+
+    ``doubled`` has a link's one value twice, as a walk over the screen meets it.
+    """
     column = {"value": F.coalesce("value", F.array().cast("array<string>")), **{c: F.array(c) for c in ("title", "description", "selected_text")}}
 
     def listed(role_name: str | None) -> Column:
@@ -41,17 +45,24 @@ def attributes_of(role: Column) -> Column:
     texts = listed(None)
     for name in ATTRIBUTES:
         texts = F.when(role == name, listed(name)).otherwise(texts)
+    if doubled:
+        texts = F.when((role == "AXLink") & (F.size(column["value"]) == 1), F.concat(column["value"], texts)).otherwise(texts)
     return F.filter(F.transform(texts, lambda x, i: F.struct(i.alias("position"), x.alias("text"))), lambda x: x["text"].isNotNull() & (x["text"] != ""))
 
 
 def visible(nodes: DataFrame, max_depth: int = MAX_DEPTH, tree: str = "tree_id") -> DataFrame:
-    """Nodes reached from the roots without passing a skipped one, above ``max_depth``; one join a level."""
+    """Nodes reached from the roots without passing a skipped one, above ``max_depth``, with ``level`` and ``path``; one join a level.
+
+    ``path`` has the ids from the root down; in its order nodes stand as a walk meets
+    them, each before its children and these by id.
+    """
     kept = nodes.where(~skipped("role", "subrole", "title"))
-    level = kept.where(F.col("parent_id").isNull()).withColumn("level", F.lit(0))
+    level = kept.where(F.col("parent_id").isNull()).withColumn("level", F.lit(0)).withColumn("path", F.array("node_id"))
     out = level
     for depth in range(1, max_depth):
-        above = level.select(F.col(tree).alias("__tree"), F.col("node_id").alias("__above"))
-        level = kept.join(above, (F.col(tree) == F.col("__tree")) & (F.col("parent_id") == F.col("__above"))).drop("__tree", "__above").withColumn("level", F.lit(depth))
+        above = level.select(F.col(tree).alias("__tree"), F.col("node_id").alias("__above"), F.col("path").alias("__path"))
+        below = kept.join(above, (F.col(tree) == F.col("__tree")) & (F.col("parent_id") == F.col("__above")))
+        level = below.withColumn("level", F.lit(depth)).withColumn("path", F.concat("__path", F.array("node_id"))).drop("__tree", "__above", "__path")
         out = out.unionByName(level)
     return out
 
@@ -62,6 +73,19 @@ def extract(nodes: DataFrame, max_depth: int = MAX_DEPTH, tree: str = "tree_id")
     return seen.select(tree, "node_id", "role", F.explode(attributes_of(F.col("role"))).alias("a")).select(tree, "node_id", "role", "a.*").where(quality_content("text", "role"))
 
 
+def walked(nodes: DataFrame, max_depth: int = MAX_DEPTH, tree: str = "tree_id") -> DataFrame:
+    """``seq, tree, node_id, role, path, position, text``: the texts as a walk through the trees gives them out, tree by tree.
+
+    ``seq`` grows along the walk, so that texts in succession can be found; a link's
+    value comes twice. The order is one sort by tree, path and position over all tasks.
+    """
+    seen = visible(nodes, max_depth, tree)
+    texts = seen.select(tree, "node_id", "role", "path", F.explode(attributes_of(F.col("role"), doubled=True)).alias("a")).select(tree, "node_id", "role", "path", "a.*")
+    ordered = texts.where(quality_content("text", "role")).orderBy(tree, "path", "position")
+    # numbered by task and place once the order is fixed; written, as numbers of a plan that is run again could differ
+    return stored(ordered.select(F.monotonically_increasing_id().alias("seq"), "*"), "walk")
+
+
 def root_titles(nodes: DataFrame, tree: str = "tree_id", hops: int = MAX_HOPS) -> DataFrame:
     """``tree, node_id, root_id, title``: each node's topmost ancestor within ``hops``, by doubling pointers."""
     up = nodes.select(tree, "node_id", F.coalesce("parent_id", "node_id").alias("root_id"))

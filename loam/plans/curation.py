@@ -16,28 +16,32 @@ from loam.sources import jsonl
 def purge(spark: SparkSession, path: str, settings: Settings = Settings(), memory_mb: float = 1e6, seconds_since: float | None = None) -> dict[str, int | str]:
     """Exact dedup of a JSON-lines table in place. Nothing is written without repeats, or if the policy says to skip.
 
-    Lines that can't be read are first added to the text files in ``path`` + ``.unreadable``.
+    Lines that can't be read go to the text files in ``path`` + ``.unreadable``, in the same step as the table is replaced.
     """
+    jsonl.recover(spark, path)
     entries, bad = jsonl.read(spark, path)
     strategy = choose_strategy(entries.count(), memory_mb, seconds_since)
     if strategy is Strategy.SKIP or rate_limited(seconds_since):
         return {"strategy": Strategy.SKIP.value, "removed": 0}
     stats = exact.exact_dedup_stats(entries, settings.avoid_apps, settings.min_text_length).first()
     if stats["removed"]:
-        if not bad.isEmpty():
-            jsonl.quarantine(bad, path.rstrip("/") + ".unreadable", "append")
         kept = exact.exact_dedup(entries, settings.avoid_apps, settings.min_text_length)
-        jsonl.replace(jsonl.wire(kept.orderBy("seq")), path)
+        jsonl.replace(jsonl.wire(kept.orderBy("seq")), path, aside=None if bad.isEmpty() else bad)
     return {"strategy": strategy.value, "removed": stats["removed"]}
 
 
+def places(settings: Settings) -> int:
+    """Fragments that a text may have in ``seq``: never as many as its characters."""
+    return max(1000, settings.max_text_length)
+
+
 def ingest(entries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Raw texts to accepted fragments: length, split, clean, filters, then no text twice in succession."""
     if not settings.data_saving:
         return entries.limit(0)
     whole = entries.where(X.length_within("text", settings.min_text_length, settings.max_text_length))
     parts = whole.select("seq", "app_name", F.posexplode(X.fragments("text")).alias("pos", "part"))
-    rows = parts.select((F.col("seq") * 1000 + F.col("pos")).alias("seq"), "app_name", X.one_line("part").alias("text"))
+    rows = parts.select((F.col("seq") * places(settings) + F.col("pos")).alias("seq"), "app_name", X.one_line("part").alias("text"))
     return exact.consecutive_dedup(exact.accepted(rows, settings.min_text_length, settings.max_text_length, settings.avoid_apps))
 
 

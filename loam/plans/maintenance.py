@@ -71,6 +71,8 @@ def import_files(spark: SparkSession, at: Locations, folder: str | None, now: da
     found = import_folder(spark, folder)
     if found is None:
         return 0
+    for path in (at.entries, at.imported, at.status, at.runs):
+        jsonl.recover(spark, path)
     saved = jsonl.read_good(spark, at.entries) if jsonl.exists(spark, at.entries) else spark.createDataFrame([], "seq long, app_name string, text string, ts timestamp")
     count = imports.run(spark, found, saved, at.imported, at.status, min_length, pdf)
     files = count or import_runs(spark, at)[1]
@@ -112,6 +114,8 @@ def daily(spark: SparkSession, at: Locations, now: datetime, due: datetime | Non
     if due is not None and now < due:
         return due
     if due is not None:
+        for path in (at.entries, at.imported):
+            jsonl.recover(spark, path)
         tables = [jsonl.read_good(spark, p) if jsonl.exists(spark, p) else None for p in (at.entries, at.imported)]
         if any(t is not None for t in tables):
             saved, imported = (t if t is not None else next(x for x in tables if x is not None).limit(0) for t in tables)

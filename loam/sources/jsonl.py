@@ -11,6 +11,9 @@ from loam.functions import text as X
 from loam.operators.exact import without_apps
 from loam.schema import WIRE
 
+#: Within a new table, lines to set aside; readers pass over names that begin so.
+ASIDE = "_unreadable"
+
 
 def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Entries and quarantined lines of JSON-lines files.
@@ -21,7 +24,9 @@ def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFra
     of a file that one task reads, and blocks in order give the lines before each.
     """
     value = F.col("value")
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    # between the two renames of a replacement that was cut off the table is beside its place
+    places = [p.rstrip("/") + ".old" if not glob(p) and not exists(spark, p) and exists(spark, p.rstrip("/") + ".old") else p for p in ([path] if isinstance(path, str) else path)]
+    raw = spark.read.text(places).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
     blocks = raw.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
     before = F.sum("lines").over(Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # one row for each block
     blocks = blocks.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
@@ -32,6 +37,10 @@ def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFra
     return entries, parsed.where(~good | F.col("e").isNull()).select("value")
 
 
+def glob(path: str) -> bool:
+    return any(c in path for c in "*?[{")
+
+
 def read_good(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Entries alone; lines that can't be read are skipped."""
     return read(spark, path)[0]
@@ -43,6 +52,7 @@ def wire(entries: DataFrame) -> DataFrame:
 
 def append(entries: DataFrame, path: str, avoid_apps: Sequence[str] = (), min_length: int = 0) -> None:
     """Add rows that pass the filters of writing, length at least and app, as new part files; no line is ever joined to another."""
+    recover(entries.sparkSession, path)
     wire(without_apps(entries, avoid_apps).where(X.clusters("text") >= min_length)).write.mode("append").json(path)
 
 
@@ -75,26 +85,62 @@ def delete_empty(spark: SparkSession, path: str) -> int:
     return len(empty)
 
 
-def replace(df: DataFrame, path: str, fmt: str = "json") -> bool:
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Rename, or fail."""
+    fs, here = filesystem(spark, source)
+    if not fs.rename(here, filesystem(spark, target)[1]):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a replacement of the table at ``path`` that was cut off.
+
+    The step that counts is the rename of the new table. Before it the old table is
+    in its place, or beside it and comes back; after it the old one goes, and lines
+    that were set aside with the new table are moved to their files, one rename each.
+    """
+    path = path.rstrip("/")
+    if not exists(spark, path):
+        if exists(spark, path + ".old"):
+            moved(spark, path + ".old", path)
+    else:
+        delete(spark, path + ".old")
+    delete(spark, path + ".new")
+    fs, aside = filesystem(spark, f"{path}/{ASIDE}")
+    if fs.exists(aside):
+        fs.mkdirs(filesystem(spark, path + ".unreadable")[1])
+        for f in fs.listStatus(aside):
+            if f.getPath().getName().startswith("part-"):
+                moved(spark, f.getPath().toString(), f"{path}.unreadable/{f.getPath().getName()}")
+        delete(spark, aside.toString())
+
+
+def replace(df: DataFrame, path: str, fmt: str = "json", aside: DataFrame | None = None) -> bool:
     """Put ``df`` in the place of the table at ``path``: written beside it, then renamed; the old one comes back on failure.
 
-    Nothing is done, and False returned, if ``df`` has no rows. ``df`` may read from ``path``.
+    Nothing is done, and False returned, if ``df`` has no rows. ``df`` may read from
+    ``path``. Lines ``aside`` are added to the text files in ``path`` + ``.unreadable``:
+    they are written within the new table and so come with it, once. A run that is
+    cut off at any step is finished or undone by the next write (``recover``); one
+    writer at a time.
     """
-    spark = df.sparkSession
-    fs, here = filesystem(spark, path)
-    new, old = filesystem(spark, path + ".new")[1], filesystem(spark, path + ".old")[1]
-    fs.delete(new, True)
+    spark, path = df.sparkSession, path.rstrip("/")
+    recover(spark, path)
     df.write.format(fmt).save(path + ".new")
     if spark.read.format(fmt).schema(df.schema).load(path + ".new").isEmpty():
-        fs.delete(new, True)
+        delete(spark, path + ".new")
         return False
-    fs.delete(old, True)
-    had = fs.exists(here)
-    if had and not fs.rename(here, old):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(new, here):
-        if had:
-            fs.rename(old, here)
-        raise OSError(f"{path} can't be replaced")
-    fs.delete(old, True)
+    if aside is not None:
+        aside.write.text(f"{path}.new/{ASIDE}")
+    swap(spark, path)
     return True
+
+
+def swap(spark: SparkSession, path: str) -> None:
+    """Put what was written to ``path`` + ``.new`` in its place."""
+    if exists(spark, path):
+        moved(spark, path, path + ".old")
+    try:
+        moved(spark, path + ".new", path)
+    finally:
+        recover(spark, path)

@@ -12,14 +12,16 @@ from pyspark.sql.streaming.query import StreamingQuery
 from loam.config import Settings
 from loam.functions import text as X
 from loam.operators.exact import accepted, consecutive_dedup
+from loam.plans.curation import places
 from loam.sources import jsonl
 
 
-def fragments(stream: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The part of ingestion without state: length, split, clean, filters."""
+def fragments(stream: DataFrame, settings: Settings = Settings(), with_place: bool = False) -> DataFrame:
+    """The part of ingestion without state: length, split, clean, filters. ``seq`` counts fragments, or, ``with_place``, texts and ``pos`` fragments."""
     whole = stream.where(X.length_within("text", settings.min_text_length, settings.max_text_length))
     parts = whole.select("seq", "app_name", "ts", F.posexplode(X.fragments("text")).alias("pos", "part"))
-    rows = parts.select((F.col("seq") * 1000 + F.col("pos")).alias("seq"), "app_name", X.one_line("part").alias("text"), "ts")
+    seq = [F.col("seq"), F.col("pos")] if with_place else [(F.col("seq") * places(settings) + F.col("pos")).alias("seq")]
+    rows = parts.select(*seq, "app_name", X.one_line("part").alias("text"), "ts")
     return accepted(rows, settings.min_text_length, settings.max_text_length, settings.avoid_apps)
 
 
@@ -50,7 +52,7 @@ def start(stream: DataFrame, path: str, checkpoint: str, settings: Settings = Se
 
     Texts in succession are dropped as in batch, by spans of ``seq``, so a batch is
     spread over tasks and no worker in Python is needed; of the batches before only
-    the last text is carried, in a file for each batch beside the checkpoint. A
+    the last text is carried, in a file beside the checkpoint. A
     trigger by number of rows has no like; sources bound a batch by files or offsets.
     The batch number is part of the paths, so a batch that is run again takes the
     place of its first run.
@@ -59,17 +61,21 @@ def start(stream: DataFrame, path: str, checkpoint: str, settings: Settings = Se
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = None
-        if jsonl.exists(spark, carried):
-            held = spark.read.schema("batch long, last string").json(carried).where(F.col("batch") < number)
-            before = held.agg(F.max_by("last", "batch")).first()[0]  # a row for each batch
+        fs, folder = jsonl.filesystem(spark, carried)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        held = sorted(n for x in names if x.startswith("at=") and (n := int(x[3:])) < number)
+        before = spark.read.schema("batch long, last string").json(f"{carried}/at={held[-1]}").first()["last"] if held else None
         batch = batch.persist()
-        ends = batch.agg(F.min("seq").alias("first"), F.max_by("text", "seq").alias("last")).first()
-        again = (F.col("seq") == F.lit(ends["first"])) & F.col("text").eqNullSafe(F.lit(before)) if before is not None else F.lit(False)
-        jsonl.wire(consecutive_dedup(batch).where(~F.coalesce(again, F.lit(False)))).write.mode("overwrite").json(f"{path}/batch={number}")
-        if ends["last"] is not None:
-            spark.createDataFrame([(number, ends["last"])], "batch long, last string").coalesce(1).write.mode("overwrite").json(f"{carried}/at={number}")
-        batch.unpersist()
+        try:
+            ends = batch.agg(F.min("seq").alias("first"), F.max_by("text", "seq").alias("last")).first()
+            again = (F.col("seq") == F.lit(ends["first"])) & F.col("text").eqNullSafe(F.lit(before)) if before is not None else F.lit(False)
+            jsonl.wire(consecutive_dedup(batch).where(~F.coalesce(again, F.lit(False)))).write.mode("overwrite").json(f"{path}/batch={number}")
+            if ends["last"] is not None:
+                spark.createDataFrame([(number, ends["last"])], "batch long, last string").coalesce(1).write.mode("overwrite").json(f"{carried}/at={number}")
+                for older in held[:-1]:  # the last one before may be asked for again
+                    jsonl.delete(spark, f"{carried}/at={older}")
+        finally:
+            batch.unpersist()
 
     out = fragments(stream, settings).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=f"{settings.save_interval_s} seconds")).start()

@@ -210,5 +210,5 @@ def test_ngrams_count_every_row(spark):
     saved = spark.createDataFrame([(1, "app", "saved")], "seq long, app_name string, text string")
     assert ngrams.corpus(saved, rows).where("text = 'saved'").count() == 1
     assert ngrams.corpus(saved, rows).count() == 100_001
-    got = __spark_entry__.queries()["ngram_counts_5"](spark, "/root/testdata/sf0.001")
+    got = __spark_entry__.queries()["ngram_counts"](spark, "/root/testdata/sf0.001")
     assert sorted(r.n for r in got.select("n").distinct().collect()) == [1, 2, 3, 4, 5]

@@ -98,7 +98,8 @@ def test_strategy(rows, memory, age, want):
 def test_policies():
     assert [choose_level(n, 16_000) for n in (50, 200, 500, 501)] == [Level.NORMAL, Level.MINIMAL, Level.MINIMAL, Level.DISABLED]
     assert choose_level(500, 8192) is Level.DISABLED
-    assert purge_due(0, Level.NORMAL) and purge_due(2000, Level.MINIMAL) and not purge_due(2000, Level.NORMAL) and not purge_due(0, Level.DISABLED)
+    assert purge_due(0, Level.NORMAL) and not purge_due(0, Level.DISABLED)
+    assert [[purge_due(n, x) for n in (1000, 2000, 5000)] for x in (Level.FULL, Level.NORMAL, Level.MINIMAL)] == [[True, True, True], [False, True, False], [False, False, True]]
     assert flush_due(10, 1, False) and flush_due(1, 31, False) and flush_due(1, None, False) and not flush_due(9, 30, False) and not flush_due(99, None, True)
     assert next_daily_run(datetime(2025, 1, 1, 2)) == datetime(2025, 1, 1, 3) and next_daily_run(datetime(2025, 1, 1, 3)) == datetime(2025, 1, 2, 3)
     s = Settings()
