@@ -237,7 +237,7 @@ def _op5_sql() -> str:
             cases.append(f"when ({host} = '{h}' or ends_with({host}, '.{h}')) and starts_with({path}, '/{rest}') then '{r}'")
         return f"(case {' '.join(cases)} end)"
 
-    said = "(case " + " ".join(f"when rule = '{r}' then '{v}'" for v, r in rules) + " end)"
+    said, bare_said = ("(case " + " ".join(f"when {c} = '{r}' then '{v}'" for v, r in rules) + " end)" for c in ("rule", "bare_rule"))
     parts = "'(?s)^.*?://([^/?#]*)([^?#]*)(?:\\?([^#]*))?'"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     space = "[ \\t\\n\\f\\r]+"
@@ -252,35 +252,42 @@ def _op5_sql() -> str:
         kept = f"list_reduce(list_transform({segments}, lambda x: [x]), lambda k, x: case when x[1] = '.' then k when x[1] = '..' then k[1:greatest(len(k) - 1, 1)] else list_concat(k, x) end)"
         return f"(case when array_to_string({kept}, '/') = '' then '/' else array_to_string({kept}, '/') || case when {segments}[-1] in ('.', '..') then '/' else '' end end)"
 
-    rest, before = "regexp_extract(t, '^[^?#]*(.*)$', 1)", "regexp_extract(t, '^([^?#]*)', 1)"
-    folder = f"coalesce(nullif(regexp_extract({path}, '^(.*/)', 1), ''), '/')"
+    def resolved(u: str, t: str) -> str:
+        at, where = f"coalesce({lower.format(f'regexp_extract({u}, {parts}, 1)')}, '')", f"coalesce(regexp_extract({u}, {parts}, 2), '')"
+        rest, before = f"regexp_extract({t}, '^[^?#]*(.*)$', 1)", f"regexp_extract({t}, '^([^?#]*)', 1)"
+        folder = f"coalesce(nullif(regexp_extract({where}, '^(.*/)', 1), ''), '/')"
+        return f"""case when regexp_matches({t}, '^(#|$)') then null when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {t}
+        when regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with({t}, '//') then 'http:' || {t} when not contains({u}, '://') then null
+        when starts_with({t}, '?') then 'http://' || {at} || {where} || {t}
+        when starts_with({t}, '/') then 'http://' || {at} || {without_dots(before)} || {rest}
+        else 'http://' || {at} || {without_dots(f"({folder} || {before})")} || {rest} end"""
+
+    def tidy(t: str) -> str:
+        return f"replace(trim(regexp_replace({t}, '{space}', ' ', 'g'), ' '), '&amp;', '&')"
+
+    unread = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{x}\\b.*?(?:</{x}\\s*>|\\z)" for x in ("script", "style", "textarea", "title", "xmp"))
+    tag = """(?is)<{}\\b(?:[^>"''=]+|=\\s*"[^"]*"|=\\s*''[^'']*''|=|["''])*>"""
     return f"""
-with recursive pages_seen as materialized (select *, regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g') as h from pages),
+with recursive pages_seen as materialized (select *, regexp_replace(html, '{unread}', '', 'g') as h from pages),
 links as (
-    select page_id, url, replace(trim(regexp_replace(t, '{space}', ' ', 'g'), ' '), '&amp;', '&') as t
+    select page_id, url, {tidy("base")} as base, {tidy("t")} as t
     from (
-        select page_id, url, unnest(list_concat(
-            list_transform(list_filter(regexp_extract_all(h, '(?is)<link\\b[^>]*>'), lambda x: list_contains(regexp_split_to_array(lower({attribute("x", "rel")}), '{space}'), 'canonical')), lambda x: {attribute("x", "href")}),
-            list_transform(list_filter(regexp_extract_all(h, '(?is)<meta\\b[^>]*>'), lambda x: lower(trim({attribute("x", "http-equiv")}, ' ')) = 'refresh'), lambda x: regexp_extract({attribute("x", "content")}, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) as t
+        select page_id, url, {attribute(f"regexp_extract(h, '{tag.format('base')}')", "href")} as base, unnest(list_concat(
+            list_transform(list_filter(regexp_extract_all(h, '{tag.format("link")}'), lambda x: list_contains(regexp_split_to_array(lower({attribute("x", "rel")}), '{space}'), 'canonical')), lambda x: {attribute("x", "href")}),
+            list_transform(list_filter(regexp_extract_all(h, '{tag.format("meta")}'), lambda x: lower(trim({attribute("x", "http-equiv")}, ' ')) = 'refresh'), lambda x: regexp_extract({attribute("x", "content")}, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)))) as t
         from pages_seen where url is not null and h is not null
     )
 ),
-targets as (
-    select page_id, case when regexp_matches(t, '^(#|$)') then null when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
-        when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with(t, '//') then 'http:' || t when not contains(url, '://') then null
-        when starts_with(t, '?') then 'http://' || {host} || {path} || t
-        when starts_with(t, '/') then 'http://' || {host} || {without_dots(before)} || {rest}
-        else 'http://' || {host} || {without_dots(f"({folder} || {before})")} || {rest} end as url
-    from links
-),
+based as (select page_id, t, case when base = '' then url else coalesce({resolved("url", "base")}, url) end as url from links),
+targets as (select page_id, {resolved("url", "t")} as url from based),
 seen as materialized (
     select page_id, url, false as target from pages
     union all
     select page_id, url, true from targets where url is not null
 ),
 parsed as materialized (
-    select *, {rule("host", "path")} as rule,
-           case when contains(url, '://') then regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end else url end as key
+    select *, {rule("host", "path")} as rule, {rule("regexp_replace(host, ':(80|443)?$', '')", "path")} as bare_rule,
+           case when contains(url, '://') then regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end else url end as key
     from (
         select *, coalesce({lower.format(f"regexp_extract(url, {parts}, 1)")}, '') as host, coalesce(regexp_extract(url, {parts}, 2), '') as path,
                list_sort(list_filter(string_split(coalesce(regexp_extract(url, {parts}, 3), ''), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$'))) as q
@@ -291,7 +298,7 @@ edges as (select distinct a.key as a, b.key as b from parsed a join parsed b usi
 linked as (select a, b from edges union select b, a from edges),
 reach as (select distinct key, key as met from parsed where key is not null union select r.key, e.b from reach r join linked e on e.a = r.met),
 roots as (select key, min(met) as root from reach group by key),
-decided as (select root, min({said}) as said from parsed join roots using (key) group by root)
+decided as (select root, min({bare_said}) as said from parsed join roots using (key) group by root)
 select page_id, host, path, rule, coalesce({said}, said, 'allow') as verdict
 from parsed left join roots using (key) left join decided using (root)
 where not target

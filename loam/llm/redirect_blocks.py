@@ -5,7 +5,9 @@ fits a URL decides. URLs are equivalent if they differ only in scheme, fragment,
 a leading ``www.`` or ``m.``, a trailing slash or tracking parameters, or if one
 redirects to the other (``<meta http-equiv=refresh>``) or names it as canonical
 (``<link rel=canonical>``, among other words of ``rel`` too). Links may be relative to
-the page; those in comments don't count. Connected components over these edges carry decisions
+the page or to its ``<base>``; those in comments, scripts and other text that is no
+markup don't count. A port that is the default goes without saying, but for the
+``host`` column and the rule of a page's own URL. Connected components over these edges carry decisions
 to URLs without a rule: one explicit allow in a component allows, else one block
 blocks, else the URL is allowed. A URL's own rule always stands.
 """
@@ -23,7 +25,12 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=.*)?$"
-COMMENT, LINK, META = r"(?s)<!--.*?(?:-->|$)", r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+#: What holds no tags: comments, and elements whose text is no markup, up to their end or that of the page.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in ("script", "style", "textarea", "title", "xmp"))
+#: The rest of a tag after its name: a quoted value may hold a ``>``.
+REST = r"""\b(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|["'])*+>"""
+LINK, META, BASE = (rf"(?is)<{x}{REST}" for x in ("link", "meta", "base"))
+DEFAULT_PORT = r":(80|443)?$"
 SPACES = r"[ \t\n\f\r]+"
 
 
@@ -31,6 +38,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER), F.lit(""))
 
 
+def bare_host_of(url: Column) -> Column:
+    """The host without a port that goes without saying."""
+    return F.regexp_replace(host_of(url), DEFAULT_PORT, "")
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
@@ -54,7 +66,7 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 def key_of(url: Column) -> Column:
     """What structurally equivalent URLs have in common; the URL itself if it has no ``://``, null if it is null."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
+    host = F.regexp_replace(bare_host_of(url), r"^(www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"/+$", "")
     query = F.array_sort(F.filter(F.split(F.coalesce(F.regexp_extract(url, PARTS, 3), F.lit("")), "&"), lambda p: ~p.rlike(TRACKING) & (p != "")))
     whole = F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
@@ -97,16 +109,20 @@ def resolved(url: Column, link: Column) -> Column:
     )
 
 
-def targets_of(url: Column, html: Column) -> Column:
-    """The URLs that a page redirects to or names as canonical."""
-    seen = F.regexp_replace(html, COMMENT, "")
+def targets_of(pages: DataFrame) -> DataFrame:
+    """``url, key, targets`` of pages ``(url, html)``: the URLs that a page redirects to or names as canonical."""
+    seen = F.regexp_replace("html", UNREAD, "")
     canonical = F.filter(F.regexp_extract_all(seen, F.lit(LINK), 0), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), SPACES), "canonical"))
     refresh = F.filter(F.regexp_extract_all(seen, F.lit(META), 0), lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
     goes = F.transform(refresh, lambda t: F.regexp_extract(attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     links = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), goes)
     # most pages have none, which a plain search tells
-    some = F.when(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh")), links)
-    return F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), lambda x: resolved(url, x)), lambda x: x.isNotNull())
+    some = F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh"))
+    base = F.when(some & F.contains(F.lower("html"), F.lit("<base")), F.nullif(attribute(F.regexp_extract(seen, BASE, 0), "href"), F.lit("")))
+    found = pages.select("url", key_of(F.col("url")).alias("key"), F.when(some, links).alias("links"), base.alias("base"))
+    at = found.withColumn("base", F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))))
+    targets = F.filter(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: resolved(F.col("base"), x)), lambda x: x.isNotNull())
+    return at.select("url", "key", targets.alias("targets"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
@@ -118,12 +134,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     each; other columns are ignored.
     """
     df = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    linked = stored(df.where("url is not null").select("url", key_of(F.col("url")).alias("key"), targets_of(F.col("url"), F.col("html")).alias("targets")), "linked")
+    linked = stored(targets_of(df.where("url is not null").select("url", "html")), "linked")
     edges = linked.select("key", F.explode("targets").alias("target")).select(F.col("key").alias("a"), key_of(F.col("target")).alias("b"))
     roots = components(edges)
     # every URL that is known, of a page or a target, may have a rule that decides for its component
     known = linked.select("url", "key").unionAll(linked.select(F.explode("targets").alias("url")).withColumn("key", key_of(F.col("url"))))
-    decided = known.withColumn("said", verdict_of(rule_of(host_of(F.col("url")), path_of(F.col("url")), rules), rules)).where("said is not null")
+    decided = known.withColumn("said", verdict_of(rule_of(bare_host_of(F.col("url")), path_of(F.col("url")), rules), rules)).where("said is not null")
     decided = decided.groupBy("key").agg(F.min("said").alias("said"))  # allow before block
     named = decided.join(roots, decided.key == roots.node, "left").select(F.coalesce("root", "key").alias("root"), "said").groupBy("root").agg(F.min("said").alias("said"))
     alias = roots.join(named, "root").select(F.col("node").alias("alias_key"), F.col("said").alias("linked_said"))

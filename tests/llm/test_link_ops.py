@@ -168,6 +168,37 @@ def test_redirects_by_relative_links_and_rel_words(spark):
     assert sorted((tuple(x[c] for c in sorted(x.asDict())) for x in got), key=str) == by_sql("op5_redirect_blocks", "pages", rows, ["page_id", "url", "html"])
 
 
+def test_redirects_by_base_ports_quoted_tags_and_scripts(spark):
+    blocked = "http://foo.net/es/1"
+    rows = [
+        (1, "http://a.org/x/1.html", "<base href='http://foo.net/es/'><link rel=canonical href=one.html>"),
+        (2, "http://b.org/2", "<link rel=canonical href='http://foo.net:80/es/two'>"),
+        (3, "http://c.org/3", f"<link title=\"a>b\" rel=canonical href='{blocked}'>"),
+        (4, "http://d.org/4", f"<script>var x = \"<link rel=canonical href='{blocked}'>\"; canonical()</script><title><link rel=canonical href={blocked}></title>"),
+        (5, "http://e.org/5", "<base target=_top><base href=/es/><base href=http://other.org/><link rel=canonical href=//foo.net/es/x>"),
+        (6, "http://f.net/in/6", "<base href='/es/'><meta http-equiv=refresh content='0; url=there'>"),
+        (7, "http://g.org:443/7", ""),
+        (8, "https://g.org/7", f"<link rel=canonical href={blocked}>"),
+        (9, "http://foo.net:80/es/9", ""),
+        (10, "http://h.org/10", f"<link rel=canonical href=http://foo.net:8080/es/1 title='x=\"'><style>/* <link rel=canonical href={blocked}> */</style>"),
+        (11, "http://i.org/11", f"<!-- <script> --><link rel='canonical' href = \"{blocked}\"><!-- </script> -->"),
+        (12, "http://j.org/12", f"<script>never ended <link rel=canonical href={blocked}>"),
+        (13, "http://k.org/13", f"<meta name=refresh content='a > b'><meta content=\"0;url='{blocked}'\" http-equiv='REFRESH'>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = redirect_blocks.judge(df).collect()
+    got = {r.page_id: r.verdict for r in found}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "block", 9: "block", 10: "allow", 11: "block", 12: "allow", 13: "block"}
+    assert next(r for r in found if r.page_id == 9).rule is None  # the contract's host keeps its port
+    assert sorted((tuple(x[c] for c in sorted(x.asDict())) for x in found), key=str) == by_sql("op5_redirect_blocks", "pages", rows, ["page_id", "url", "html"])
+
+
+def test_links_of_a_very_long_page(spark):
+    html = "<p title=\"a>b\" x='y' z=1>text</p>" * 50_000 + "<meta " + " ".join(f"a{k}='v>{k}'" for k in range(3000)) + "><link rel=canonical href=http://foo.net/es/1>" + "<script>" + "x < y; " * 100_000
+    got = redirect_blocks.judge(spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")).first()
+    assert got.verdict == "block"
+
+
 def sentence(r, n):
     return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) if r.random() < 0.7 else r.choice(["the", "of", "and"]) for _ in range(n))
 
