@@ -7,8 +7,9 @@ language and passes the base rules. A document is rejected if it is too far
 from all references. The common words of de, en, es and fr are fixed; those of any
 other language that ``MIN_DOCUMENTS`` documents state are its most frequent words,
 counted over these. The method abstains where a document states a language of which
-there is no reference. Short texts are judged by neither distance: characters
-count from ``min_words`` words on, common words from ``min_words_common`` on.
+there is no reference. Both distances count from a least number of words on. A sample
+of n words differs from the language that it was drawn from by a distance in proportion
+to 1/sqrt(n), so the limit of the common words grows as texts get shorter.
 
 One pass over the texts makes a small feature table; references and verdicts
 come from that. References are a row for each language that many documents state.
@@ -48,7 +49,9 @@ CLASSES = [
 ]
 N_CLASSES = len(CLASSES) + 2  # the rest of ASCII, and beyond ASCII
 #: Distances beyond which a document differs from a language, and the words from which that is judged.
-MAX_CHARS_JS, MAX_WORDS_JS, MIN_WORDS, MIN_WORDS_COMMON = 0.30, 0.31, 50, 100
+MAX_CHARS_JS, MAX_WORDS_JS, MIN_WORDS, MIN_WORDS_COMMON = 0.30, 0.26, 50, 50
+#: Over the root of the number of words, the distance of common words that chance alone may make.
+WORDS_NOISE = 2.54
 #: Documents from which another language is learned, and its words that count as common.
 MIN_DOCUMENTS, COMMON_WORDS = 50, 20
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hist array<int>"
@@ -163,18 +166,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((total[:, 0] > 0) & (other > 0), np.sqrt(np.maximum(a + b, 0) / 2), 1.0)
 
 
-def far_from_all(hist: np.ndarray, n_words: np.ndarray, refs: dict[str, np.ndarray], limits: tuple[float, float, int, int]) -> np.ndarray:
+def far_from_all(hist: np.ndarray, n_words: np.ndarray, refs: dict[str, np.ndarray], limits: tuple[float, float, int, int, float]) -> np.ndarray:
     """Whether each row is beyond a distance that its length lets count, for every language."""
-    max_chars, max_words, min_words, min_common = limits
+    max_chars, max_words, min_words, min_common, noise = limits
+    most = np.maximum(max_words, noise / np.sqrt(np.maximum(n_words, 1)))
     far = np.full(len(hist), bool(refs))
     for q in refs.values():
         chars = (n_words >= min_words) & (js_distance(hist[:, :N_CLASSES], q[:N_CLASSES]) > max_chars)
-        words = (n_words >= min_common) & (js_distance(hist[:, N_CLASSES:], q[N_CLASSES:]) > max_words)
+        words = (n_words >= min_common) & (js_distance(hist[:, N_CLASSES:], q[N_CLASSES:]) > most)
         far &= chars | words
     return far
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS, min_words: int = MIN_WORDS, min_words_common: int = MIN_WORDS_COMMON, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_chars_js: float = MAX_CHARS_JS, max_words_js: float = MAX_WORDS_JS, min_words: int = MIN_WORDS, min_words_common: int = MIN_WORDS_COMMON, min_documents: int = MIN_DOCUMENTS, words_noise: float = WORDS_NOISE) -> DataFrame:
     """One row for each row of ``documents``: id, base counts, ``base_failed``, ``kept``.
 
     Null texts and empty texts have no words, so they fail the base rules. A
@@ -194,7 +198,7 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hist = np.asarray(b.column("hist").flatten()).reshape(-1, width).astype(float)
-            far = far_from_all(hist, np.asarray(b.column("n_words")), refs, (max_chars_js, max_words_js, min_words, min_words_common))
+            far = far_from_all(hist, np.asarray(b.column("n_words")), refs, (max_chars_js, max_words_js, min_words, min_words_common, words_noise))
             abstains = np.array([x is not None and x not in refs for x in b.column("lang").to_pylist()], bool)
             kept = ~np.asarray(b.column("base_failed")) & (abstains | ~far)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), pa.array(kept)], names=[*b.schema.names[:7], "kept"])

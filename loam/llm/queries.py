@@ -82,7 +82,7 @@ def _op1_sql() -> str:
     ascii_all, every = "len(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))", "len(text)"
     classes += [f"{ascii_all} - ({' + '.join(classes)})", f"{every} - {ascii_all}"]
     bins = ", ".join(f"[{k}, {c}]" for k, c in enumerate(classes))
-    limits = f"(n_words >= {q.MIN_WORDS} and js_chars > {q.MAX_CHARS_JS}) or (n_words >= {q.MIN_WORDS_COMMON} and js_words > {q.MAX_WORDS_JS})"
+    limits = f"(n_words >= {q.MIN_WORDS} and js_chars > {q.MAX_CHARS_JS}) or (n_words >= {q.MIN_WORDS_COMMON} and js_words > greatest({q.MAX_WORDS_JS}, {q.WORDS_NOISE} / sqrt(n_words)))"
     return f"""
 with docs as materialized (
     select row_number() over () as r, doc_id, lang, coalesce(text, '') as text,

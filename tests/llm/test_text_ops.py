@@ -72,6 +72,16 @@ def test_quality_of_other_languages(spark):
     assert set(quality_divergence.learned_words(docs(spark, texts, ["en"] * 10 + ["ru"] * 61 + [None]), "text", "lang")["ru"]) <= set(russian.split())
 
 
+def test_quality_limit_follows_the_length(spark):
+    r = random.Random(8)
+    clean = [words(ENGLISH, n, n + k) for n in (55, 70, 90, 150, 600) for k in range(20)]
+    # fragments of a table: none of its words is a common one, though its characters are those of prose
+    table = [" ".join("".join(r.choice("abcdeéilnorst") for _ in range(6)) for _ in range(n)) for n in (65, 80, 99, 200, 900) for _ in range(20)]
+    got = {x.doc_id: x.kept for x in quality_divergence.judge(docs(spark, clean + table, ["en"] * len(clean) + [None] * len(table))).collect()}
+    assert sum(got[k] for k in range(len(clean))) >= len(clean) - 1
+    assert not any(got[k] for k in range(len(clean), len(clean) + len(table)))
+
+
 def test_quality_without_references_or_rows(spark):
     none = quality_divergence.judge(docs(spark, [words(ENGLISH, 100, 1)]))
     assert [r.kept for r in none.collect()] == [True]
