@@ -13,7 +13,7 @@ from loam.config import Settings
 from loam.functions import quality
 from loam.functions import text as X
 from loam.operators import apps, exact, minhash, ngrams, prefix, statistics, tree
-from loam.plans import curation, maintenance
+from loam.plans import curation, maintenance, progressive
 from loam.schema import WIRE
 from loam.sources import chunks, jsonl, views
 from loam.sources.log import Log
@@ -216,6 +216,14 @@ def _stream_buffered(s: SparkSession, d: str) -> DataFrame:
     return Log(s, f"{at}/table").read().select(F.col("appName").alias("app_name"), "text")
 
 
+def _progressive_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Exact dedup of the lines by six sections, stopped and begun again in between."""
+    path = f"{shared_dir(s)}/loam/sections-{uuid.uuid4().hex}"
+    written(s).append(path)
+    progressive.SectionedDedup(views.lines(s, d), path, 6).run(2)
+    return progressive.progressive_dedup(s, views.lines(s, d), path)
+
+
 def _purged_totals(s: SparkSession, d: str) -> DataFrame:
     return maintenance.purged_statistics(s, _wire_lines(s, d), Settings(avoid_apps=(), min_text_length=0))
 
@@ -299,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tree_texts_ordered": _walked_texts,
     "tree_texts_once": _walked_once,
     "log_purged": _log_purged,
+    "progressive_dedup": _progressive_dedup,
     "jsonl_chunks": _jsonl_chunks,
     "stream_buffered": _stream_buffered,
 }
@@ -508,6 +517,7 @@ l as (select n - 1 as n, substring(gram, 2) as gram, count(*) as left_kinds from
 select n, gram, coalesce(left_kinds, 0) as left_kinds, coalesce(right_kinds, 0) as right_kinds from l full join r using (n, gram)""",
 }
 ORACLE_SQL["jsonl_chunks"] = ORACLE_SQL["jsonl_entries"]
+ORACLE_SQL["progressive_dedup"] = f"with {_LINES} {_FIRST_TEXT.format('lines')}"
 ORACLE_SQL["log_purged"] = "select text, sum(times)::bigint as times from (select distinct text, 1 as times from documents where doc_id % 3 < 2 union all select text, 1 from documents where doc_id % 3 = 2) group by text"
 ORACLE_SQL["tree_texts_ordered"] = f"with {_WALK} select tree_id, node_id, role, array_to_string(path, '/') as path, position, text from walk"
 ORACLE_SQL["tree_texts_once"] = f"with {_WALK} select tree_id, node_id, role, position, text from walk qualify text is distinct from lag(text) over (order by tree_id, path, position)"
