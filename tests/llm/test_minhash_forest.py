@@ -66,7 +66,7 @@ def test_components_equal_all_pairs(spark, seed):
 
 
 def test_a_group_of_near_copies_beyond_a_region_and_a_block(spark, monkeypatch):
-    monkeypatch.setattr(minhash_forest.across, "__defaults__", (8, 16))
+    monkeypatch.setattr(minhash_forest.across, "__defaults__", (False, None, 8, 16))
     r = random.Random(7)
     words = [r.choice(VOCABULARY) for _ in range(120)]
     # similarities between two of them are about the threshold; far ones join by chains or not at all
@@ -97,6 +97,18 @@ def test_the_estimate_is_close_and_the_floor_below_it():
     assert minhash_forest.least_equal(80) == 62
 
 
+def test_parity_never_rules_out_a_link():
+    r = random.Random(4)
+    for _ in range(300):
+        a = {r.getrandbits(60) for _ in range(r.choice([3, 30, 300, 3000]))}
+        b = set(r.sample(sorted(a), max(1, int(len(a) * r.uniform(0.7, 1))))) | {r.getrandbits(60) for _ in range(r.randint(0, len(a) // 6))}
+        hashed = [np.array([minhash_forest.xxhash.xxh64_intdigest(b"%d" % x) for x in s], np.uint64) for s in (a, b)]
+        of = minhash_forest.Sketches([bytes(100)] * 2, [minhash_forest.parity(h) for h in hashed], np.array([len(a), len(b)]), [b"a", b"b"], 80)
+        both = len(a & b)
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert of.may(np.array([0]), np.array([1]))[0]
+
+
 def test_sql_equals_all_pairs():
     rows = corpus(5)
     con = duckdb.connect()
