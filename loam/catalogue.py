@@ -427,13 +427,14 @@ _NODES = f"""nodes as (
 
 
 def _grams(source: str, most: int) -> str:
+    ahead = ["c", *(f"lead(c, {k}) over w" for k in range(1, most))]
+    columns = ", ".join(f"{' || '.join(ahead[:n])} as g{n}" for n in range(1, most + 1))
+    each = " union all ".join(f"select {n} as n, g{n} as gram from ahead" for n in range(1, most + 1))
     return f"""{_DOCS}, {_CONV},
-corpus as ({source}),
-grams as (
-    select n, gram, count(*) as times
-    from (select n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substring(text, i, n))) as gram from corpus, (select unnest(range(1, {most + 1})) as n) where length(text) >= n)
-    group by n, gram
-)"""
+corpus as (select row_number() over () as r, text from ({source}) where text <> ''),
+places as (select r, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from corpus),
+ahead as (select {columns} from places window w as (partition by r order by i)),
+grams as (select n, gram, count(*) as times from ({each}) where gram is not null group by n, gram)"""
 
 
 _BOTH = "select text from docs union all select text from conv"
