@@ -285,3 +285,27 @@ def test_log_two_writers_at_a_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Log, "_put", late)
     assert log.append(wire(spark, "two"))
     assert texts(log.read()) == ["one", "other", "two"]
+
+
+@pytest.mark.parametrize(("block", "cells"), [(4096, 1 << 17), (7, 16)])
+@pytest.mark.parametrize("prune", [True, False])
+def test_tiles_find_each_pair_once(spark, monkeypatch, block, cells, prune):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CELLS", cells)
+    r = random.Random(9)
+    kinds = [[r.randrange(minhash.PRIME) for _ in range(20)] for _ in range(3)]
+    rows = [(k, r.choice([10, 12, 30, None]), [r.randrange(minhash.PRIME) if r.random() < 0.15 else x for x in kinds[k % 3]]) for k in range(150)]
+    first = spark.createDataFrame(rows, "id long, n int, signature array<bigint>")
+
+    def close(a, b):
+        return not prune or None not in (a, b) and 2 * abs(a - b) <= max(a, b)
+
+    want = {(a[0], b[0]): sum(map(int.__eq__, a[2], b[2])) / 20 for a in rows for b in rows if a[0] < b[0] and close(a[1], b[1])}
+    want = {k: v for k, v in want.items() if v >= 0.7}
+    found = minhash.class_pairs(first, length_prune=prune)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row of a pair that isn't similar
+    got = found.collect()
+    assert len(got) == len(want) > 500 and {(x.before, x.node): x.similarity for x in got} == want
+    two = minhash.class_pairs(first.where("id >= 60"), length_prune=prune, earlier=first.where("id < 60")).collect()
+    across = {k: v for k, v in want.items() if k[0] < 60 <= k[1]}
+    assert len(two) == len(across) > 100 and {(x.before, x.node): x.similarity for x in two} == across
