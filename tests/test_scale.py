@@ -309,3 +309,24 @@ def test_tiles_find_each_pair_once(spark, monkeypatch, block, cells, prune):
     two = minhash.class_pairs(first.where("id >= 60"), length_prune=prune, earlier=first.where("id < 60")).collect()
     across = {k: v for k, v in want.items() if k[0] < 60 <= k[1]}
     assert len(two) == len(across) > 100 and {(x.before, x.node): x.similarity for x in two} == across
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_minima_of_pieces_equal_those_of_each_text(n):
+    r = random.Random(3)
+    texts = ["", None, "a", "ab", "ab\0", "abc", "a b", "\U0010ffff\U0010fffe", "aaaa"] + ["".join(r.choice("ab é漢\0") for _ in range(r.randrange(40))) for _ in range(200)]
+    factors = [minhash.factors(k) for k in range(20)]
+
+    def plain(t):
+        grams = {t[i : i + n] for i in range(len(t) - n + 1)} or {t}
+        return [min((a * minhash.base_hash(g, True) + b) % minhash.PRIME for g in grams) for a, b in factors]
+
+    assert minhash.minima(texts, 20, n, {}, True).to_pylist() == [plain(t) if t else None for t in texts]
+    assert minhash.minima([None, ""], 20, n, {}, True).to_pylist() == [None, None]
+
+
+def test_signatures_leave_a_task_by_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "abcdefghij" * 20) for k in range(100)], "seq long, text string").coalesce(1)
+    whole = minhash.signed(rows).collect()
+    monkeypatch.setattr(minhash, "PIECE", 256)
+    assert minhash.signed(rows, carried=["seq"]).collect() == [type(x)(seq=x.seq, signature=x.signature) for x in whole]
