@@ -8,7 +8,7 @@ Arrow's file systems by the tasks themselves.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +25,8 @@ SCHEMA = "file string, start long, line string"
 #: Bytes of a range of a batch scan, and that a task reads at a time.
 RANGE, PIECE = 16 << 20, 64 << 10
 ROWS = 500
+#: Bytes of the small ranges that one task reads, one after the other.
+TASK = 8 << 20
 
 
 @dataclass
@@ -34,6 +36,39 @@ class Range(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges of ``size`` bytes of files, from ``start`` to ``stop`` of each, that one task reads."""
+
+    files: list[Range]
+    size: int
+
+    def each(self) -> Iterator[Range]:
+        for f in self.files:
+            for k in range(f.start, f.stop, self.size):
+                yield Range(f.path, k, min(k + self.size, f.stop))
+
+
+def together(files: Iterable[tuple[str, int, int]], size: int) -> list[Ranges]:
+    """Files from a place to a place, cut in ranges, and these put together to tasks of ``TASK`` bytes, or of one larger range.
+
+    A task for each small range would cost more to start than to read.
+    """
+    share = max(1, TASK // size) * size
+    out: list[Ranges] = []
+    left = 0
+    for path, start, stop in files:
+        while start < stop:
+            if left <= 0:
+                out.append(Ranges([], size))
+                left = share
+            end = min(start + -(-left // size) * size, stop)
+            out[-1].files.append(Range(path, start, end))
+            left -= end - start
+            start = end
+    return out
+
+
 def listed(path: str) -> dict[str, int]:
     """Files of a folder, or the one file, with their sizes; hidden ones are passed over."""
     system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -76,19 +111,21 @@ def lines(path: str, start: int, stop: int, piece: int = PIECE) -> Iterator[tupl
                 return
 
 
-def batches(path: str, start: int, stop: int, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, str]] = []
+def batches(ranges: Iterable[Range], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, int, str]] = []
 
     def batch() -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string())], names=["file", "start", "line"])
+        files, starts, found = zip(*held, strict=True)
+        done = pa.RecordBatch.from_arrays([pa.array(files), pa.array(starts, pa.int64()), pa.array(found, pa.string())], names=["file", "start", "line"])
         held.clear()
         return done
 
-    for at, line in lines(path, start, stop):
-        if line.strip():
-            held.append((at, line.rstrip(b"\r").decode("utf-8", "replace")))
-        if len(held) >= rows:
-            yield batch()
+    for r in ranges:
+        for at, line in lines(r.path, r.start, r.stop):
+            if line.strip():
+                held.append((r.path, at, line.rstrip(b"\r").decode("utf-8", "replace")))
+            if len(held) >= rows:
+                yield batch()
     if held:
         yield batch()
 
@@ -97,11 +134,11 @@ class Scan(DataSourceReader):
     def __init__(self, path: str, size: int) -> None:
         self.path, self.size = path, size
 
-    def partitions(self) -> list[Range]:
-        return [Range(f, k, min(k + self.size, n)) for f, n in sorted(listed(self.path).items()) for k in range(0, n, self.size)]
+    def partitions(self) -> list[Ranges]:
+        return together(((f, 0, n) for f, n in sorted(listed(self.path).items())), self.size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from batches(partition.path, partition.start, partition.stop)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from batches(partition.each())
 
 
 class Poll(DataSourceStreamReader):
@@ -139,11 +176,11 @@ class Poll(DataSourceStreamReader):
         self.seen = before | after
         return self.seen
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(f, k, min(k + self.size, n)) for f, n in sorted(end.items()) for k in range(start.get(f, 0), n, self.size)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return together(((f, start.get(f, 0), n) for f, n in sorted(end.items())), self.size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from batches(partition.path, partition.start, partition.stop)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from batches(partition.each())
 
     def commit(self, end: dict) -> None:
         pass

@@ -253,3 +253,18 @@ def test_filters_know_all_that_they_were_given(spark):
     other = progressive.hashed(spark.range(5000, 10_000).selectExpr("id as seq", "'A' as app_name", "concat('t', id) as text"))
     blooms = progressive.filters(seen)
     assert progressive.maybe_seen(seen, blooms).count() == 5000 and progressive.maybe_seen(other, blooms).count() < 250
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    files = {}
+    for name, n in (("a", 100), ("b", 0), ("c", 37), ("d", 64)):
+        (tmp_path / name).write_bytes("".join(f"{name}é{k}\n" for k in range(n)).encode())
+        files[str(tmp_path / name)] = (tmp_path / name).stat().st_size
+    want = sorted(f"{name}é{k}" for name, n in (("a", 100), ("c", 37), ("d", 64)) for k in range(n))
+    found = chunks.scan(spark, str(tmp_path), 7)
+    assert found.rdd.getNumPartitions() == 1 and sorted(x.line for x in found.collect()) == want
+    for task in (1, 7, 20, 64):
+        monkeypatch.setattr(chunks, "TASK", task)
+        parts = chunks.together(((f, 3, n) for f, n in sorted(files.items())), 7)
+        assert [(r.path, r.start, r.stop) for p in parts for r in p.each()] == [(f, k, min(k + 7, n)) for f, n in sorted(files.items()) for k in range(3, n, 7)]
+        assert all(sum(r.stop - r.start for r in p.each()) < max(task, 7) + 7 for p in parts)
