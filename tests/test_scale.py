@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loam import catalogue
 from loam.operators import exact, greedy, minhash, prefix, sweep
 from loam.sources import jsonl
 from loam.sources.log import Conflict, Log
@@ -330,3 +331,11 @@ def test_signatures_leave_a_task_by_pieces(spark, monkeypatch):
     whole = minhash.signed(rows).collect()
     monkeypatch.setattr(minhash, "PIECE", 256)
     assert minhash.signed(rows, carried=["seq"]).collect() == [type(x)(seq=x.seq, signature=x.signature) for x in whole]
+
+
+def test_shingle_counts_shuffle_no_row_of_a_shingle_and_a_text(spark):
+    rows = [(1, "A", "abcab"), (1, "A", "abcx"), (2, "A", "abc"), (None, "A", "abc"), (None, "A", "abc"), (3, "A", "a"), (4, "A", " ")]
+    got = catalogue.shingle_counts(spark.createDataFrame(rows, "seq long, app_name string, text string"))
+    assert {x.gram: (x.times, x.texts) for x in got.collect()} == {"abc": (5, 2), "bca": (1, 1), "cab": (1, 1), "bcx": (1, 1), "a": (1, 1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("collect_list")  # shingles are made where a text's rows have met
