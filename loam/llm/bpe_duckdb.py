@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries per partition.
 
-Each Arrow batch is split by the tokenizer's pattern. Its distinct words become
-token-position rows; a recursive DuckDB query joins them to the merge table and
-contracts each word's leftmost pair of minimum rank until none is left; rows carry
-the token and place that follow them, so that a pass takes no window. Ordered
-aggregation gives each word's ids, and decodes ids to bytes. Words recur, so a
-worker keeps the last results in a cache of fixed size; that changes no result.
+Each Arrow batch is split by the tokenizer's pattern. Its distinct words become rows,
+lists of tokens and of the ranks of each two neighbours; a recursive DuckDB query
+contracts each word's leftmost pair of minimum rank until none is left. A pass joins
+a word to the merge table for the two new pairs alone. A join to the vocabulary
+decodes the tokens that are left. Words recur, so a worker keeps the last results in
+a cache of fixed size; that changes no result.
 
 The recursion takes a pass over a word for each of its merges, so the work on a word
 grows with its length squared. Words longer than ``LONG_WORD`` bytes (Chinese without
@@ -29,6 +29,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,34 +37,29 @@ from pyspark.sql import functions as F
 from loam.llm._shared import KEPT, slices, small_batches, trim
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 8_000, 180_000
+LONG_WORD, WORDS_AT_ONCE, CACHED = 256, 32_000, 180_000
+#: Sum of the squared lengths of words of one query, which keeps every pass: some four bytes each.
+STATE = 1 << 24
 
+#: The rank of two tokens that make none.
+NONE = 2147483647
 CONTRACT = """
-with recursive step(n, word, pos, token, following, next_pos) as (
-    select 0, word, pos, token, lead(token) over w, lead(pos) over w from seed window w as (partition by word order by pos)
+with recursive step(word, tokens, ranks, least) as (
+    select word, tokens, ranks, list_min(ranks) from words
     union all
-    (
-        with pairs as materialized (
-            select s.*, m.merged::bigint * 268435456 + pos as rank
-            from step s left join merges m on m.pair = s.token::bigint * 65536 + s.following
-        ),
-        least as (select word, min(rank) as rank, arg_min(next_pos, rank) as gone from pairs group by word having min(rank) is not null),
-        pulled as (
-            select l.word, (l.rank % 268435456)::int as place, (l.rank // 268435456)::int as made, l.gone, p.following, p.next_pos
-            from pairs p join least l on p.pos = l.gone
-        )
-        select n + 1, word, pos, case when pos = place then made else token end,
-               case when pos = place then l.following when p.next_pos = place then made else p.following end,
-               case when pos = place then l.next_pos else p.next_pos end
-        from pairs p join pulled l using (word)
-        where pos <> gone
+    select word, new_tokens, new_ranks, list_min(new_ranks)
+    from (
+        select word, tokens[1 : spot - 1] || [least] || tokens[spot + 2 :] as new_tokens,
+               ranks[1 : spot - 2] || [coalesce(a.merged, 2147483647), coalesce(b.merged, 2147483647)] || ranks[spot + 2 :] as new_ranks
+        from (select *, list_position(ranks, least) as spot from step where least < 2147483647) s
+        left join merges a on a.pair = s.tokens[spot - 1]::bigint * 65536 + s.least
+        left join merges b on b.pair = s.least::bigint * 65536 + s.tokens[spot + 2]
     )
 )
-select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_string(list(hex order by pos), '') as hex
-from step s join (select word, max(n) as n from step group by word) l using (word, n) join vocabulary using (token)
-group by s.word
+select word, pos, name, piece
+from (select word, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from step where least = 2147483647) join vocabulary using (token)
 """
-#: As CONTRACT, for few and long words: in a pass, the pairs of the word's least rank from the left, each second one where
+#: For few and long words, rows of which are tokens: in a pass, the pairs of the word's least rank from the left, each second one where
 #: they overlap, up to one whose token makes a pair of lesser rank with a neighbour, which is to come next.
 CONTRACT_ALL = """
 with recursive step(n, word, pos, token) as (
@@ -97,9 +93,8 @@ with recursive step(n, word, pos, token) as (
         where g.nth is null
     )
 )
-select s.word, array_to_string(list(token order by pos), ',') as ids, array_to_string(list(hex order by pos), '') as hex
+select s.word, s.pos, name, piece
 from step s join (select word, max(n) as n from step group by word) l using (word, n) join vocabulary using (token)
-group by s.word
 """
 DECODE = """
 select item, string_agg(hex, '' order by pos) as hex
@@ -131,31 +126,64 @@ class Codec:
                     pair.append(a * 65536 + b)
                     merged.append(rank)
         self.fill("merges", {"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())})
-        self.fill("vocabulary", {"token": pa.array(list(self.bytes_of), pa.int32()), "hex": pa.array([b.hex() for b in self.bytes_of.values()])})
+        pieces = list(self.bytes_of.values())
+        self.fill("vocabulary", {"token": pa.array(list(self.bytes_of), pa.int32()), "name": pa.array(map(str, self.bytes_of)), "piece": pa.array(pieces, pa.binary()), "hex": pa.array([b.hex() for b in pieces])})
+        self.byte_tokens = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.byte_pairs = np.array([self.ranks.get(bytes([i, j]), NONE) for i in range(256) for j in range(256)], np.int32)
 
     def fill(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"create or replace table {name} as from given")
         self.con.unregister("given")
 
-    def by_query(self, words: list[bytes], query: str = CONTRACT) -> tuple[list[str], list[str]]:
-        """For each word its ids joined by commas, and in hex the bytes that they decode to, by the recursive query."""
+    def seed(self, words: list[bytes]) -> None:
+        """Table ``words``: each word's bytes as tokens, -1 at both ends, and the ranks of each two neighbours, which those at the ends haven't."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ends, of = np.concatenate([[0], np.cumsum(lengths)]), np.repeat(np.arange(n), lengths)
+        place = np.arange(len(letters))
+        tokens, ranks = np.full(len(letters) + 2 * n, -1, np.int32), np.full(len(letters) + n, NONE, np.int32)
+        tokens[place + 2 * of + 1] = self.byte_tokens[letters]
+        within = of[:-1] == of[1:]
+        ranks[(place[1:] + of[1:])[within]] = self.byte_pairs[letters[:-1].astype(np.int32) * 256 + letters[1:]][within]
+        lists = lambda values, extra: pa.ListArray.from_arrays(pa.array(ends + extra * np.arange(n + 1), pa.int32()), pa.array(values))
+        self.fill("words", {"word": pa.array(np.arange(n, dtype=np.int32)), "tokens": lists(tokens, 2), "ranks": lists(ranks, 1)})
+
+    def seed_rows(self, words: list[bytes]) -> None:
+        """Table ``seed``: a row for each byte."""
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        self.fill("seed", {"word": pa.array(word), "pos": pa.array(np.arange(len(letters), dtype=np.int32)), "token": pa.array(self.byte_tokens[letters])})
+
+    def by_query(self, words: list[bytes], query: str = CONTRACT) -> tuple[list[str], list[bytes]]:
+        """For each word its ids joined by commas, and the bytes that they decode to, by the recursive query, which gives a row for each token."""
         if not words:
             return [], []
-        one = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        lengths = np.array([len(w) for w in words])
-        letters = np.frombuffer(b"".join(words), np.uint8)
-        self.fill("seed", {"word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), lengths)), "pos": pa.array(np.arange(len(letters), dtype=np.int32)), "token": pa.array(one[letters])})
-        done = self.con.execute(query).to_arrow_table().sort_by("word")
-        return done["ids"].to_pylist(), done["hex"].to_pylist()
+        (self.seed if query is CONTRACT else self.seed_rows)(words)
+        done = self.con.execute(query).to_arrow_table().sort_by([("word", "ascending"), ("pos", "ascending")])
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(done["word"].to_numpy(), minlength=len(words)))]), pa.int32())
+        joined = lambda name, between: pc.binary_join(pa.ListArray.from_arrays(ends, done[name].combine_chunks()), between).to_pylist()
+        return joined("name", ","), joined("piece", b"")
+
+    def runs(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Bounds of the words that go in one query; a word longer than ``long_word`` counts as one of that length."""
+        start = held = 0
+        for i, w in enumerate(words):
+            size = min(len(w), self.long_word) ** 2
+            if i > start and (i - start >= WORDS_AT_ONCE or held + size > STATE):
+                yield start, i
+                start, held = i, 0
+            held += size
+        if start < len(words):
+            yield start, len(words)
 
     def tokens(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
         """The ids of each piece."""
         out = {p: [self.ranks[p]] for p in pieces if p in self.ranks}
         rest = [p for p in pieces if p not in out]
         for query, some in ((CONTRACT, [p for p in rest if len(p) <= self.long_word]), (CONTRACT_ALL, [p for p in rest if len(p) > self.long_word])):
-            for k in range(0, len(some), WORDS_AT_ONCE):
-                out.update(zip(some[k : k + WORDS_AT_ONCE], map(as_ints, self.by_query(some[k : k + WORDS_AT_ONCE], query)[0]), strict=True))
+            for lo, hi in self.runs(some):
+                out.update(zip(some[lo:hi], map(as_ints, self.by_query(some[lo:hi], query)[0]), strict=True))
         return out
 
     def by_pieces(self, words: list[bytes]) -> list[list[int]]:
@@ -219,12 +247,12 @@ class Codec:
         for i, n, b in zip(whole + long, ids, self.decode_many(ids), strict=True):
             self.ids_of[words[i]], self.bytes_for[words[i]] = ",".join(map(str, n)), b
         rest = [i for i, b in enumerate(raw) if len(b) <= self.long_word and b not in self.ranks]
-        for k in range(0, len(rest), WORDS_AT_ONCE):
-            part = rest[k : k + WORDS_AT_ONCE]
-            got, hexes = self.by_query([raw[i] for i in part])
+        for lo, hi in self.runs([raw[i] for i in rest]):
+            part = rest[lo:hi]
+            got, pieces = self.by_query([raw[i] for i in part])
             names = [words[i] for i in part]
             self.ids_of.update(zip(names, got, strict=True))
-            self.bytes_for.update(zip(names, map(bytes.fromhex, hexes), strict=True))
+            self.bytes_for.update(zip(names, pieces, strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids joined by commas, and the bytes that they decode to."""

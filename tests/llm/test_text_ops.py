@@ -174,6 +174,20 @@ def test_long_words_equal_the_library(reference_encoding, long_word):
         assert bpe_duckdb.as_ints(ids) == reference_encoding._core_bpe.encode_single_piece(w)
 
 
+def test_a_pass_takes_a_row_for_each_word(reference_encoding):
+    r = random.Random(3)
+    codec = bpe_duckdb.Codec(public_tokenizers.path(bpe_duckdb.RANK_FILE), public_tokenizers.PATTERN)
+    words = ["".join(r.choice("etaoinsrh é") for _ in range(r.randint(2, 60))).encode() for _ in range(300)]
+    words = [w for w in dict.fromkeys(words) if w not in codec.ranks]
+    ids, pieces = codec.by_query(words)
+    assert [bpe_duckdb.as_ints(x) for x in ids] == [reference_encoding._core_bpe.encode_single_piece(w) for w in words] and pieces == words
+    passes = bpe_duckdb.CONTRACT.rpartition("select word, pos")[0] + "select count(*) from step"
+    assert codec.con.execute(passes).fetchone()[0] == sum(len(w) - x.count(",") for w, x in zip(words, ids, strict=True))
+    long = [bytes([97 + i % 20]) * 256 for i in range(1000)]
+    runs = list(codec.runs(long))
+    assert [i for lo, hi in runs for i in range(lo, hi)] == list(range(1000)) and max(hi - lo for lo, hi in runs) == bpe_duckdb.STATE >> 16
+
+
 def test_very_long_word_and_null_ids(spark, reference_encoding):
     r = random.Random(2)
     texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "x" * 300_000, "word " * 100_000]
