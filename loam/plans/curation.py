@@ -16,18 +16,22 @@ from loam.sources import jsonl
 def purge(spark: SparkSession, path: str, settings: Settings = Settings(), memory_mb: float = 1e6, seconds_since: float | None = None) -> dict[str, int | str]:
     """Exact dedup of a JSON-lines table in place. Nothing is written without repeats, or if the policy says to skip.
 
-    Lines that can't be read go to the text files in ``path`` + ``.unreadable``, in the same step as the table is replaced.
+    The texts themselves are shuffled once, to their place in the order. Lines that can't be read go to the text files in ``path`` + ``.unreadable``, in the same step as the table is replaced.
     """
     jsonl.recover(spark, path)
     entries, bad = jsonl.read(spark, path)
     strategy = choose_strategy(entries.count(), memory_mb, seconds_since)
     if strategy is Strategy.SKIP or rate_limited(seconds_since):
         return {"strategy": Strategy.SKIP.value, "removed": 0}
-    stats = exact.exact_dedup_stats(entries, settings.avoid_apps, settings.min_text_length).first()
-    if stats["removed"]:
-        kept = exact.exact_dedup(entries, settings.avoid_apps, settings.min_text_length)
-        jsonl.replace(jsonl.wire(kept.orderBy("seq")), path, aside=None if bad.isEmpty() else bad)
-    return {"strategy": strategy.value, "removed": stats["removed"]}
+    passed = exact.passing(entries, settings.avoid_apps, settings.min_text_length)
+    places = exact.first_places(passed).persist()
+    try:
+        removed = places.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+        if removed:
+            jsonl.replace(jsonl.wire(exact.at_places(passed, places)), path, aside=None if bad.isEmpty() else bad)
+    finally:
+        places.unpersist()
+    return {"strategy": strategy.value, "removed": removed}
 
 
 def places(settings: Settings) -> int:

@@ -30,7 +30,8 @@ def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFra
     blocks = raw.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
     before = F.sum("lines").over(Window.partitionBy(F.lit(0)).orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))  # one row for each block
     blocks = blocks.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    rows = raw.where(X.trimmed(value) != "").join(blocks, ["file", "start"]).withColumn("seq", F.col("place") + F.col("shift"))
+    # told to be small, as its estimated size is that of the files: else every line is shuffled to meet its block
+    rows = raw.where(X.trimmed(value) != "").join(F.broadcast(blocks), ["file", "start"]).withColumn("seq", F.col("place") + F.col("shift"))
     parsed = rows.withColumn("e", F.from_json("value", WIRE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     good = F.col("e._bad").isNull() & F.col("e.appName").isNotNull() & F.col("e.text").isNotNull() & F.col("e.timestamp").isNotNull()
     entries = parsed.where(good).select("seq", F.col("e.appName").alias("app_name"), F.col("e.text").alias("text"), X.from_reference_seconds("e.timestamp").alias("ts"))

@@ -1,6 +1,7 @@
 """Files, streams, policies and the query catalogue."""
 
 import json
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from loam import catalogue
 from loam.config import Level, Settings, Strategy, choose_level, choose_strategy, decode_apps, encode_apps, flush_due, next_daily_run, purge_due
+from loam.operators import exact
 from loam.plans import curation
 from loam.sources import imports, jsonl
 from loam.streaming import ingest
@@ -221,3 +223,27 @@ def test_shut_down_writes_and_purges(spark, tmp_path):
     query = ingest.start(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert M.shut_down(spark, query, str(tmp_path / "out"))["removed"] == 1 and not query.isActive
     assert sorted(r.text for r in jsonl.read_good(spark, str(tmp_path / "out")).collect()) == ["hello there", "other text"]
+
+
+def test_reading_and_purging_shuffle_no_text_but_to_its_place(spark, tmp_path):
+    table = str(tmp_path / "table")
+    texts = [f"{k % 40} text" for k in range(100)] + ["\u00e9", "e\u0301"]
+    lines = [json.dumps({"appName": "a", "text": t, "timestamp": k + 0.5}) for k, t in enumerate(texts)]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(3).write.text(table)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries, bad = jsonl.read(spark, table)
+        plans = [x._jdf.queryExecution().sparkPlan().toString() for x in (entries, bad)]
+        assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+        first: dict = {}
+        for r in sorted(entries.collect(), key=lambda r: r.seq):
+            first.setdefault(unicodedata.normalize("NFC", r.text), (r.text, r.ts))
+        places = exact.first_places(entries)
+        kept = exact.at_places(entries, places)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("rangepartitioning") == 1 and "Join" not in plan.partition("rangepartitioning")[0]
+        assert [(r.text, r.ts) for r in kept.collect()] == list(first.values()) and len(first) == 41
+        assert curation.purge(spark, table, Settings(avoid_apps=(), min_text_length=0)) == {"strategy": "lightweight", "removed": 61}
+        assert [(r.text, r.ts) for r in sorted(jsonl.read_good(spark, table).collect(), key=lambda r: r.seq)] == list(first.values())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
