@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.operators.exact import first_of, key_of, pair_dedup, without_apps
+from loam.operators.exact import first_of, pair_dedup, without_apps
 from loam.operators.greedy import lost
 from loam.operators.sweep import common, opened, placed
 from loam.storage import stored
@@ -72,8 +72,10 @@ def prefix_dedup(entries: DataFrame) -> DataFrame:
     a row that covers this one shares enough with it, so rounds follow the lengths
     (two for each 70 %), not the number of rows.
     """
-    rows = stored(pair_dedup(entries.where(F.length("text") > 0)).withColumn("__node", F.monotonically_increasing_id()), "pairs")
-    asks, offers = prefix_conflicts(rows.select(F.col("__node").alias("node"), key_of("app_name").alias("app_name"), key_of("text").alias("text")))
+    # composed forms are stored, else each filter and hash of them would take a worker in Python of its own beside the sweep's
+    keys = {"__app": X.recomposed("app_name"), "__text": X.recomposed("text")}
+    rows = stored(pair_dedup(entries.where(F.length("text") > 0)).withColumn("__node", F.monotonically_increasing_id()).withColumns(keys), "pairs")
+    asks, offers = prefix_conflicts(rows.select(F.col("__node").alias("node"), F.coalesce("__app", "app_name").alias("app_name"), F.coalesce("__text", "text").alias("text")))
     gone = lost(asks, offers, ["a1", "a2"]).select(F.col("node").alias("__node"))
     return rows.join(gone, "__node", "left_anti").select(*entries.columns)
 

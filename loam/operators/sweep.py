@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Texts sampled for each range, and characters of a splitter.
 SAMPLE, CUT = 16, 4096
+#: Rows that a worker has as Python objects at a time.
+ROWS = 1000
 MARK, TEXT = 0, 1
 
 
@@ -38,6 +40,13 @@ def common(a: str, b: str) -> int:
     return low
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, ``ROWS`` at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, ROWS):
+            yield b.slice(start, ROWS)
+
+
 def splitters(texts: DataFrame, parts: int) -> list[tuple[bool, str, str]]:
     """Keys that part the texts ``(group, text)`` in so many ranges of about equal size."""
     rows = texts.count()
@@ -60,7 +69,7 @@ def placed(marks: DataFrame, texts: DataFrame, parts: int | None = None) -> Data
     rows = rows.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             at, ranges = [], []
             for i, (kind, group, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("kind", "group", "text")), strict=True)):
                 part = bisect_right(cuts, (group is not None, group or "", text))
@@ -84,7 +93,7 @@ def opened(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[t
     Marks with the same columns are one. The list of marks is the sweep's own; it changes with the next text.
     """
     here, before, stack = None, "", []
-    for b in batches:
+    for b in few(batches):
         for part, kind, group, text, *rest in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "group", "text", *columns)), strict=True):
             if here != (part, group):
                 here, stack = (part, group), []

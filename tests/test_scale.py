@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,23 @@ def test_shingle_counts_shuffle_no_row_of_a_shingle_and_a_text(spark):
     assert {x.gram: (x.times, x.texts) for x in got.collect()} == {"abc": (5, 2), "bca": (1, 1), "cab": (1, 1), "bcx": (1, 1), "a": (1, 1)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("collect_list")  # shingles are made where a text's rows have met
+
+
+def test_prefix_sweep_has_no_worker_beside_it(spark, monkeypatch):
+    seen, whole = [], prefix.prefix_conflicts
+
+    def watched(rows):
+        asks, offers = whole(rows)
+        seen.extend(x._jdf.queryExecution().executedPlan().toString() for x in (asks, offers))
+        return asks, offers
+
+    monkeypatch.setattr(prefix, "prefix_conflicts", watched)
+    got = prefix.prefix_dedup(entries(spark, [("A", "café au lait chaud"), ("A", "café au lait ch"), ("A", "other text"), ("B", "café au lait ch"), ("A", "")]))
+    assert seqs(got) == [0, 2, 3]
+    assert len(seen) == 2 and not any("ArrowEvalPython" in x for x in seen) and seen[1].count("MapInArrow") > 0
+
+
+def test_few_rows_are_objects_at_a_time():
+    rows = pa.RecordBatch.from_pydict({"x": list(range(2 * sweep.ROWS + 1))})
+    parts = list(sweep.few(iter([rows, rows.slice(0, 0)])))
+    assert [p.num_rows for p in parts] == [sweep.ROWS, sweep.ROWS, 1] and pa.Table.from_batches(parts).column("x").to_pylist() == list(range(2 * sweep.ROWS + 1))
