@@ -7,10 +7,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loam import catalogue
 from loam.config import Level, Settings
 from loam.operators import exact, ngrams, prefix, tree
 from loam.plans.upkeep import Upkeep, purge_log
-from loam.sources import chunks, jsonl
+from loam.sources import chunks, jsonl, views
 from loam.sources.log import Log
 from loam.streaming import buffered
 
@@ -268,3 +269,22 @@ def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
         parts = chunks.together(((f, 3, n) for f, n in sorted(files.items())), 7)
         assert [(r.path, r.start, r.stop) for p in parts for r in p.each()] == [(f, k, min(k + 7, n)) for f, n in sorted(files.items()) for k in range(3, n, 7)]
         assert all(sum(r.stop - r.start for r in p.each()) < max(task, 7) + 7 for p in parts)
+
+
+def test_files_of_a_stream_are_of_bounded_size(spark, monkeypatch):
+    at = "/root/testdata/sf0.001"
+    texts = views.documents(spark, at).agg(F.sum(F.octet_length("text"))).first()[0]
+    few = spark.read.parquet(catalogue._in_files(spark, at))
+    assert len(few.inputFiles()) == 4
+    monkeypatch.setattr(catalogue, "FILE_BYTES", texts // 9)
+    many = catalogue._in_files(spark, at)
+    rows = spark.read.parquet(many)
+    sizes = rows.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert 8 <= len(sizes) <= 10 and max(x.n for x in sizes) < 3 * texts // 9
+    assert sorted(x.seq for x in rows.collect()) == sorted(x.seq for x in few.collect())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(many)
+    buffered.start(stream, f"{many}-out/table", f"{many}-out/checkpoint", once=True).awaitTermination()
+    buffered.drain(spark, f"{many}-out/table", f"{many}-out/checkpoint")
+    got = Log(spark, f"{many}-out/table").read().select("appName", "text")
+    want = catalogue.QUERIES["ingest"](spark, at).select("app_name", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
