@@ -76,6 +76,21 @@ def test_suffix_dedup_many_equal_rows_of_one_id(spark):
     assert sorted((x.doc_id, x.n_removed, x.n_spans) for x in got) == [(1, 2000, 1)] * 400 + [(2, 900, 1), (3, 1000, 1)]
 
 
+def test_suffix_dedup_very_many_copies_are_read_in_lots(spark, monkeypatch):
+    r = random.Random(12)
+    text, other = ("".join(r.choice("abcdefghij ") for _ in range(300)) for _ in range(2))
+    texts = [text] * 1500 + [other, "z" + other, text[:200] + "!", text[100:] + other[:100]]
+    parts = {}
+    stored = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: parts.setdefault(name, stored(df, name)))
+    got = {x.doc_id: x for x in suffix_dedup.dedup(docs(spark, texts), length=40, anchor=20).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == brute_windows(texts, 40)
+    asked = parts["stretches"].where("check = 2")
+    place = [c for c in ("r_id", "r_print", "at", "lot") if c in asked.columns]
+    most = max(x["count"] for x in asked.selectExpr("*", "to - from as size").groupBy(*place, "size").count().collect())
+    assert asked.count() >= 1499 and most <= 150  # all in one place before
+
+
 def test_suffix_dedup_very_long_and_periodic_texts(spark):
     r = random.Random(8)
     long = "".join(r.choice("abcdefgh") for _ in range(300_000))
