@@ -313,6 +313,37 @@ def test_tiles_find_each_pair_once(spark, monkeypatch, block, cells, prune):
     assert len(two) == len(across) > 100 and {(x.before, x.node): x.similarity for x in two} == across
 
 
+@pytest.mark.parametrize(("lot", "pairs"), [(1024, 1 << 17), (3, 5)])
+def test_similar_pairs_are_expanded_where_lots_meet(spark, monkeypatch, lot, pairs):
+    monkeypatch.setattr(minhash, "LOT", lot)
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
+    r = random.Random(4)
+    kinds = ["".join(r.choice("abc") for _ in range(60)) for _ in range(3)]
+    # repeats of a row of letters have the shingles of one, so their classes hold many rows if lengths are equal
+    texts = [r.choice(["abcab" * 8, "babca" * 8, kinds[k % 3], kinds[k % 3][:50] + "zz", "abcab" * 20, "ab", "", None]) for k in range(120)]
+    rows = [(k, "A", t) for k, t in enumerate(texts)] + [(None, "A", kinds[0]), (5, "A", kinds[1])]  # a row without a key, and a key of two rows
+    signed = [(s, t, minhash.minima([t], 20, 3, {}, True).to_pylist()[0] or [0] * 20) for s, _, t in rows if s is not None and t is not None]
+    near = lambda a, b: 2 * abs(len(a) - len(b)) <= max(len(a), len(b))
+    want = [(a[0], b[0], sum(map(int.__eq__, a[2], b[2])) / 20) for a in signed for b in signed if a[0] < b[0] and near(a[1], b[1])]
+    want = sorted(x for x in want if x[2] >= 0.7)
+    found = minhash.similar_pairs(spark.createDataFrame(rows, "seq long, app_name string, text string"), portable=True)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]  # no pair is shuffled
+
+
+def test_rows_of_tiles_grow_with_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCKS", 8)
+    dealt = {}
+    for rows in (400, 1600):  # of one template, so in one part of each band
+        first = spark.range(rows).selectExpr("id", "10 as n", "array_repeat(7L, 20) as signature")
+        dealt[rows] = minhash.tiled(first, [0, 10, 20]).count()
+    assert dealt[400] <= 2 * 400 * 8 and dealt[1600] == 4 * dealt[400]
+    monkeypatch.setattr(minhash, "LARGEST", 50)  # a block is bounded all the same
+    assert minhash.tiled(first, [0, 10, 20]).count() == 2 * 1600 * 32
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5])
 def test_minima_of_pieces_equal_those_of_each_text(n):
     r = random.Random(3)
