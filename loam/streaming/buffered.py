@@ -1,9 +1,11 @@
-"""Buffered ingestion as state and timers: what was last accepted, what waits to be saved, and when it was last saved.
+"""Buffered ingestion as state and timers: what was last accepted, how much waits to be saved, and when it was last saved.
 
 A text's accepted fragments go to a buffer unless they repeat the last accepted one.
 After each text the buffer is saved if it holds enough rows, if the last saving was
 long enough ago, or if nothing was saved yet; a timer saves what waits when no text
-comes. State is one list of few rows, one text and two numbers for each key.
+comes. State is one digest and three numbers for each key. What is decided depends on the
+text before, so one task decides, but from a row of digests and a number for each text; the texts
+themselves are spread over all tasks and meet the decisions where a batch is written.
 """
 
 from __future__ import annotations
@@ -17,87 +19,119 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loam.config import Settings, flush_due
-from loam.plans.upkeep import counted
+from loam.functions import text as X
+from loam.operators.exact import without_apps
+from loam.plans.upkeep import METRIC
 from loam.sources import jsonl
 from loam.sources.log import Log
-from loam.streaming.ingest import fragments
 
-ROW = "seq long, app_name string, text string, ts timestamp"
-COLUMNS = ["seq", "app_name", "text", "ts"]
+#: A row that waits: whose key it is of, and its place.
+WAITING = "key string, place long, pos int, app_name string, text string, ts timestamp"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What leaves the state: texts, those of which the first fragment is ``again`` the last accepted one, and the place ``upto`` which a key's rows are saved.
+DECIDED = "kind string, key string, place long, id long, nth long, app_name string, texts string, ts timestamp, saves long"
+#: The place of a text without ``seq``, after all others; and groups that texts pass the state in.
+LAST, GROUPS = 2**63 - 1, 64
 
 
 class Buffer(StatefulProcessor):
-    """Saved rows of one key, each with the number of its saving."""
+    """Decisions for one key; or texts of one group, which only get numbers among their like."""
 
-    def __init__(self, settings: Settings = Settings(), now=None) -> None:
-        self.settings, self.now = settings, now
+    def __init__(self, settings: Settings = Settings()) -> None:
+        self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "text string")
-        self.waiting = handle.getListState("waiting", ROW)
+        self.last = handle.getValueState("last", "digest string")
+        self.waiting = handle.getValueState("waiting", "n long")
         self.saved = handle.getValueState("saved", "at long, number long")
 
-    def _save(self, rows: list[tuple], at: int, number: int) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=COLUMNS).assign(flush=number, flushed_ms=at)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
+        given = pd.concat(list(rows))
+        like = ["key", "place", "id"]
+        if key[0] == "text":
+            yield given.assign(nth=given.groupby(like).cumcount(), saves=0)[names(DECIDED)]
+            return
         now = timerValues.getCurrentProcessingTimeInMs()
         last = self.last.get()[0] if self.last.exists() else None
         at, number = self.saved.get() if self.saved.exists() else (None, -1)
-        # the list is read once for each batch, and written if rows are left
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        had, out = bool(waiting), []
-        given = pd.concat(list(rows)).sort_values(["seq", "pos"])
-        texts, rows_of = given.text.tolist(), given[COLUMNS].itertuples(index=False, name=None)
-        sources = given.seq.tolist()
-        for i, row in enumerate(rows_of):
-            if texts[i] != last:
-                waiting.append(row)
-                last = texts[i]
-            if i + 1 == len(texts) or sources[i + 1] != sources[i]:  # a text's last fragment
-                due = flush_due(len(waiting), None if at is None else (now - at) / 1000, False, self.settings)
-                if waiting and due:
-                    at, number = now, number + 1
-                    out.append(self._save(waiting, at, number))
-                    waiting = []
+        waiting = self.waiting.get()[0] if self.waiting.exists() else 0
+        given = given.sort_values(["place", "id"])
+        places, again, saves, upto = given.place.tolist(), [], 0, None
+        for i, (first, end, n) in enumerate(zip(given["first"].tolist(), given["end"].tolist(), given.n.tolist(), strict=True)):
+            again.append(first == last)
+            waiting, last = waiting + n - (first == last), end
+            if waiting and (i + 1 == len(places) or places[i + 1] != places[i]) and flush_due(waiting, None if at is None else (now - at) / 1000, False, self.settings):
+                at, number, saves, upto, waiting = now, number + 1, saves + waiting, places[i], 0
         self.last.update((last,))
+        self.waiting.update((waiting,))
         if at is not None:
             self.saved.update((at, number))
-        if waiting:
-            self.waiting.put(waiting)
-        elif had:
-            self.waiting.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if waiting:
             self.handle.registerTimer(int(now + self.settings.save_interval_s * 1000))
-        yield from out
+        repeats = given.assign(nth=given.groupby(like).cumcount())[again]
+        if len(repeats):
+            yield repeats.assign(kind="again", app_name=None, texts=None, ts=pd.NaT, saves=0)[names(DECIDED)]
+        if upto is not None:
+            yield self._upto(key[1], upto, saves)
+
+    def _upto(self, key: str, place: int, saves: int) -> pd.DataFrame:
+        return pd.DataFrame([("upto", key, place, 0, 0, None, None, pd.NaT, saves)], columns=names(DECIDED))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting = self.waiting.get()[0] if self.waiting.exists() else 0
         if waiting:
-            now = timerValues.getCurrentProcessingTimeInMs()
             number = (self.saved.get()[1] if self.saved.exists() else -1) + 1
-            self.saved.update((now, number))
-            self.waiting.clear()
-            yield self._save(waiting, now, number)
+            self.saved.update((timerValues.getCurrentProcessingTimeInMs(), number))
+            self.waiting.update((0,))
+            yield self._upto(key[1], LAST, waiting)
 
     def close(self) -> None:
         pass
 
 
-def buffered(stream: DataFrame, settings: Settings = Settings(), per_app: bool = False) -> DataFrame:
-    """Rows ``seq, app_name, text, ts, flush, flushed_ms`` as they are saved.
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def runs(stream: DataFrame, settings: Settings) -> DataFrame:
+    """``seq, app_name, ts, runs``: each text's accepted fragments as in ``ingest.fragments``, without those that repeat the one before in it; texts that have one."""
+    whole = without_apps(stream.where(X.length_within("text", settings.min_text_length, settings.max_text_length)), settings.avoid_apps)
+    kept = F.filter(F.transform(X.fragments("text"), X.one_line), lambda t: X.length_within(t, settings.min_text_length, settings.max_text_length) & ~X.is_symbol_or_number(t))
+    changed = X.let(kept, lambda k: F.filter(k, lambda t, i: (i == 0) | (t != F.get(k, i - 1))))
+    # made in a generator, else the filter would make them anew
+    return whole.select("seq", "app_name", "ts", F.explode(F.array(changed)).alias("runs")).where(F.size("runs") > 0)
+
 
-    One key for all rows, in order of arrival, as in a single log: what is accepted
-    depends on the text before, whichever app showed it. The cleaning before is spread
-    over all tasks. ``per_app`` has a key for each app, which run side by side.
+def decided(stream: DataFrame, settings: Settings = Settings(), per_app: bool = False) -> DataFrame:
+    """Rows ``DECIDED``: the texts, their fragments joined by line ends, which none has, and what is decided of them.
+
+    One key for all rows, in order of ``seq``, as in a single log: what is accepted
+    depends on the text before, whichever app showed it. ``per_app`` has a key for each app.
     Needs the state store on disk (``PROVIDER``).
     """
-    keyed = fragments(stream, settings, with_place=True).withColumn("key", F.coalesce("app_name", F.lit("")) if per_app else F.lit(""))
-    return keyed.groupBy("key").transformWithStateInPandas(Buffer(settings), f"{ROW}, flush long, flushed_ms long", "Append", "ProcessingTime")
+    texts = runs(stream, settings).select(
+        F.coalesce("app_name", F.lit("")).alias("key") if per_app else F.lit("").alias("key"), F.coalesce("seq", F.lit(LAST)).alias("place"), "app_name", "ts", "runs", F.array_join("runs", "\n").alias("texts"))
+    none, digest = F.lit(None).cast("string"), lambda t: F.sha2(t, 256)
+    group = F.pmod(F.xxhash64("place"), F.lit(GROUPS)).cast("string")
+    common = ["key", "place", F.xxhash64("texts").alias("id")]
+    text = F.struct(F.lit("text").alias("kind"), group.alias("part"), *common, none.alias("first"), none.alias("end"), F.lit(0).alias("n"), "app_name", "texts", "ts")
+    ends = F.struct(F.lit("ends").alias("kind"), F.col("key").alias("part"), *common, digest(F.get("runs", F.lit(0))).alias("first"), digest(F.element_at("runs", -1)).alias("end"), F.size("runs").alias("n"), none.alias("app_name"), none.alias("texts"), F.lit(None).cast("timestamp").alias("ts"))
+    both = texts.select(F.explode(F.array(text, ends)).alias("x")).select("x.*")
+    return both.groupBy("kind", "part").transformWithStateInPandas(Buffer(settings), DECIDED, "Append", "ProcessingTime")
+
+
+def resolved(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to save and rows that wait, of a batch's texts and decisions and of what waited before; ``WAITING`` and ``fresh``, whether of this batch."""
+    upto = F.broadcast(batch.where("kind = 'upto'").groupBy("key").agg(F.max("place").alias("upto")))
+    again = batch.where("kind = 'again'").select("key", "place", "id", "nth", F.lit(True).alias("again"))
+    texts = batch.where("kind = 'text'").join(again, ["key", "place", "id", "nth"], "left")
+    rows = texts.select("key", "place", "app_name", "ts", "again", F.posexplode(F.split("texts", "\n")).alias("pos", "text")).where("again is null or pos > 0")
+    every = before.withColumn("fresh", F.lit(0)).unionByName(rows.drop("again").withColumn("fresh", F.lit(1))).join(upto, "key", "left")
+    due = F.col("upto").isNotNull() & ((F.col("fresh") == 0) | (F.col("place") <= F.col("upto")))
+    return every.where(due), every.where(~due)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, settings: Settings = Settings(), per_app: bool = False, once: bool = False, every_s: float = 1.0) -> StreamingQuery:
@@ -110,30 +144,57 @@ def start(stream: DataFrame, path: str, checkpoint: str, settings: Settings = Se
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
+        here, numbers = batch.sparkSession, [n for n in _numbers(spark, f"{checkpoint}-waiting", "at=") if n < number]
+        before = _waiting(here, checkpoint, numbers[-1] if numbers else None)
+        batch = batch.persist()
         try:
-            if not rows.isEmpty():
-                Log(batch.sparkSession, path).append(jsonl.wire(rows), writer=checkpoint, number=number)
+            kinds = {x["kind"] for x in batch.groupBy("kind").count().collect()}  # of all rows, so each is made once and counted once
+            if not kinds:
+                return
+            saved, left = resolved(batch, before)
+            if "upto" in kinds:
+                order = saved.repartitionByRange(here.sparkContext.defaultParallelism, "fresh", "place").sortWithinPartitions("fresh", "place", "pos")
+                Log(here, path).append(jsonl.wire(order), writer=checkpoint, number=number)
+            left.select(names(WAITING)).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}-waiting/at={number}")
+            for older in numbers[:-1]:  # the last one before may be asked for again
+                jsonl.delete(here, f"{checkpoint}-waiting/at={older}")
         finally:
-            rows.unpersist()
-
-    out = counted(buffered(stream, settings, per_app)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if not once:
-        return out.trigger(processingTime=f"{every_s} seconds").start()
-    # batches without data, in which timers are looked at, would never end such a run; a query keeps the settings that it began with
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return out.trigger(availableNow=True).start()
+            batch.unpersist()
+
+    rows = decided(stream, settings, per_app).observe(METRIC, F.coalesce(F.sum("saves"), F.lit(0)).alias("rows"))
+    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    # each partition of the state starts a worker for each batch, whether it has rows or not, so there is one for each core
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, 1))
+    given = {"spark.sql.shuffle.partitions": str(least)}
+    if once:  # batches without data, in which timers are looked at, would never end such a run
+        given["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {key: spark.conf.get(key) for key in given}
+    for key, value in given.items():
+        spark.conf.set(key, value)
+    try:  # a query keeps the settings that it began with
+        return (out.trigger(availableNow=True) if once else out.trigger(processingTime=f"{every_s} seconds")).start()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+    """Numbers that name what a folder has, ascending."""
+    fs, path = jsonl.filesystem(spark, folder)
+    found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(x[len(prefix) :]) for x in found if x.startswith(prefix) and x[len(prefix) :].isdigit())
+
+
+def _waiting(spark: SparkSession, checkpoint: str, number: int | None) -> DataFrame:
+    return spark.createDataFrame([], WAITING) if number is None else spark.read.schema(WAITING).parquet(f"{checkpoint}-waiting/at={number}")
 
 
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Rows that wait to be saved, read from the state of a query that isn't running."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
-    return state.select("list_element.*")
+    """Rows that wait to be saved, as the last whole batch of a query that isn't running left them."""
+    done = _numbers(spark, f"{checkpoint}/commits")
+    numbers = [n for n in _numbers(spark, f"{checkpoint}-waiting", "at=") if done and n <= done[-1]]
+    rows = _waiting(spark, checkpoint, numbers[-1] if numbers else None)
+    return rows.select(F.when(F.col("place") != LAST, F.col("place")).alias("seq"), "app_name", "text", "ts")
 
 
 def drain(spark: SparkSession, path: str, checkpoint: str) -> bool:

@@ -288,3 +288,62 @@ def test_files_of_a_stream_are_of_bounded_size(spark, monkeypatch):
     got = Log(spark, f"{many}-out/table").read().select("appName", "text")
     want = catalogue.QUERIES["ingest"](spark, at).select("app_name", "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("per_app", [False, True])
+def test_buffer_equals_a_plain_one_with_a_state_for_each_core(spark, tmp_path, per_app):
+    import os
+    import random
+
+    r = random.Random(5)
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "cp")
+    words = ["one", "two", "three", "four", "!!!", "no"]
+    text = lambda: "\n".join(r.choice(words) for _ in range(r.randrange(1, 5)))
+    batches = [[(100 * k + j, r.choice(["A", "B", None, "Finder"]), text()) for j in range(40)] for k in range(3)]
+    batches[1] += [(160, "A", "one\ntwo\none")] * 2 + [(None, "A", "last one"), (170, "A", None), (171, "A", "")]  # equal rows, and one without a place
+    keys, saved = {}, []
+    for k, rows in enumerate(batches):
+        put(spark, folder, k, rows)
+        rows = [x for x in rows if x[2] and len(x[2]) >= 3 and x[1] != "Finder"]
+        for seq in sorted({x[0] for x in rows if x[0] is not None}) + [None]:
+            here = [x for x in rows if x[0] == seq]
+            for i, (_, app, t) in enumerate(here):
+                of = keys.setdefault((app or "") if per_app else "", {"last": None, "waiting": [], "never": True})
+                for f in t.split("\n"):
+                    if len(f) >= 3 and f != "!!!" and f != of["last"]:
+                        of["waiting"].append((app, f))
+                        of["last"] = f
+                if i + 1 == len(here) and of["waiting"] and (of["never"] or len(of["waiting"]) >= 10):
+                    saved += of["waiting"]
+                    of["waiting"], of["never"] = [], False
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        settings = Settings(save_interval_s=10_000)
+        buffered.start(stream(spark, folder), table, checkpoint, settings, per_app, once=True).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "20"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    by = lambda rows: sorted(rows, key=str)
+    left = by(tuple(x) for x in buffered.waiting(spark, checkpoint).select("app_name", "text").collect())
+    got = by(tuple(x) for x in Log(spark, table).read().select("appName", "text").collect())
+    assert by(got + left) == by(saved + [x for of in keys.values() for x in of["waiting"]]) and len(saved) > 100
+    assert got == by(saved) and left == by(x for of in keys.values() for x in of["waiting"])
+    assert len([x for x in os.listdir(f"{checkpoint}/state/0") if x.isdigit()]) == 4  # of which each starts a worker for each batch
+
+
+def test_texts_of_a_stream_are_spread_and_decisions_carry_none(spark, tmp_path):
+    put(spark, tmp_path / "in", 0, [(k, "A", f"text {k // 2}") for k in range(200)])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buffered.PROVIDER)
+    seen = []
+    each = lambda b, n: seen.extend(b.select("kind", "texts", F.spark_partition_id().alias("at")).collect())
+    rows = buffered.decided(stream(spark, tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # what waits has a timer, and batches that look at it would never end
+    try:
+        rows.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    texts = [x for x in seen if x.kind == "text"]
+    assert len(texts) == 200 and len({x.at for x in texts}) == 4
+    others = [x for x in seen if x.kind != "text"]
+    assert sorted(x.kind for x in others) == ["again"] * 100 + ["upto"] and {x.texts for x in others} == {None}
